@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import quality_gam, toxicity, url_trie, wu_manber
+from foliograph.llm import html_blocks, quality_gam, toxicity, url_trie, wu_manber
 from foliograph.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.fit(documents, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     scored = toxicity.with_score(documents, lexicon)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.with_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
