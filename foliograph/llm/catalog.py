@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import html_blocks, quality_gam, toxicity, url_trie, wu_manber
+from foliograph.llm import html_blocks, quality_gam, secrets, spans, toxicity, url_trie, wu_manber
 from foliograph.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,16 @@ def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_blocks.with_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secrets.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.STRONG],
+        F.sha2(spans.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        spans.joined(F.col("spans")).alias("spans"),
+    )
