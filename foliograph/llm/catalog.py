@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import divergence, html_blocks, near_dups, pii, quality_gam, secrets, spans, toxicity, url_trie, wu_manber
+from foliograph.llm import divergence, html_blocks, near_dups, packing, pii, quality_gam, secrets, spans, toxicity, url_trie, wu_manber
 from foliograph.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,9 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     found = near_dups.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+
+
+@query
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 words over all documents."""
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

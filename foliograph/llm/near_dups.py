@@ -288,3 +288,16 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         if moved.filter(F.col("old") != F.col("name")).isEmpty():
             break
     return written(labels.join(names.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("name", "label").alias("label")), "labels")
+
+
+def deduplicated(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each class, that of the least id; ids that are null come last."""
+    found = classes(documents, key=key, text=text, **options)
+    first = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("id"))
+    # the node of each class that holds its least id
+    stay = found.groupBy("class_id", "node").agg(F.min(first(key)).alias("first"))
+    named = stay.filter(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.min(F.struct("first", "node")).alias("m")).select(F.col("m.node").alias("_node"))
+    nodes = named.union(stay.filter(F.col("class_id").isNull()).select("node"))
+    columns = [documents[f"`{c}`"] for c in documents.columns]
+    one = documents.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), _digest(text).alias("_node")).groupBy("_node").agg(F.min_by("_row", first("_key")).alias("_row"))
+    return one.join(nodes, "_node", "left_semi").select("_row.*")
