@@ -129,32 +129,45 @@ class Lexicon:
 
 
 def _candidates(text: str | None, least: int, most: int) -> Counter:
-    """Uses of words, word beginnings and pairs of neighbouring words."""
-    words = _WORD.findall(folded(text))
-    out = Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
-    for w, n in Counter(words).items():
+    """Uses of words and word beginnings."""
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall(folded(text))).items():
         out[w] += n
         for k in range(least, min(most, len(w) - 1) + 1):
             out[w[:k] + "*"] += n
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, max_entries: int = 4_000, least: int = 3, most: int = 9, support: int = 4, size: int = 150, cover: int = 3) -> Lexicon:
+def _pairs(text: str | None, entries: dict[str, float]) -> set[str]:
+    """Neighbouring words of which one is an entry."""
+    words = _WORD.findall(folded(text))
+    return {f"{a} {b}" for a, b in zip(words, words[1:]) if a in entries or b in entries}
+
+
+def _small(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
+    """The same rows in small frames, so that counts held at a time stay few."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.iloc[k : k + rows]
+
+
+def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, max_entries: int = 4_000, least: int = 3, most: int = 9, support: int = 4, size: int = 150, cover: int = 3, tasks: int = 48) -> Lexicon:
     """Learn a lexicon of at most ``size`` entries from at most ``max_rows`` labelled documents."""
     few = labelled_sample(labels, key, label, learn, max_rows)
-    texts = documents.select(key, text).join(F.broadcast(few), key).groupBy(key, "y").agg(F.max(text).alias(text)).select("y", text)
+    texts = documents.select(key, text).join(F.broadcast(few), key).repartition(tasks, key).groupBy(key, "y").agg(F.max(text).alias(text)).select("y", text)
 
     columns = ("n1", "n0", "m1", "m0")  # documents of either label with one use, and with two
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _small(batches):
             found: dict[str, list[int]] = {}
             for y, x in zip(batch["y"], batch[text]):
                 for entry, uses in _candidates(x, least, most).items():
                     row = found.setdefault(entry, [0, 0, 0, 0])
                     row[1 - y] += 1
                     row[3 - y] += uses > 1
-            yield pd.DataFrame([(e, *row) for e, row in found.items()], columns=["entry", *columns])
+            counts = pd.DataFrame(list(found.values()), columns=list(columns), dtype="int64")
+            yield counts.assign(entry=pd.Series(list(found), dtype=object))[["entry", *columns]]
 
     n1, n0 = few.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     n1, n0 = int(n1 or 0), int(n0 or 0)
@@ -162,10 +175,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id",
         return Lexicon(dict(SEEDS))
     odds = lambda one, zero: F.log((F.col(one) + 0.5) / (n1 + 1)) - F.log((F.col(zero) + 0.5) / (n0 + 1))
     counts = texts.mapInPandas(counted, "entry string, n1 long, n0 long, m1 long, m0 long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in columns])
-    pair = F.col("entry").contains(" ")
     once, twice = (F.col("n1") >= support) & (F.col("w") > 2.5), (F.col("m1") >= support) & (F.col("w2") > 2.5)
     worth = F.greatest(F.when(once, F.col("w") * F.sqrt("n1")), F.when(twice, F.col("w2") * F.sqrt("m1")))
-    ranked = counts.filter(~pair).withColumn("w", odds("n1", "n0")).withColumn("w2", odds("m1", "m0")).filter((F.col("w") > 1) & (once | twice))
+    ranked = counts.withColumn("w", odds("n1", "n0")).withColumn("w2", odds("m1", "m0")).filter((F.col("w") > 1) & (once | twice))
     best = ranked.withColumn("need", F.when(once, 1).otherwise(2)).orderBy(F.desc(worth), "entry").limit(max_entries).collect()
     weights, need = {r["entry"]: float(r["w"]) for r in best}, {r["entry"]: r["need"] for r in best}
 
@@ -176,8 +188,15 @@ def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id",
 
     rows = texts.select("y", contained(F.col(text)).alias("has")).collect() if weights else []
     entries = {e: weights[e] for e in _cover([(r["y"], r["has"]) for r in rows], size, max(support - 1, n1 // 100), cover)}
-    safe = counts.filter(pair & (F.col("n1") == 0) & (F.col("n0") >= support)).filter(F.arrays_overlap(F.split("entry", " "), F.array(*[F.lit(e) for e in entries if not e.endswith("*")] or [F.lit("")])))
-    phrases = [r["entry"] for r in safe.orderBy(F.desc("n0"), "entry").limit(size).collect()]
+
+    def in_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _small(batches):
+            pairs = [(y, p) for y, x in zip(batch["y"], batch[text]) for p in _pairs(x, entries)]
+            yield pd.DataFrame({"entry": pd.Series([p for _, p in pairs], dtype=object), "y": pd.Series([y for y, _ in pairs], dtype="int64")})
+
+    pairs = texts.mapInPandas(in_pairs, "entry string, y long").groupBy("entry").agg(F.sum("y").alias("n1"), F.count("y").alias("n"))
+    safe = pairs.filter((F.col("n1") == 0) & (F.col("n") >= support)).orderBy(F.desc("n"), "entry").limit(size)
+    phrases = [r["entry"] for r in safe.collect()] if entries else []
     lexicon = Lexicon({**SEEDS, **entries}, [*EXCEPTIONS, *phrases])
 
     @F.pandas_udf("array<double>")
