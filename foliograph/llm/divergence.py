@@ -32,11 +32,12 @@ COMMON = {
     "es": "de la que el en y los se del las un por con no una su para es al lo como".split(),
 }
 WORDS = sorted({w for words in COMMON.values() for w in words})
+#: Character classes in the order in which they are taken out of a text, the most common first.
 CLASSES = {
     "lower": r"\p{javaLowerCase}",
-    "upper": r"\p{javaUpperCase}",
-    "digit": "0-9",
     "space": r"\x09-\x0D\x20",
+    "upper": r"\p{javaUpperCase}",
+    "digit": r"0-9",
     "stop": r".,;:?'()\x22-",
     "bar": r"|",
     "mark": r"!#$%&*<>=^~@+/_\\\[\]{}`",
@@ -44,24 +45,52 @@ CLASSES = {
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _without(text: Column, chars: str) -> Column:
+def _count(text: Column, chars: str) -> Column:
     """How many characters of the class the text has."""
     return (F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))).cast("long")
 
 
+def with_classes(documents: DataFrame, text: str) -> DataFrame:
+    """The documents with ``_chars`` (characters of each class, and of none), word_chars and n_symbols.
+
+    Each class is taken out of what the ones before it left, so only the first looks at the whole text.
+    """
+    left, kept = documents.withColumn("_left0", F.coalesce(F.col(text), F.lit(""))), documents.columns
+    for k, chars in enumerate(CLASSES.values()):
+        left = left.withColumn(f"_left{k + 1}", F.regexp_replace(f"_left{k}", f"[{chars}]+", ""))
+        if k:
+            left = left.withColumn(f"_size{k}", F.length(f"_left{k}").cast("long")).drop(*([f"_left{k}"] if k != 4 else []))
+        else:
+            left = left.withColumn("_size0", F.length("_left0").cast("long")).drop("_left0")
+    n = len(CLASSES)
+    left = left.withColumn(f"_size{n}", F.length(f"_left{n}").cast("long"))
+    sizes = [F.col(f"_size{k}") for k in range(n + 1)]
+    counts = [a - b for a, b in zip(sizes, sizes[1:])] + [sizes[-1]]
+    # after letters, white space and digits are gone, few characters are left to look through
+    return left.select(*[F.col(f"`{c}`") for c in kept], F.array(*counts).alias("_chars"), (sizes[0] - counts[1]).alias("word_chars"), _count(F.col("_left4"), r"#*$%&|<>").alias("n_symbols"))
+
+
 def with_counts(documents: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, replacing columns of such names."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    kept = [documents[f"`{c}`"] for c in documents.columns if c not in names]
-    body = F.coalesce(documents[text], F.lit(""))
-    words = F.filter(F.split(body, _SPACE), lambda w: w != "")
+    return _counted(with_classes(documents.drop(*names), text), text).drop("_chars")
+
+
+def _counted(step: DataFrame, text: str) -> DataFrame:
+    body = F.coalesce(F.col(text), F.lit(""))
+    words = F.array_remove(F.split(body, _SPACE), "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = documents.select(*kept, words.alias("_words"), lines.alias("_lines"), F.length(F.regexp_replace(body, _SPACE, "")).cast("long").alias("word_chars"), _without(body, r"#*$%&|<>").alias("n_symbols"))
+    kept = [F.col(f"`{c}`") for c in step.columns]
+    step = step.select(*kept, words.alias("_words"), lines.alias("_lines"))
     n = F.size("_words")
-    triple = F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, n).alias("b"), F.slice("_words", 3, n).alias("c"))
-    windows = F.transform(F.slice(triple, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i")))
-    kept = [F.col(f"`{c}`") for c in step.columns if c not in ("_words", "_lines")]
-    step = step.select(*kept, n.cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.sort_array(windows).alias("_sorted"))
+    word = lambda i: F.get("_words", i)
+    windows = F.when(n > 2, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))).otherwise(F.array().cast("array<long>"))
+    step = step.select(*kept, n.cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), windows.alias("_windows"))
+    kept = [F.col(f"`{c}`") for c in step.columns if c != "_windows"]
+    # most texts repeat no window at all, and need no sort
+    placed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    step = step.select(*kept, F.when(repeats, F.sort_array(placed)).otherwise(F.array().cast("array<struct<h: long, i: int>>")).alias("_sorted"))
     same = F.zip_with("_sorted", F.slice("_sorted", 2, F.greatest(F.size("_sorted"), F.lit(1))), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
     step = step.withColumn("_same", same)
     flagged = F.filter(F.arrays_zip(F.col("_sorted").alias("w"), F.col("_same").alias("next"), F.concat(F.array(F.lit(False)), "_same").alias("before")), lambda x: (x["next"] | x["before"]) & x["w"].isNotNull())
@@ -71,15 +100,19 @@ def with_counts(documents: DataFrame, *, text: str = "text") -> DataFrame:
     return step.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def char_histogram(text: Column) -> Column:
-    """Characters of each class, and of none."""
-    counts = [_without(text, c) for c in CLASSES.values()]
-    return F.array(*counts, F.length(text) - sum(counts[1:], counts[0]))
+def _branches(words: list[str]) -> str:
+    """The words as a regular expression in which common beginnings are written once."""
+    below: dict[str, list[str]] = {}
+    for w in words:
+        below.setdefault(w[:1], []).append(w[1:])
+    parts = [c + _branches(rest) for c, rest in sorted(below.items()) if c]
+    body = "|".join(parts)
+    return "" if not parts else f"(?:{body})?" if "" in below else f"(?:{body})" if len(parts) > 1 else body
 
 
 def common_words(text: Column) -> Column:
     """The common words of a text as they come, in lower case, each between bars."""
-    pattern = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(WORDS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+    pattern = r"(?<![\p{L}\p{N}])" + _branches(WORDS) + r"(?![\p{L}\p{N}])"
     return F.concat(F.lit("|"), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), "||"), F.lit("|"))
 
 
@@ -108,9 +141,10 @@ def with_verdict(
 ) -> DataFrame:
     """The base counts with char_distance, word_distance, language and kept, replacing columns of such names; the text itself is not carried on."""
     new = ("char_distance", "word_distance", "language", "kept", "_chars", "_common", "_uses", "_lang", "_text", "_n_chars", "_n_common")
-    body = F.coalesce(documents[text], F.lit(""))
-    carried = documents.select(*[documents[f"`{c}`"] for c in documents.columns if c not in (*new, text)], documents[text].alias("_text"), F.col(lang).alias("_lang"), char_histogram(body).alias("_chars"), common_words(body).alias("_uses"))
-    counted = with_counts(carried, text="_text").drop("_text")
+    old = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    carried = documents.select(*[documents[f"`{c}`"] for c in documents.columns if c not in (*new, *old, text)], documents[text].alias("_text"), F.col(lang).alias("_lang"))
+    carried = with_classes(carried, "_text").withColumn("_uses", common_words(F.coalesce("_text", F.lit(""))))
+    counted = _counted(carried, "_text").drop("_text")
     counted = counted.withColumn("_common", word_histogram(F.col("_uses"))).drop("_uses")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     counted = written(counted.withColumns({"_n_chars": total("_chars"), "_n_common": total("_common")}), "divergence")
