@@ -128,8 +128,9 @@ def indel_distance(left: Column, right: Column) -> Column:
 
     The subsequence is a fold over one text with the row of the other as state.
     """
-    row = F.transform(F.concat(F.array(F.lit("")), F.split(right, "(?!^)")), lambda _: F.lit(0))
-    chars = F.split(right, "(?!^)")
+    letters = lambda x: F.array_remove(F.split(x, ""), "")
+    chars = letters(right)
+    row = F.transform(F.concat(F.array(F.lit("")), chars), lambda _: F.lit(0))
 
     def step(before: Column, c: Column) -> Column:
         def cell(done: Column, x: Column) -> Column:
@@ -139,6 +140,6 @@ def indel_distance(left: Column, right: Column) -> Column:
 
         return F.aggregate(chars, F.array(F.lit(0)), cell)
 
-    common = F.aggregate(F.split(left, "(?!^)"), row, step, lambda x: F.element_at(x, -1))
+    common = F.aggregate(letters(left), row, step, lambda x: F.element_at(x, -1))
     common = F.when((F.length(left) == 0) | (F.length(right) == 0), F.lit(0)).otherwise(common)
     return F.length(left) + F.length(right) - 2 * common
