@@ -8,8 +8,9 @@ told by tag, role, class or id) and gaps between page regions leave empty lines
 The distribution is the sum of text lengths over a sliding window of lines, where text in
 links does not count. Where it leaves zero the text surges, where it falls back to zero it
 dives; the lines between are a candidate. Candidates inside ``article`` or ``main`` are the
-main text; on a page without these it is the largest candidate and those of at least
-``share`` of its length. Every line between the surge and the dive is kept, short ones too.
+main text; on a page without these it reaches from the first to the last candidate of at least
+``share`` of the largest one's length, without those that are mostly links. Every line between
+a surge and its dive is kept, short ones too.
 
 A null, empty or text-free page gives an empty text. A page cut off in the middle of a tag
 or reference gives the text before it. Each repeated row is extracted on its own. Pages are
@@ -142,7 +143,7 @@ def lines_of(page: str | None, gap: int) -> list[Line]:
     return lines
 
 
-def main_text(page: str | None, *, window: int = 3, share: float = 0.25, inner: bool = True) -> str:
+def main_text(page: str | None, *, window: int = 3, share: float = 0.1, inner: bool = True) -> str:
     """The blocks of the main text, joined by line feeds."""
     lines = lines_of(page, window)
     lengths = [0] * (window - 1) + [len(x.text) if x.plain > 0.4 * len(x.text) or x.inside else 0 for x in lines] + [0] * window
@@ -161,7 +162,8 @@ def main_text(page: str | None, *, window: int = 3, share: float = 0.25, inner:
     kept = [x for x in regions if any(y.inside for y in x)] if inner else []
     if not kept:
         weights = [sum(y.plain for y in x) for x in regions]
-        kept = [x for x, w in zip(regions, weights) if w >= share * max(weights)]
+        large = [k for k, w in enumerate(weights) if w >= share * max(weights)]
+        kept = [x for k, x in enumerate(regions) if large[0] <= k <= large[-1] and 2 * weights[k] > sum(len(y.text) for y in x)]
     return "\n".join(y.text for x in kept for y in x)
 
 
