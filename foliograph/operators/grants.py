@@ -69,3 +69,17 @@ def nsf_number(text: Column) -> Column:
     """The seven digits of an award number, or null."""
     digits = F.regexp_replace(text, "[^0-9]", "")
     return F.when(digits.rlike("^[0-9]{7}$"), digits)
+
+
+def grant_records(labelled: DataFrame) -> DataFrame:
+    """Institutions with the grant numbers that follow them; numbers before any institution are a record of their own.
+
+    ``labelled`` has doc_id, sentence, and the arrays tokens and labels.
+    """
+    each = labelled.select("doc_id", "sentence", F.posexplode(F.arrays_zip("tokens", "labels")).alias("pos", "x")).select("doc_id", "sentence", "pos", F.col("x.tokens").alias("token"), F.col("x.labels").alias("label"))
+    order = Window.partitionBy("doc_id", "sentence").orderBy("pos")
+    record = F.sum((F.col("label") == "B-grant-institution").cast("long")).over(order)
+    part = lambda wanted: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(wanted, F.struct("pos", "token")))), lambda x: x["token"]), " ")
+    grouped = each.withColumn("record", record).groupBy("doc_id", "sentence", "record")
+    rows = grouped.agg(part(F.col("label").endswith("grant-institution")).alias("institution"), part(F.col("label") == "B-grant-number").alias("numbers"))
+    return rows.filter("institution <> '' or numbers <> ''")

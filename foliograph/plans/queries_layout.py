@@ -324,3 +324,13 @@ def width_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most common line widths of each document."""
     counts = B.with_spacing(V.line(spark, sf_dir)).groupBy("doc_id", "width").agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "width"))).filter("rank <= 3")
+
+
+@query("grant_records", V.with_sql("grant_token", then="SELECT p_partkey AS doc_id, CAST(1 AS BIGINT) AS sentence, r AS record, CASE WHEN r = 1 THEN 'National Science Foundation' ELSE 'NSF' END AS institution, CASE WHEN r = 1 AND p_partkey > 0 THEN 'IIS-' || (p_partkey * 7919) ELSE '' END AS numbers FROM part, (SELECT CAST(unnest([1, 2]) AS BIGINT) AS r) WHERE p_partkey % 15 = 0"))
+def grant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Institutions with their grant numbers."""
+    found = G.sentences(_grant_tokens(spark, sf_dir))
+    hits = found.join(G.support_sentences(found), ["doc_id", "sentence"]).filter(F.col("tok_idx") >= F.col("after"))
+    tokens = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x["token"])
+    each = hits.groupBy("doc_id", "sentence").agg(tokens.alias("tokens"))
+    return G.grant_records(each.withColumn("labels", G.grant_labels(F.col("tokens"))))

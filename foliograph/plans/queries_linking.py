@@ -147,3 +147,31 @@ def cited_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes = refs.join(hits, ["doc_id", "ref_no"], "left_semi").select("doc_id", F.lit(1).alias("hit"))
     no = refs.join(hits, ["doc_id", "ref_no"], "left_anti").select("doc_id", F.lit(0).alias("hit"))
     return yes.unionByName(no).groupBy("doc_id").agg(F.count("*").alias("n_refs"), F.sum("hit").alias("n_cited"), F.sum(1 - F.col("hit")).alias("n_uncited"))
+
+
+@query(
+    "citation_contexts",
+    V.with_sql(
+        "reference",
+        "cited",
+        "body",
+        then=r"""SELECT doc_id, ref_no, style, unnest(regexp_extract_all(text, '(?s).{0,20}?' || core || '.{0,20}')) AS context FROM (
+SELECT doc_id, ref_no, 'DATE' AS style, last1 || '[^.\[\]]{0,40}' || year AS core FROM reference UNION ALL
+SELECT doc_id, ref_no, 'NUMBER', '\[(?:[^\]]*[^0-9\]])?' || regexp_extract(marker, '[0-9]+') || '(?:[^0-9\]][^\]]*)?\]' FROM reference WHERE marker <> '') JOIN body USING (doc_id)""",
+    ),
+)
+def citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text around citations of each reference."""
+    return L.citation_contexts(V.reference(spark, sf_dir), _bodies(spark, sf_dir), 20)
+
+
+@query(
+    "spliced_citations",
+    V.with_sql("reference", "cited", then="SELECT doc_id, ref_no, CASE WHEN length(text) > 3 THEN substr(text, 1, 1) || '<citation refID=\"r' || ref_no || '\">' || substr(text, 4, length(text) - 4) || '</citation>' ELSE text END AS text FROM cited"),
+)
+def spliced_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation tags spliced into text."""
+    n = F.length("text")
+    span = lambda a, b, tag: F.struct(a.alias("start"), b.alias("stop"), tag.alias("tag"))
+    spans = F.array(span(F.lit(1), F.lit(3), F.concat(F.lit('<citation refID="r'), "ref_no", F.lit('">'))), span(n - 1, n, F.lit("</citation>")))
+    return V.cited(spark, sf_dir).select("doc_id", "ref_no", F.when(n > 3, L.spliced(F.col("text"), spans)).otherwise(F.col("text")).alias("text"))
