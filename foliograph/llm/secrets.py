@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm import spans as S
-from foliograph.llm.shared import written
 
 STRONG = ("assign", "access", "hex")
 WEAK = ("identifier", "opaque", "endpoint")
