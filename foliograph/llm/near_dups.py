@@ -11,13 +11,16 @@ counted over all documents, in blocks of bounded size.
 Texts with equal words are one node, told by a 128-bit digest. Improved consistent weighted
 sampling draws ``bands * rows`` samples from each node's weights; two nodes agree on a sample
 with the probability of their weighted Jaccard similarity. Nodes that agree on a whole band
-share a bucket. Buckets are not expanded into pairs. In each round every bucket that still
-holds more than one class names some of its nodes as centres, the others that are not of a
-centre's class are compared with it, and the centres leave the bucket: all their links in it
-are known. The number of centres grows fourfold each round, and rounds go on until no bucket
-holds two classes, so no link between candidates is lost. A pair is first compared by its
-samples, then by the weighted Jaccard similarity of its whole texts. Links join classes,
-whose names spread along links and then by pointer jumping.
+share a bucket. Buckets are not expanded into pairs. First every node is compared with the
+centre of each of its buckets, the node that shares buckets with most others; a group of near
+copies becomes one class by that. Only buckets that then still hold several classes are
+looked at again, completely: their nodes are dealt into blocks, and in each block the nodes
+outside the bucket's largest class are compared with all others, first by their samples as
+one matrix, then, where these allow it, by their texts. A pair that shares an earlier band is
+left to that band's bucket, and a pair whose classes the block has already joined is
+skipped, so what comes out is at most one link for each class joined. A link is always
+decided by the weighted Jaccard similarity of whole texts. Links join classes, whose names
+spread along links and then by pointer jumping.
 
 Null texts count as empty, and texts without words are copies of each other. Ids may be null
 or repeat: a class is named by its least id that is not null. Repeated rows are copies.
@@ -26,11 +29,12 @@ or repeat: a class is named by its least id that is not null. Repeated rows are
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.shared import written
@@ -47,6 +51,9 @@ _GRID = np.linspace(0, 40, 400_001)
 #: Quantiles of Gamma(2, 1) at the middle of 65,536 equal steps, and their logarithms.
 _GAMMA = np.interp((np.arange(65_536) + 0.5) / 65_536, 1 - (1 + _GRID) * np.exp(-_GRID), _GRID).astype(np.float32)
 _LOG_GAMMA = np.log(_GAMMA)
+_UNIFORM = ((np.arange(65_536) + 0.5) / 65_536).astype(np.float32)
+#: Where the high, second and third 16 bits of a 64-bit number lie in memory.
+_HIGH = (3, 2, 1) if sys.byteorder == "little" else (0, 1, 2)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -102,10 +109,10 @@ def samples(found: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     for k in range(0, len(found), 2048):
         some = found[k : k + 2048]
         x = some[:, None] * _TIMES[None, :n] + _PLUS[None, :n]
-        r = _GAMMA[(x >> np.uint64(48)).astype(np.intp)]
-        beta = ((x >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
+        part = x.view(np.uint16).reshape(*x.shape, 4)  # the high bits of a product are the well mixed ones
+        r, c, beta = _GAMMA.take(part[..., _HIGH[0]]), _LOG_GAMMA.take(part[..., _HIGH[1]]), _UNIFORM.take(part[..., _HIGH[2]])
         t = np.floor(logs[k : k + 2048, None] / r + beta)
-        value = _LOG_GAMMA[((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.intp)] - r * (t - beta + 1)
+        value = c - r * (t - beta + 1)
         row = value.argmin(0)
         least = value[row, columns]
         better = least < best
@@ -115,11 +122,24 @@ def samples(found: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (shingles, weights); 1 for two empty ones."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][i], b[1][j]).sum()
+    """Weighted Jaccard similarity of two (ascending shingles, weights); 1 for two empty ones."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = b[0][at] == a[0]
+    common = np.minimum(a[1][both], b[1][at[both]]).sum()
     total = a[1].sum() + b[1].sum() - common
-    return float(common / total) if total else 1.0
+    return float(common / total)
+
+
+def similarities(a: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``similarity`` of one to each of several, none of them empty."""
+    found, weights = (np.concatenate(x) for x in zip(*others))
+    at = np.minimum(np.searchsorted(a[0], found), len(a[0]) - 1)
+    common = np.where(a[0][at] == found, np.minimum(weights, a[1][at]), 0.0)
+    starts = np.cumsum([0, *(len(x[0]) for x in others[:-1])])
+    common, own = np.add.reduceat(common, starts), np.add.reduceat(weights, starts)
+    return common / (own + a[1].sum() - common)
 
 
 def _frequencies(texts: DataFrame, size: int, floor: float, block: int) -> Weights:
@@ -202,27 +222,19 @@ def classes(
 
     rows_signed = written(documents.select(F.col(key).alias("id"), signed(F.col(text)).alias("s")).select("id", "s.*"), "signed")
     nodes = written(rows_signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("drawn").alias("drawn")), "nodes")
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = written(member.join(shared, "bucket"), "members")
+    member = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = member.join(sizes, "bucket")
+    weight = F.sum("n").over(Window.partitionBy("node"))
+    members = written(members.select("band", "bucket", "node", weight.alias("weight")), "members")
     labels = written(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    drawn = written(nodes.join(labels, "node", "left_semi").select("node", "drawn"), "drawn")
-    bodies = documents.select(_digest(text).alias("node"), F.col(text).alias("body"))
-    bodies = written(bodies.join(labels, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "bodies")
-    centres_each = 1
-    while True:
-        placed = members.join(labels, "node")
-        mixed = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("bucket")
-        placed = written(placed.join(mixed, "bucket"), "placed")
-        if placed.isEmpty():
-            break
-        part = F.pmod(F.xxhash64("bucket", "node"), F.lit(centres_each))
-        centres = written(placed.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("of")), "centres")
-        pairs = placed.join(centres, "bucket").filter(F.col("label") != F.col("of")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        links = _verified(pairs, drawn, bodies, weights, size, threshold, n)
-        labels = _merged(labels, links)
-        members = written(placed.select("bucket", "node").join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti"), "members")
-        centres_each *= 4
+    drawn = written(nodes.join(labels, "node", "left_semi").select("node", "drawn", "bands"), "drawn")
+    bodies = written(_bodies(documents, nodes.join(labels, "node", "left_semi").select("node", "id"), key, text), "bodies")
+
+    centres = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    pairs = members.join(centres, "bucket").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    labels = _merged(labels, _verified(_likely(pairs, drawn, threshold, n), bodies, weights, size, threshold))
+    labels = _merged(labels, _across(members.drop("weight"), labels, drawn, bodies, weights, size, threshold, n))
     grouped = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = grouped.groupBy("label").agg(F.min("id").alias("class_id"))
     of_node = grouped.join(names, "label").select("node", "class_id")
@@ -238,20 +250,97 @@ def _digest(text: str):
     return digest(F.col(text))
 
 
-def _verified(pairs: DataFrame, drawn: DataFrame, bodies: DataFrame, weights: Weights, size: int, threshold: float, n: int) -> DataFrame:
-    """The pairs (a, b) whose texts are as similar as asked for."""
-    # four standard deviations below the threshold
-    least = n * threshold - 4 * (n * threshold * (1 - threshold)) ** 0.5
+def _bodies(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, body): a text of each wanted (node, id); an id may have other texts too."""
+    wanted = wanted.select(F.col("node").alias("_node"), F.col("id").alias("_id"))
+    found = documents.select(F.col(key).alias("_key"), F.col(text).alias("body")).join(wanted, F.col("_key").eqNullSafe(F.col("_id")))
+    found = found.select("_node", "body", _digest("body").alias("node")).filter("node = _node")
+    return found.groupBy("node").agg(F.first("body").alias("body"))
+
+
+def _least(n: int, threshold: float) -> float:
+    """Agreeing samples of ``n`` that a similar pair has: four standard deviations below what it should have."""
+    return n * threshold - 4 * (n * threshold * (1 - threshold)) ** 0.5
+
+
+def _likely(pairs: DataFrame, drawn: DataFrame, threshold: float, n: int) -> DataFrame:
+    """The pairs (a, b) whose samples agree often enough."""
+    least = _least(n, threshold)
 
     @F.pandas_udf("boolean")
     def likely(left: pd.Series, right: pd.Series) -> pd.Series:
         a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, n) for x in (left, right))
         return pd.Series((a == b).sum(1) >= least)
 
-    def named(df: DataFrame, column: str, other: str) -> DataFrame:
-        return df.select(F.col("node").alias(column), F.col(df.columns[1]).alias(other))
-
-    pairs = pairs.join(named(drawn, "a", "drawn_a"), "a").join(named(drawn, "b", "drawn_b"), "b").filter(likely("drawn_a", "drawn_b")).select("a", "b")
+    a, b = (drawn.select(F.col("node").alias(c), F.col("drawn").alias(f"drawn_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").filter(likely("drawn_a", "drawn_b")).select("a", "b")
+
+
+def _across(members: DataFrame, labels: DataFrame, drawn: DataFrame, bodies: DataFrame, weights: Weights, size: int, threshold: float, n: int, block: int = 512) -> DataFrame:
+    """Links (a, b) that join classes within buckets that hold several classes.
+
+    A bucket's nodes are dealt into blocks of about ``block``; the nodes outside its largest
+    class meet every block, the others only their own. Blocks are small and many, so a task's
+    frame holds several. Buckets of two are settled: one of them was the other's centre.
+    """
+    least = _least(n, threshold)
+    placed = members.join(labels, "node")
+    mixed = placed.groupBy("band", "bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a != b and n > 2").select("band", "bucket", "n")
+    counts = placed.join(mixed.select("band", "bucket"), ["band", "bucket"]).groupBy("band", "bucket", "label").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("band", "bucket").agg(F.max(F.struct("k", "label")).alias("l")).select("band", "bucket", F.col("l.label").alias("largest"))
+    blocks = mixed.join(largest, ["band", "bucket"]).select("band", "bucket", "largest", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    minor = F.col("label") != F.col("largest")
+    to = F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    dealt = placed.join(blocks, ["band", "bucket"]).select("band", "bucket", F.explode(to).alias("block"), own.alias("own"), minor.alias("minor"), "node", "label")
+    dealt = written(dealt, "dealt")
+    frames = max(1, dealt.count() // 2000)
+    dealt = dealt.withColumn("frame", F.pmod(F.xxhash64("band", "bucket", "block"), F.lit(frames))).join(drawn, "node").join(bodies, "node")
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [links_in(frame.iloc[rows]) for rows in frame.groupby(["bucket", "block"], sort=False).indices.values()]
+        return pd.DataFrame([x for part in parts for x in part], columns=["a", "b"], dtype=object)
+
+    def links_in(frame: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+        samples_of = np.frombuffer(b"".join(frame["drawn"]), np.uint16).reshape(-1, n)
+        earlier = np.array(frame["bands"].tolist(), np.int64)[:, : frame["band"].iloc[0]]
+        classes_of = pd.factorize(frame["label"])[0]
+        parent = list(range(len(frame)))
+        nodes, bodies_of, minors = frame["node"].tolist(), frame["body"].tolist(), frame["minor"].to_numpy()
+        here = np.flatnonzero((frame["own"] == frame["block"]).to_numpy())
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: list[tuple[bytes, bytes]] = []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def weighed(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in known:
+                mine, times = shingles(words_of(bodies_of[k]), size)
+                known[k] = (mine, weights.of(mine, times))
+            return known[k]
+
+        for i in np.flatnonzero(minors):
+            agree = (samples_of[here] == samples_of[i]).sum(1)
+            some = (agree >= least) & (classes_of[here] != classes_of[i]) & ~(earlier[here] == earlier[i]).any(1)
+            # two nodes of small classes meet twice, and are compared once
+            left = [j for j in here[some][np.argsort(-agree[some], kind="stable")] if not (minors[j] and nodes[j] < nodes[i])]
+            while left := [j for j in left if root(classes_of[j]) != root(classes_of[i])]:
+                now, left = left[:64], left[64:]
+                for j, alike in zip(now, similarities(weighed(i), [weighed(j) for j in now])):
+                    a, b = root(classes_of[i]), root(classes_of[j])
+                    if alike >= threshold and a != b:
+                        parent[a] = b
+                        found.append((nodes[i], nodes[j]))
+        return found
+
+    return written(dealt.groupBy("frame").applyInPandas(joined, "a binary, b binary"), "across")
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, weights: Weights, size: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts are as similar as asked for."""
 
     @F.pandas_udf("double")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -268,7 +357,8 @@ def _verified(pairs: DataFrame, drawn: DataFrame, bodies: DataFrame, weights: We
         for left, right in batches:
             yield pd.Series([similarity(weighed(x), weighed(y)) for x, y in zip(left, right)], dtype="float64")
 
-    texts = pairs.join(named(bodies, "b", "body_b"), "b").join(named(bodies, "a", "body_a"), "a")
+    a, b = (bodies.select(F.col("node").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
+    texts = pairs.join(b, "b").join(a, "a")
     return written(texts.filter(similar("body_a", "body_b") >= threshold).select("a", "b"), "links")
 
 
