@@ -4,13 +4,14 @@ Four base patterns (e-mail and IP addresses, card and phone numbers) find what c
 by its form. Those finds are the seeds: the two words before each are a lexical pattern.
 Weak candidates (other long numbers, written-out or incomplete addresses) are instances of
 unknown standing. Patterns and instances form a graph, scored in rounds: a pattern is worth
-the confidence of its instances over all its occurrences in the texts that hold any
-candidate, so that everyday words score near zero; an instance is as credible as at least
+the confidence of what stands behind it, occurrence by occurrence, over all its occurrences
+in all texts, so that everyday words score near zero; an instance is as credible as at least
 one of its patterns being right. Instances that pass ``accept`` become spans of the kind
 their best pattern belongs to. Only patterns with ``support`` different seeds take part.
 
 All of it is DataFrame functions. Every round's table goes to the shared folder. Texts are
-never shuffled for scoring, only the candidates with their context; equal texts count once.
+never shuffled for scoring, only the candidates with their context and the places of patterns;
+equal texts count once.
 
 A null text counts as empty; an empty one has no spans. Rows are kept as they come, repeated
 ones too; columns ``spans`` and ``base`` are replaced.
@@ -100,23 +101,21 @@ def _discovered(texts: DataFrame, support: int, accept: float, rounds: int) -> D
         name.alias("name"),
     )
     parts = written(parts.dropDuplicates(["_row", "_sum", "span"]), "pii-parts")
-    seeds = parts.filter("seed").select("pattern", "kind", "is_address", "name").distinct()
-    patterns = seeds.groupBy("pattern", "kind", "is_address").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    seeds = parts.filter("seed").groupBy("pattern", "kind", "is_address", "name").agg(F.count("*").alias("n"))
+    patterns = seeds.groupBy("pattern", "kind", "is_address").agg(F.count("*").alias("names"), F.sum("n").alias("n")).filter(F.col("names") >= support).drop("names")
     patterns = written(patterns, "pii-patterns")
     unknown = parts.filter(~F.col("seed"))
     if patterns.isEmpty() or unknown.isEmpty():
         return None
-    words = _words(F.col("_text"))
-    pairs = holding.select(F.explode(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(F.concat_ws(" ", a, b))))).alias("key"))
-    times = pairs.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("times"))
-    patterns = written(patterns.withColumn("key", F.xxhash64("pattern")).join(times, "key", "left").drop("key"), "pii-times")
+    patterns = patterns.withColumn("key", F.xxhash64("pattern"))
+    patterns = written(patterns.join(_times(texts, patterns), "key", "left").drop("key"), "pii-times")
     # an unknown name with a pattern of each kind that its form allows; a name that is a seed somewhere stays a seed there only
-    edges = unknown.select("pattern", "is_address", "name").distinct().join(patterns.select("pattern", "kind", "is_address"), ["pattern", "is_address"])
+    edges = unknown.groupBy("pattern", "is_address", "name").agg(F.count("*").alias("seen")).join(patterns.select("pattern", "kind", "is_address"), ["pattern", "is_address"])
     edges = written(edges, "pii-edges")
     scores = patterns.select("pattern", "kind", (F.col("n") / (F.greatest(F.coalesce("times", F.lit(0)), F.col("n")) + 1)).alias("score"))
     for k in range(rounds):
         names = _credible(edges, scores)
-        gained = edges.join(names, ["name", "kind"]).groupBy("pattern", "kind").agg(F.sum("confidence").alias("gained"))
+        gained = edges.join(names, ["name", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("confidence") * F.col("seen")).alias("gained"))
         total = F.col("n") + F.coalesce("gained", F.lit(0.0))
         scores = patterns.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", (total / (F.greatest(F.coalesce("times", F.lit(0)).cast("double"), total) + 1)).alias("score"))
         scores = written(scores, f"pii-scores-{k}")
@@ -126,6 +125,16 @@ def _discovered(texts: DataFrame, support: int, accept: float, rounds: int) -> D
     return hits.groupBy("_row", "_sum").agg(F.sort_array(F.collect_set(span)).alias("_found"))
 
 
+def _times(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(key, times): how often each pattern occurs in all different texts."""
+    text = F.col("_text")
+    worded = texts.select(F.xxhash64(text).alias("_row"), F.md5(text.cast("binary")).alias("_sum"), _words(text).alias("_words"))
+    keys = F.zip_with("_words", F.slice("_words", 2, F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.xxhash64(F.concat_ws(" ", a, b))))
+    places = worded.select("_row", "_sum", F.posexplode(keys).alias("_place", "key"))
+    hits = places.join(patterns.select("key").distinct(), "key", "left_semi").dropDuplicates(["_row", "_sum", "_place", "key"])
+    return hits.groupBy("key").agg(F.count("*").alias("times"))
+
+
 def _credible(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """(name, kind, confidence): that at least one of a name's patterns is right."""
     doubt = F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999999)))))

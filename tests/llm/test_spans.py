@@ -114,3 +114,22 @@ def test_awkward_rows(spark):
 
 def test_digest_form():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def discovered(spark, texts):
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    return {x["body"] for r in pii.with_spans(documents(spark, rows)).collect() for x in r["spans"] if x not in r["base"]}
+
+
+def test_copies_and_repeated_seeds_keep_a_pattern(spark):
+    seeds = [f"well call me: user{k}@host{k}.org now" for k in "abcde"]
+    unseen = "please call me: bob [at] example [dot] org yes"
+    assert discovered(spark, [*seeds, unseen]) == {"bob [at] example [dot] org"}
+    assert discovered(spark, [*seeds, *seeds[:1] * 300, unseen]) == {"bob [at] example [dot] org"}
+    assert discovered(spark, [*seeds, *(f"note {'x' * k} call me: usera@hosta.org" for k in range(1, 60)), unseen]) == {"bob [at] example [dot] org"}
+
+
+def test_everyday_words_count_in_all_texts(spark):
+    seeds = [f"well call me: user{k}@host{k}.org now" for k in "abcde"]
+    everyday = [f"they call me: the {'y' * k} one" for k in range(1, 40)]
+    assert discovered(spark, [*seeds, *everyday, "please call me: bob [at] example [dot] org yes"]) == set()
