@@ -14,9 +14,10 @@ with the probability of their weighted Jaccard similarity. Nodes that agree on a
 share a bucket. Buckets are not expanded into pairs. First every node is compared with the
 centre of each of its buckets, the node that shares buckets with most others; a group of near
 copies becomes one class by that. Only buckets that then still hold several classes are
-looked at again, completely: their nodes are dealt into blocks, and in each block the nodes
-outside the bucket's largest class are compared with all others, first by their samples as
-one matrix, then, where these allow it, by their texts. A pair that shares an earlier band is
+looked at again, completely: the nodes of the bucket's largest class and the others are dealt into
+blocks, and every two blocks that are not both of the largest class meet in a group of
+bounded size, first by their samples as one matrix, then, with the nodes that these leave, by
+their texts. A pair that shares an earlier band is
 left to that band's bucket, and a pair whose classes the block has already joined is
 skipped, so what comes out is at most one link for each class joined. A link is always
 decided by the weighted Jaccard similarity of whole texts. Links join classes, whose names
@@ -279,35 +280,66 @@ def _likely(pairs: DataFrame, drawn: DataFrame, threshold: float, n: int) -> Dat
 def _across(members: DataFrame, labels: DataFrame, drawn: DataFrame, bodies: DataFrame, weights: Weights, size: int, threshold: float, n: int, block: int = 512) -> DataFrame:
     """Links (a, b) that join classes within buckets that hold several classes.
 
-    A bucket's nodes are dealt into blocks of about ``block``; the nodes outside its largest
-    class meet every block, the others only their own. Blocks are small and many, so a task's
-    frame holds several. Buckets of two are settled: one of them was the other's centre.
+    A bucket's nodes are dealt into blocks of about ``block``, those of its largest class and
+    the others apart. A group is two blocks, at least one of them of the others, so that no
+    group grows with the bucket. Groups see samples only; texts come to the nodes whose samples
+    agree with another's in the group. Groups are many, so a task's frame holds several.
+    Buckets of two are settled: one of them was the other's centre.
     """
     least = _least(n, threshold)
+    place = ["band", "bucket", "x", "y"]
     placed = members.join(labels, "node")
     mixed = placed.groupBy("band", "bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a != b and n > 2").select("band", "bucket", "n")
     counts = placed.join(mixed.select("band", "bucket"), ["band", "bucket"]).groupBy("band", "bucket", "label").agg(F.count("*").alias("k"))
-    largest = counts.groupBy("band", "bucket").agg(F.max(F.struct("k", "label")).alias("l")).select("band", "bucket", F.col("l.label").alias("largest"))
-    blocks = mixed.join(largest, ["band", "bucket"]).select("band", "bucket", "largest", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    largest = counts.groupBy("band", "bucket").agg(F.max(F.struct("k", "label")).alias("l")).select("band", "bucket", F.col("l.label").alias("largest"), F.col("l.k").alias("k"))
+    many = lambda c: F.ceil(c / block).cast("int")
+    blocks = mixed.join(largest, ["band", "bucket"]).select("band", "bucket", "largest", many(F.col("k")).alias("majors"), many(F.col("n") - F.col("k")).alias("minors"))
     minor = F.col("label") != F.col("largest")
-    to = F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    dealt = placed.join(blocks, ["band", "bucket"]).select("band", "bucket", F.explode(to).alias("block"), own.alias("own"), minor.alias("minor"), "node", "label")
-    dealt = written(dealt, "dealt")
-    frames = max(1, dealt.count() // 2000)
-    dealt = dealt.withColumn("frame", F.pmod(F.xxhash64("band", "bucket", "block"), F.lit(frames))).join(drawn, "node").join(bodies, "node")
+    own = F.pmod(F.xxhash64("node"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int")
+    # x is a block of the largest class, or one of the others counted down from -1; y is one of the others
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    group = lambda x, y, left, here: F.struct(x.alias("x"), y.alias("y"), left.alias("left"), here.alias("here"))
+    among = each(F.col("minors"), lambda k: group(-1 - F.least(own, k), F.greatest(own, k), own >= k, own <= k))
+    with_majors = each(F.col("majors"), lambda k: group(k, own, F.lit(True), F.lit(False)))
+    as_major = each(F.col("minors"), lambda k: group(own, k, F.lit(False), F.lit(True)))
+    to = F.when(minor, F.concat(with_majors, among)).otherwise(as_major)
+    dealt = placed.join(blocks, ["band", "bucket"]).select("band", "bucket", "node", "label", F.explode(to).alias("to")).select("band", "bucket", "node", "label", "to.*")
+
+    def framed(dealt: DataFrame) -> DataFrame:
+        frames = max(1, dealt.count() // 2000)
+        return dealt.withColumn("frame", F.pmod(F.xxhash64(*place), F.lit(frames))).join(drawn, "node")
+
+    def each_group(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return (frame.iloc[rows] for rows in frame.groupby(place, sort=False).indices.values())
+
+    def agreeing(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each left row with the rows here that its samples allow, and how many samples agree."""
+        samples_of = np.frombuffer(b"".join(frame["drawn"]), np.uint16).reshape(-1, n)
+        earlier = np.array(frame["bands"].tolist(), np.int64)[:, : frame["band"].iloc[0]]
+        classes_of = pd.factorize(frame["label"])[0]
+        here = np.flatnonzero(frame["here"])
+        for i in np.flatnonzero(frame["left"]):
+            agree = (samples_of[here] == samples_of[i]).sum(1)
+            some = (agree >= least) & (classes_of[here] != classes_of[i]) & ~(earlier[here] == earlier[i]).any(1)
+            yield i, here[some], agree[some]
+
+    def needed(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for group in each_group(frame):
+            hit = np.zeros(len(group), bool)
+            for i, others, _ in agreeing(group):
+                hit[others] = True
+                hit[i] |= len(others) > 0
+            out.append(group[hit])
+        return pd.concat(out)[["node", "label", *place, "left", "here"]]
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [links_in(frame.iloc[rows]) for rows in frame.groupby(["bucket", "block"], sort=False).indices.values()]
-        return pd.DataFrame([x for part in parts for x in part], columns=["a", "b"], dtype=object)
+        return pd.DataFrame([x for group in each_group(frame) for x in links_in(group)], columns=["a", "b"], dtype=object)
 
     def links_in(frame: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        samples_of = np.frombuffer(b"".join(frame["drawn"]), np.uint16).reshape(-1, n)
-        earlier = np.array(frame["bands"].tolist(), np.int64)[:, : frame["band"].iloc[0]]
         classes_of = pd.factorize(frame["label"])[0]
         parent = list(range(len(frame)))
-        nodes, bodies_of, minors = frame["node"].tolist(), frame["body"].tolist(), frame["minor"].to_numpy()
-        here = np.flatnonzero((frame["own"] == frame["block"]).to_numpy())
+        nodes, bodies_of, lefts = frame["node"].tolist(), frame["body"].tolist(), frame["left"].to_numpy()
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         found: list[tuple[bytes, bytes]] = []
 
@@ -322,11 +354,9 @@ def _across(members: DataFrame, labels: DataFrame, drawn: DataFrame, bodies: Dat
                 known[k] = (mine, weights.of(mine, times))
             return known[k]
 
-        for i in np.flatnonzero(minors):
-            agree = (samples_of[here] == samples_of[i]).sum(1)
-            some = (agree >= least) & (classes_of[here] != classes_of[i]) & ~(earlier[here] == earlier[i]).any(1)
-            # two nodes of small classes meet twice, and are compared once
-            left = [j for j in here[some][np.argsort(-agree[some], kind="stable")] if not (minors[j] and nodes[j] < nodes[i])]
+        for i, others, agree in agreeing(frame):
+            # two nodes of one block meet twice, and are compared once
+            left = [j for j in others[np.argsort(-agree, kind="stable")] if not (lefts[j] and nodes[j] < nodes[i])]
             while left := [j for j in left if root(classes_of[j]) != root(classes_of[i])]:
                 now, left = left[:64], left[64:]
                 for j, alike in zip(now, similarities(weighed(i), [weighed(j) for j in now])):
@@ -336,7 +366,9 @@ def _across(members: DataFrame, labels: DataFrame, drawn: DataFrame, bodies: Dat
                         found.append((nodes[i], nodes[j]))
         return found
 
-    return written(dealt.groupBy("frame").applyInPandas(joined, "a binary, b binary"), "across")
+    looked = framed(written(dealt, "dealt")).groupBy("frame").applyInPandas(needed, "node binary, label binary, band int, bucket long, x int, y int, left boolean, here boolean")
+    looked = framed(written(looked, "needed")).join(bodies, "node")
+    return written(looked.groupBy("frame").applyInPandas(joined, "a binary, b binary"), "across")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, weights: Weights, size: int, threshold: float) -> DataFrame:

@@ -107,3 +107,32 @@ def test_pipeline(spark, tmp_path):
 def test_columns_may_clash(spark):
     df = awkward(spark).withColumn("node", F.lit(1)).withColumn("label", F.lit(2)).withColumn("id", F.lit(3))
     assert N.deduplicated(df).columns == df.columns
+
+
+def near_copies(seed, n=2):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    base = [word() for _ in range(200)]
+    return [" ".join([*base[:-1], word()]) for _ in range(n)]
+
+
+def test_groups_of_a_bucket_are_bounded(spark, monkeypatch):
+    found = near_copies(1, 30) + near_copies(2, 40)
+    nodes = [bytes([k]) * 16 for k in range(len(found))]
+    empty = N.Weights(np.empty(0, np.uint64), np.empty(0))
+    drawn = [(x, N.samples(*N.shingles(N.words_of(t), 5), 60).astype(np.uint16).tobytes(), list(range(k * 15, k * 15 + 15))) for k, (x, t) in enumerate(zip(nodes, found))]
+    members = spark.createDataFrame([(0, 7, x) for x in nodes], "band int, bucket long, node binary")
+    # the first 20 are one class, all others are classes of their own
+    labels = spark.createDataFrame([(x, nodes[0] if k < 20 else x) for k, x in enumerate(nodes)], "node binary, label binary")
+    bodies = spark.createDataFrame(list(zip(nodes, found)), "node binary, body string")
+    seen = {}
+    kept = N.written
+    monkeypatch.setattr(N, "written", lambda df, name: seen.setdefault(name, kept(df, name)))
+    links = N._across(members, labels, spark.createDataFrame(drawn, "node binary, drawn binary, bands array<long>"), bodies, empty, 5, 0.8, 60, block=4).collect()
+    parent = {x: (nodes[0] if k < 20 else x) for k, x in enumerate(nodes)}
+    for a, b in links:
+        a, b = parent[a], parent[b]
+        parent = {x: b if p == a else p for x, p in parent.items()}
+    assert len({parent[x] for x in nodes[:30]}) == 1 and len({parent[x] for x in nodes[30:]}) == 1 and len(set(parent.values())) == 2
+    sizes = seen["dealt"].groupBy("band", "bucket", "x", "y").count().agg(F.max("count")).first()[0]
+    assert sizes < 35
