@@ -221,8 +221,8 @@ def classes(
                 out.append(known[node])
             yield pd.DataFrame(out, columns=["node", "bands", "drawn"], dtype=object)
 
-    rows_signed = written(documents.select(F.col(key).alias("id"), signed(F.col(text)).alias("s")).select("id", "s.*"), "signed")
-    nodes = written(rows_signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("drawn").alias("drawn")), "nodes")
+    rows_signed = written(documents.select(F.col(key).alias("id"), _sum(text).alias("sum"), signed(F.col(text)).alias("s")).select("id", "sum", "s.*"), "signed")
+    nodes = written(rows_signed.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "sum")).alias("row"), F.first("bands").alias("bands"), F.first("drawn").alias("drawn")), "nodes")
     member = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = member.join(sizes, "bucket")
@@ -230,7 +230,7 @@ def classes(
     members = written(members.select("band", "bucket", "node", weight.alias("weight")), "members")
     labels = written(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
     drawn = written(nodes.join(labels, "node", "left_semi").select("node", "drawn", "bands"), "drawn")
-    bodies = written(_bodies(documents, nodes.join(labels, "node", "left_semi").select("node", "id"), key, text), "bodies")
+    bodies = written(_bodies(documents, nodes.join(labels, "node", "left_semi").select("node", "row.*"), key, text), "bodies")
 
     centres = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
     pairs = members.join(centres, "bucket").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -251,11 +251,15 @@ def _digest(text: str):
     return digest(F.col(text))
 
 
+def _sum(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def _bodies(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, body): a text of each wanted (node, id); an id may have other texts too."""
-    wanted = wanted.select(F.col("node").alias("_node"), F.col("id").alias("_id"))
-    found = documents.select(F.col(key).alias("_key"), F.col(text).alias("body")).join(wanted, F.col("_key").eqNullSafe(F.col("_id")))
-    found = found.select("_node", "body", _digest("body").alias("node")).filter("node = _node")
+    """(node, body): the text of each wanted (node, id, sum). The digest of the text is a key beside the id, so that a text meets only its own node."""
+    wanted = wanted.select("node", F.col("id").alias("_id"), F.col("sum").alias("_sum"))
+    texts = documents.select(F.col(key).alias("_key"), F.col(text).alias("body"), _sum(text).alias("_of"))
+    found = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_sum")))
     return found.groupBy("node").agg(F.first("body").alias("body"))
 
 

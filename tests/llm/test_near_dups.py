@@ -136,3 +136,13 @@ def test_groups_of_a_bucket_are_bounded(spark, monkeypatch):
     assert len({parent[x] for x in nodes[:30]}) == 1 and len({parent[x] for x in nodes[30:]}) == 1 and len(set(parent.values())) == 2
     sizes = seen["dealt"].groupBy("band", "bucket", "x", "y").count().agg(F.max("count")).first()[0]
     assert sizes < 35
+
+
+def test_texts_of_one_id_meet_only_their_own_node(spark):
+    rows = [(i, f"text {i} {k}") for i in (None, 5) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = df.select(F.col("text").cast("binary").alias("node"), F.col("doc_id").alias("id"), N._sum("text").alias("sum"))
+    out = N._bodies(df, wanted, "doc_id", "text")
+    assert {(bytes(r["node"]).decode(), r["body"]) for r in out.collect()} == {(t, t) for _, t in rows}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_of#" in plan.split("Join Inner, ")[1].split("\n")[0]
