@@ -194,7 +194,7 @@ def classes(
     floor: float = 0.01,
     block: int = 1_000_000,
 ) -> DataFrame:
-    """One row for each document: its id, ``node`` (digest of its words) and ``class_id`` (the least id of its class)."""
+    """One row for each document: its id, ``node`` (digest of its words), ``class_id`` (the least id of its class) and ``label`` (the least node of its class)."""
     weights = _frequencies(documents.select(text), size, floor, block)
     n = bands * rows
 
@@ -238,8 +238,8 @@ def classes(
     labels = _merged(labels, _across(members.drop("weight"), labels, drawn, bodies, weights, size, threshold, n))
     grouped = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = grouped.groupBy("label").agg(F.min("id").alias("class_id"))
-    of_node = grouped.join(names, "label").select("node", "class_id")
-    return rows_signed.select(F.col("id").alias(key), "node").join(of_node, "node").select(key, "node", "class_id")
+    of_node = grouped.join(names, "label").select("node", "class_id", "label")
+    return rows_signed.select(F.col("id").alias(key), "node").join(of_node, "node").select(key, "node", "class_id", "label")
 
 
 def _digest(text: str):
@@ -420,10 +420,8 @@ def deduplicated(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     """One document of each class, that of the least id; ids that are null come last."""
     found = classes(documents, key=key, text=text, **options)
     first = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("id"))
-    # the node of each class that holds its least id
-    stay = found.groupBy("class_id", "node").agg(F.min(first(key)).alias("first"))
-    named = stay.filter(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.min(F.struct("first", "node")).alias("m")).select(F.col("m.node").alias("_node"))
-    nodes = named.union(stay.filter(F.col("class_id").isNull()).select("node"))
+    # the node of each class that holds its least id; classes may share that id or have none, so their label tells them apart
+    nodes = found.groupBy("label").agg(F.min(F.struct(first(key), F.col("node"))).alias("m")).select(F.col("m.node").alias("_node"))
     columns = [documents[f"`{c}`"] for c in documents.columns]
     one = documents.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), _digest(text).alias("_node")).groupBy("_node").agg(F.min_by("_row", first("_key")).alias("_row"))
     return one.join(nodes, "_node", "left_semi").select("_row.*")

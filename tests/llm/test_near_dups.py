@@ -146,3 +146,10 @@ def test_texts_of_one_id_meet_only_their_own_node(spark):
     assert {(bytes(r["node"]).decode(), r["body"]) for r in out.collect()} == {(t, t) for _, t in rows}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "(_of#" in plan.split("Join Inner, ")[1].split("\n")[0]
+
+
+def test_classes_that_share_an_id_or_have_none_stay_apart(spark):
+    a, b = near_copies(3), near_copies(4)
+    df = documents(spark, [(5, a[0], "en", "s"), (6, a[1], "en", "s"), (5, "another text that has nothing to do with it", "en", "s"), (None, b[0], "en", "s"), (None, b[1], "en", "s")])
+    out = [(r["doc_id"], r["text"]) for r in N.deduplicated(df).collect()]
+    assert len(out) == 3 and (5, a[0]) in out and (5, "another text that has nothing to do with it") in out and sum(x is None for x, _ in out) == 1
