@@ -29,7 +29,7 @@ _VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?(.*)$"""
 _ACCESS = r"AKIA[A-Z0-9]{12,}+"
 _HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 _IDENTIFIER = r"""(?i:access_?key_?id|access_?id|client_?id|account_?id|key_?id|user_?name|user_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
-_OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,80}+={0,2}(?![A-Za-z0-9+/_=-])"
+_OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 _ENDPOINT = r"""(?<![A-Za-z])(?i:https?|ftps?|sftp|ssh|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?|jdbc:[a-z]{2,20})://[^\x00-\x20"'<>|]{3,}+"""
 
 

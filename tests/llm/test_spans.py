@@ -133,3 +133,12 @@ def test_everyday_words_count_in_all_texts(spark):
     seeds = [f"well call me: user{k}@host{k}.org now" for k in "abcde"]
     everyday = [f"they call me: the {'y' * k} one" for k in range(1, 40)]
     assert discovered(spark, [*seeds, *everyday, "please call me: bob [at] example [dot] org yes"]) == set()
+
+
+def test_long_opaque_runs_are_parts(spark):
+    key = "Zx9Kq0aLw83nXk2Pq81LmZ" * 4
+    rows = [(k, f"client_id = bob99 {s} http://h.example/x", "en", "s") for k, s in enumerate([key[:86] + "==", key[:81], key * 200])]
+    found = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in secrets.with_secrets(documents(spark, rows)).collect()}
+    # the longest run is wider than the scope, so its endpoint has no identifier near
+    assert found == {0: ["identifier", "opaque", "endpoint"], 1: ["identifier", "opaque", "endpoint"], 2: ["identifier", "opaque"]}
+    assert all(key[:81] not in r["text"] for r in secrets.redacted(documents(spark, rows)).collect())
