@@ -1,26 +1,35 @@
 """HTML extraction by line-block distribution.
 
 A page is turned into lines, one for each block of text: tags end blocks or vanish, scripts,
-styles and comments are stripped, character references are decoded. Elements that never
-hold article text (menus, footers, forms, adverts, notices, reader comments and the like,
-told by tag, role, class or id) and gaps between page regions leave empty lines behind.
+styles and comments are stripped, character references are decoded. A line weighs the length
+of its text, where text in links does not count. Markup only changes that weight:
 
-The distribution is the sum of text lengths over a sliding window of lines, where text in
-links does not count. Where it leaves zero the text surges, where it falls back to zero it
-dives; the lines between are a candidate. Candidates inside ``article`` or ``main`` are the
-main text; on a page without these it reaches from the first to the last candidate of at least
-``share`` of the largest one's length, without those that are mostly links. Every line between
-a surge and its dive is kept, short ones too.
+* lines of elements that never hold article text (menus, footers, forms, adverts, notices,
+  reader comments and the like, told by tag, role, or a whole class or id) weigh nothing;
+* headings, lines that end like a sentence, and lines inside ``article`` or ``main`` weigh at
+  least as much as the page's mean line;
+* on a page with ``article`` or ``main``, lines outside weigh a tenth;
+* outside of these, lines below a heading such as "Comments" or "Related posts" weigh nothing,
+  up to the next heading that ranks as high.
+
+The distribution is the sum of weights over a sliding window of lines. Its threshold is
+``share`` of the page's mean weight of a line. Where the sum rises over the threshold the text
+surges, where it falls below it dives. Of the lines between, those count that lie from the
+first to the last one that reaches the threshold by itself: a window reaches over the edge of
+the text, and what stands in it there is no text yet. Between these every line is kept, short
+ones too, but for those that weigh nothing.
 
 A null, empty or text-free page gives an empty text. A page cut off in the middle of a tag
-or reference gives the text before it. Each repeated row is extracted on its own. Pages are
-worked on row by row: no shuffle, and no page is shortened.
+or reference gives the text before it. A quote that is never closed is a character like
+others. Each repeated row is extracted on its own. Pages are worked on row by row, in time
+linear in their length: no shuffle, and no page is shortened.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,35 +37,59 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+_INSIDE = re.compile(r"[^>=]*+")
+_VALUE = re.compile(r"=\s*+")
+_NAMED = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Their content is not markup.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
 _DROPPED = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset", "map"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_INNER = {"article", "main"}
 #: What these hold ends at the next tag of the set.
 _UNCLOSED = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
-_ENDS = _UNCLOSED | {"div", "section", "article", "main", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "header", "footer", "nav", "aside", "form", "body"}
-#: Words of class, id and role that mark what is not article text.
+_ENDS = _UNCLOSED | _HEADINGS | _INNER | {"div", "section", "ul", "ol", "table", "pre", "blockquote", "header", "footer", "nav", "aside", "form", "body"}
+#: Names (class, id, role) of what is not article text.
 _MARKS = {
-    "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "alert", "alertdialog", "banner", "bottom", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "disclaimer", "dialog", "feedback", "footer", "form", "gdpr", "header", "hidden", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
+    "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "disclaimer", "dialog", "feedback", "footer", "form", "gdpr", "header", "hidden", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
-_WORDS = re.compile(r"[a-z]+")
+#: Words of layout that may stand beside a mark in one name, as in ``site-header``; any other word makes it another name.
+_LAYOUT = {"area", "bar", "block", "bottom", "box", "container", "global", "group", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel", "primary", "reader", "right", "secondary", "section", "site", "slot", "text", "top", "user", "wrap", "wrapper"}
+#: Words of a heading that opens what follows an article, and words that may stand beside them.
+_CLOSERS = {"comment", "comments", "discussion", "recommended", "related", "replies", "reply", "responses"}
+_SMALL = {"a", "and", "article", "articles", "by", "for", "from", "leave", "more", "on", "our", "post", "posts", "reader", "readers", "s", "stories", "the", "this", "to", "your"}
+_LETTERS = re.compile(r"[^\W\d_]+")
+_PIECES = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uFF01\uFF1F][\"'\u201D\u2019\u00BB)\]]*$")
 
 
 @dataclass
 class Line:
     text: str
-    plain: int  # length without link text
-    inside: bool  # in article or main
+    plain: int = 0  # length without link text
+    strong: bool = False  # a heading, or ends like a sentence
+    inside: bool = False  # in article or main
+
+
+def is_mark(name: str) -> bool:
+    """Whether a whole class, id or role names what is not article text: a mark, alone or with words of layout."""
+    pieces = [x for x in _PIECES.findall(_CAMEL.sub("-", name).lower()) if not x.isdigit()]
+    return any(x in _MARKS for x in pieces) and all(x in _MARKS or x in _LAYOUT for x in pieces)
+
+
+def is_closer(heading: str) -> bool:
+    """Whether a heading opens what follows an article, such as the readers' comments."""
+    words = _LETTERS.findall(heading.lower())
+    return any(x in _CLOSERS for x in words) and all(x in _CLOSERS or x in _LAYOUT or x in _SMALL for x in words)
 
 
-def _is_mark(tag: str, attributes: str, inside: bool) -> bool:
+def _left_out(tag: str, attributes: str, inside: bool) -> bool:
     if tag in _DROPPED or tag == "header" and not inside:
         return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+    if tag in ("html", "body") or tag in _INNER and not inside or not attributes:
         return False
     for name, *values in _NAMED.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
@@ -66,105 +99,164 @@ def _is_mark(tag: str, attributes: str, inside: bool) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
         elif name in ("class", "id", "role"):
-            words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-            if words & (_MARKS - {"header"} if inside else _MARKS):
+            if any(is_mark(x) and not (inside and x.lower() == "header") for x in value.split()):
                 return True
     return False
 
 
-def lines_of(page: str | None, gap: int) -> list[Line]:
-    """The lines of a page; ``gap`` empty ones stand where something that is not article text was."""
+class _Tags:
+    """Reads the tags of a page in order; a failed look for a closing quote is not repeated."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed = page, {"'": len(page), '"': len(page)}
+
+    def end(self, at: int) -> int:
+        """Where the tag that goes on at ``at`` ends. Quotes hide what they hold only where a value begins."""
+        page, size = self.page, len(self.page)
+        while True:
+            at = _INSIDE.match(page, at).end()
+            if at >= size:
+                return size
+            if page[at] == ">":
+                return at + 1
+            at = _VALUE.match(page, at).end()
+            quote = page[at : at + 1]
+            if quote in self.unclosed and quote and at < self.unclosed[quote]:
+                close = page.find(quote, at + 1)
+                if close < 0:
+                    self.unclosed[quote] = at
+                else:
+                    at = close + 1
+
+    def after(self, at: int, mark: str) -> int:
+        found = self.page.find(mark, at)
+        return len(self.page) if found < 0 else found + len(mark)
+
+
+def lines_of(page: str | None) -> list[Line]:
+    """The lines of a page; a block that is not article text is a line without text."""
     page = page or ""
+    tags = _Tags(page)
     lines: list[Line] = []
     text: list[str] = []
     links: list[str] = []
-    inside = linked = 0
+    inside = linked = heading = closed = at = 0
     dropped: list[str] = []  # open tags below one that is left out, that one first
-    at = 0
-    empty = Line("", 0, False)
+    below: Counter = Counter()
+    skipped = False  # text of a block was left out since the last line
 
     def end_line() -> None:
+        nonlocal closed, skipped
         body = " ".join(html.unescape("".join(text)).split())
         if body:
-            lines.append(Line(body, len(body) - len(" ".join(html.unescape("".join(links)).split())), inside > 0))
+            if heading and not inside and (not closed or heading <= closed):
+                closed = heading if is_closer(body) else 0
+            plain = len(body) - len(" ".join(html.unescape("".join(links)).split()))
+            lines.append(Line("") if closed and not inside else Line(body, plain, heading > 0 or bool(_SENTENCE.search(body)), inside > 0))
+        if skipped:
+            lines.append(Line(""))
+            skipped = False
         text.clear()
         links.clear()
 
     def say(part: str) -> None:
-        if part and not dropped:
+        nonlocal skipped
+        if dropped:
+            skipped |= dropped[0] not in _INLINE and not part.isspace() and part != ""
+        elif part:
             text.append(part)
             if linked:
                 links.append(part)
 
     while at < len(page):
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
             say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if not m[2]:
+            at = tags.after(at, {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">"))
             continue
-        closing, attributes = m[1], m[3] or ""
+        tag, closing, start = m[2].lower(), m[1], at
+        at = tags.end(at)
+        attributes = page[start : at - 1]
         if tag in _RAW and not closing:
             if not attributes.rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
+        if tag not in _INLINE and (text or skipped):
+            end_line()
         if dropped:
             if closing:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
-                elif tag in ("body", "html", "article", "main"):
+                if below[tag]:
+                    while (last := dropped.pop()) != tag:
+                        below[last] -= 1
+                    below[tag] -= 1
+                elif tag in ("body", "html") or tag in _INNER:
                     dropped.clear()
+                    below.clear()
             elif dropped[0] in _UNCLOSED and len(dropped) == 1 and tag in _ENDS:
                 dropped.clear()
+                below.clear()
             elif tag not in _VOID:
                 dropped.append(tag)
-            if dropped or closing and tag not in ("article", "main"):
+                below[tag] += 1
+            if dropped or closing and tag not in _INNER:
                 continue
-        if not closing and tag not in _VOID and _is_mark(tag, attributes, inside > 0):
-            if tag not in _INLINE:
-                end_line()
-                lines.extend([empty] * gap)
+        if not closing and tag not in _VOID and _left_out(tag, attributes, inside > 0):
             dropped.append(tag)
+            below[tag] += 1
             continue
         if tag == "a":
             linked = 0 if closing else 1
+        if tag in _HEADINGS:
+            heading = 0 if closing else int(tag[1])
+        elif tag in _ENDS:
+            heading = 0
         if tag not in _INLINE:
-            end_line()
             linked = 0
-            if tag in ("article", "main"):
-                lines.extend([empty] * gap)
+            if tag in _INNER:
                 inside = max(0, inside + (-1 if closing else 1))
     end_line()
     return lines
 
 
-def main_text(page: str | None, *, window: int = 3, share: float = 0.1, inner: bool = True) -> str:
-    """The blocks of the main text, joined by line feeds."""
-    lines = lines_of(page, window)
-    lengths = [0] * (window - 1) + [len(x.text) if x.plain > 0.4 * len(x.text) or x.inside else 0 for x in lines] + [0] * window
-    sums = [sum(lengths[k : k + window]) for k in range(len(lengths) - window + 1)]
-    regions: list[list[Line]] = []
-    surge = None
-    for k, (before, now) in enumerate(zip([0, *sums], sums)):  # window k ends at line k
-        if now and not before:
-            surge = k
-        elif before and not now and surge is not None:
-            regions.append([x for x in lines[surge : k - window + 1] if x.text])
+def weights_of(lines: list[Line]) -> list[float]:
+    """What each line weighs."""
+    inner = any(x.inside for x in lines)
+    texts = [x for x in lines if x.text]
+    mean = max(1.0, sum(x.plain for x in texts) / max(1, len(texts)))
+    return [0.0 if not x.text else max(x.plain, mean) if x.inside else (max(x.plain, mean) if x.strong and x.plain else x.plain) * (0.1 if inner else 1.0) for x in lines]
+
+
+def between(weights: list[float], window: int, share: float) -> list[int]:
+    """The lines between each surge and its dive, without those that weigh nothing."""
+    heavy = [w for w in weights if w]
+    if not heavy:
+        return []
+    limit = share * sum(heavy) / len(heavy)
+    kept: list[int] = []
+    padded = [0.0] * (window - 1) + weights + [0.0] * window
+    total, surge = 0.0, None
+    for k in range(len(padded) - window + 1):  # the window from line k - window + 1 to line k
+        total = sum(padded[k : k + window])
+        if total >= limit and surge is None:
+            surge = max(0, k - window + 1)
+        elif total < limit and surge is not None:
+            region = range(surge, min(k, len(weights)))
+            own = [i for i in region if weights[i] >= limit]
+            if own:
+                kept += [i for i in range(own[0], own[-1] + 1) if weights[i]]
             surge = None
-    regions = [x for x in regions if x]
-    if not regions:
-        return ""
-    kept = [x for x in regions if any(y.inside for y in x)] if inner else []
-    if not kept:
-        weights = [sum(y.plain for y in x) for x in regions]
-        large = [k for k, w in enumerate(weights) if w >= share * max(weights)]
-        kept = [x for k, x in enumerate(regions) if large[0] <= k <= large[-1] and 2 * weights[k] > sum(len(y.text) for y in x)]
-    return "\n".join(y.text for x in kept for y in x)
+    return kept
+
+
+def main_text(page: str | None, *, window: int = 3, share: float = 0.5) -> str:
+    """The blocks of the main text, joined by line feeds."""
+    lines = lines_of(page)
+    return "\n".join(lines[i].text for i in between(weights_of(lines), window, share))
 
 
 def with_text(pages: DataFrame, *, source: str = "html", text: str = "text") -> DataFrame:
