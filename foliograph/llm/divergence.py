@@ -3,9 +3,10 @@
 Base rules count words, symbols, repeated lines and words in repeated three-word windows.
 On top of them two histograms of each document, of character classes and of common words,
 are compared with the references of every language by Jensen-Shannon distance (base 2, from
-0 to 1). A document is taken for the language of the smaller sum; it fails where a
-histogram with enough counts (``least_chars``, ``least_common``) is further off than its
-limit. Short documents are spared: that is what the minimum lengths are for.
+0 to 1). A document whose ``lang`` has a reference is taken for the language of the smallest
+sum, whatever ``lang`` says; it fails where a histogram with enough counts (``least_chars``,
+``least_common``) is further off than its limit. Short documents are spared: that is what the
+minimum lengths are for. A histogram without counts has no distance, and counts as 1 in a sum.
 
 References are the summed histograms of all documents of a language that pass the base
 rules, computed over the whole corpus in one aggregation to a row for each known language.
@@ -13,8 +14,9 @@ The histograms of each document are written once to the shared folder and read t
 
 Everything is DataFrame functions. Three-word windows are compared by 64-bit hash within a
 text. A null text has no words; it and an empty text fail the base rules by their length.
-Rows are kept as they come, repeated ones too. Where no reference exists (an empty table,
-unknown languages), only the base rules decide.
+Rows are kept as they come, repeated ones too. Of two languages as near the first by name is
+taken. Where there is no reference (an empty table, a null or other ``lang``, a text mostly in
+letters without case, as of Chinese or Arabic), only the base rules decide.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ CLASSES = {
     "space": r"\x09-\x0D\x20",
     "upper": r"\p{javaUpperCase}",
     "digit": r"0-9",
+    "letter": r"\p{L}",
     "stop": r".,;:?'()\x22-",
     "bar": r"|",
     "mark": r"!#$%&*<>=^~@+/_\\\[\]{}`",
@@ -126,7 +129,7 @@ def distance(shares: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance of a distribution to a reference distribution; null for null."""
     term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     terms = F.zip_with(shares, F.array(*map(F.lit, reference)), lambda p, r: term(p, (p + r) / 2) + term(r, (p + r) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    return F.when(shares.isNotNull(), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
 
 
 def with_verdict(
@@ -162,7 +165,10 @@ def with_verdict(
                 parts = [distance(F.col(c), [x / sum(v) for x in v]) for c, v in (("_char_shares", chars), ("_word_shares", common))]
                 best.append(F.struct((F.coalesce(parts[0], F.lit(1.0)) + F.coalesce(parts[1], F.lit(1.0))).alias("sum"), F.lit(name).alias("language"), parts[0].alias("char_distance"), parts[1].alias("word_distance")))
     chosen = F.array_min(F.array(*best)) if best else F.lit(None).cast("struct<sum: double, language: string, char_distance: double, word_distance: double>")
-    judged = judged.withColumn("_best", chosen)
+    # a language without a reference, or a script that none of them is written in, has nothing to be compared with
+    place = list(CLASSES).index
+    foreign = F.col("_chars")[place("letter")] > F.col("_chars")[place("lower")] + F.col("_chars")[place("upper")]
+    judged = judged.withColumn("_best", F.when(F.col("_lang").isin(*references) & ~foreign, chosen) if references else chosen)
     off = ((F.col("_n_chars") >= least_chars) & (F.col("_best.char_distance") > char_limit)) | ((F.col("_n_common") >= least_common) & (F.col("_best.word_distance") > word_limit))
     out = judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(off, F.lit(False)))
     return out.select("*", "_best.language", "_best.char_distance", "_best.word_distance").drop("_best", "_chars", "_common", "_char_shares", "_word_shares", "_n_chars", "_n_common", "_lang")

@@ -177,3 +177,56 @@ def test_packing_rows(spark):
         loads[r["bin_id"]] += r["n_words"]
     assert max(loads.values()) <= 64
     assert packing.packed(df.limit(0)).count() == 0
+
+
+def test_divergence_verdict(spark):
+    """Verdicts against a plain version; no reference for a language or a script, null shares."""
+    import math
+
+    rows = []
+    for k in range(6):
+        rows.append((k, " ".join(["the", "and", f"house{k}", "of", "a", "bird"] * 3 + [f"w{k}x{j}" for j in range(80)]), "en"))
+        rows.append((10 + k, " ".join(["der", "die", "und", "ein", f"Haus{k}"] * 3 + [f"v{k}y{j}" for j in range(80)]), "de"))
+    rows += [(20, " ".join("漢字仮名%d" % j for j in range(300)), "zh"), (21, " ".join("漢字仮名%d" % j for j in range(300)), "en"), (22, " ".join("漢字仮名%d" % j for j in range(300)), None)]
+    rows += [(23, " ".join(f"{j}#{j}$%%&" for j in range(300)), "en"), (24, " ".join(f"{j}#{j}$%%&" for j in range(300)), "xx"), (25, "", "en"), (26, None, "de")]
+    limits = {"char_limit": 0.19, "word_limit": 0.6, "least_chars": 200, "least_common": 50}
+    got = {r["doc_id"]: r for r in divergence.with_verdict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), **limits).collect()}
+
+    def classes_of(t):
+        out = [0] * (len(divergence.CLASSES) + 1)
+        for c in t:
+            x = 0 if c.islower() else 2 if c.isupper() else 1 if c in "\t\n\x0b\x0c\r " else 3 if c in "0123456789" else 4 if c.isalpha() else 5 if c in ".,;:?'()\"-" else 6 if c == "|" else 7 if c in "!#$%&*<>=^~@+/_\\[]{}`" else 8
+            out[x] += 1
+        return out
+
+    def common_of(t):
+        n = Counter(re.findall(r"[^\W_]+", t.lower()))
+        return [n[w] for w in divergence.WORDS]
+
+    def far(a, b):
+        if not sum(a):
+            return None
+        p, r = [x / sum(a) for x in a], [x / sum(b) for x in b]
+        return math.sqrt(max(0, sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, r)) / 2))
+
+    failed = {k: (lambda n: n[0] < 50 or 100 * n[4] > 50 * n[0])(plain_counts(t)) for k, t, _ in rows}
+    references = {}
+    for lang in ("en", "de"):
+        some = [t for k, t, x in rows if x == lang and not failed[k]]
+        references[lang] = [[sum(x) for x in zip(*(f(t) for t in some))] for f in (classes_of, common_of)]
+    for k, t, lang in rows:
+        t = t or ""
+        chars, common = classes_of(t), common_of(t)
+        kept, language = not failed[k], None
+        if lang in references and chars[4] <= chars[0] + chars[2]:
+            one = lambda d: 1.0 if d is None else d
+            _, language, a, b = min((one(far(chars, c)) + one(far(common, w)), x, far(chars, c), far(common, w)) for x, (c, w) in references.items())
+            kept &= not (sum(chars) >= 200 and a > 0.19 or sum(common) >= 50 and b > 0.6)
+            assert got[k]["char_distance"] == (None if a is None else pytest.approx(a, abs=1e-9)) and got[k]["word_distance"] == (None if b is None else pytest.approx(b, abs=1e-9))
+        assert (got[k]["kept"], got[k]["language"]) == (kept, language), k
+    assert [got[k]["kept"] for k in (20, 21, 22, 23, 24)] == [True, True, True, False, True]
+
+
+def test_no_histogram_no_distance(spark):
+    null = F.lit(None).cast("array<double>")
+    assert spark.range(1).select(divergence.distance(null, [0.5, 0.5]).alias("d")).first()["d"] is None
