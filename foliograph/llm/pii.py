@@ -4,17 +4,21 @@ Four base patterns (e-mail and IP addresses, card and phone numbers) find what c
 by its form. Those finds are the seeds: the two words before each are a lexical pattern.
 Weak candidates (other long numbers, written-out or incomplete addresses) are instances of
 unknown standing. Patterns and instances form a graph, scored in rounds: a pattern is worth
-the confidence of what stands behind it, occurrence by occurrence, over all its occurrences
-in all texts, so that everyday words score near zero; an instance is as credible as at least
-one of its patterns being right. Instances that pass ``accept`` become spans of the kind
-their best pattern belongs to. Only patterns with ``support`` different seeds take part.
+the occurrences of known instances behind it, over all its occurrences in all texts, so that
+everyday words score near zero; an instance is as credible as at least one of its patterns
+being right. Instances that pass ``accept`` are known from then on, as the kind their best
+pattern belongs to: all their occurrences become spans, and the words before these are new
+patterns, which find further instances in the next round. Only patterns with ``support``
+different known instances take part. Known instances only grow in number, and the rounds end
+when none is new, at the latest after ``rounds``.
 
 All of it is DataFrame functions. Every round's table goes to the shared folder. Texts are
 never shuffled for scoring, only the candidates with their context and the places of patterns;
-equal texts count once.
+equal texts count once. What a pattern's occurrences are is counted in one pass, for all
+patterns that have enough instances of any standing.
 
 A null text counts as empty; an empty one has no spans. Rows are kept as they come, repeated
-ones too; columns ``spans`` and ``base`` are replaced.
+ones too; columns ``spans`` and ``base`` are replaced, names of helpers (``_row``, ``_sum`` and the like) are taken.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _NUMBER = r"(?<![0-9A-Za-z])[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])"
 _AT = r"\x20?[\[({]\x20?(?i:at)\x20?[\])}]\x20?"
-_WRITTEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _AT + r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({]\x20?(?i:dot)\x20?[\])}]\x20?)[A-Za-z0-9-]++)++"
+_WRITTEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++" + _AT + r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({]\x20?(?i:dot)\x20?[\])}]\x20?)[A-Za-z0-9-]++)++"
 _PARTIAL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
 _BREAK = r"[^\p{L}\p{N}:=#]+"
 _NONE = f"array<{S.SPAN}>"
@@ -61,33 +65,48 @@ def _apart(weak: Column, base: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Lower-case words, digits folded to 0, with two marks before the first."""
+    """Lower-case words, digits folded to 0."""
     folded = F.regexp_replace(F.lower(text), "[0-9]+", "0")
-    return F.concat(F.array(F.lit("^"), F.lit("^")), F.filter(F.split(folded, _BREAK), lambda w: w != ""))
+    return F.filter(F.split(folded, _BREAK), lambda w: w != "")
 
 
-def with_spans(documents: DataFrame, *, text: str = "text", support: int = 5, accept: float = 0.5, rounds: int = 2) -> DataFrame:
+def _marked(words: Column) -> Column:
+    """The words of a whole text with two marks before the first."""
+    return F.concat(F.array(F.lit("^"), F.lit("^")), words)
+
+
+def before(text: Column, start: Column) -> Column:
+    """The two words before a place. A part of the text is looked at first, and a wider one where that may have cut one of them."""
+    last = lambda words: F.array_join(F.slice(words, -2, 2), " ")
+    found = last(_marked(_words(F.substring(text, F.lit(1), start))))
+    for wide in (16_384, 1_024, 64):
+        words = _words(F.substring(text, F.greatest(start - (wide - 1), F.lit(1)), F.least(start, F.lit(wide))))
+        found = F.when(start <= wide, last(_marked(words))).when(F.size(words) > 2, last(words)).otherwise(found)
+    return found
+
+
+def with_spans(documents: DataFrame, *, text: str = "text", support: int = 5, accept: float = 0.5, rounds: int = 10) -> DataFrame:
     """The documents with ``base`` (base spans) and ``spans`` (those and the discovered ones), each by kind and then start."""
-    taken = ("spans", "base", "_row", "_sum")
+    taken = ("spans", "base", "_row", "_sum", "_row2", "_sum2", "_found")
     kept = [documents[f"`{c}`"] for c in documents.columns if c not in taken]
     body = F.coalesce(documents[text], F.lit(""))
     keyed = documents.select(*kept, base_spans(body).alias("base"), F.xxhash64(documents[text]).alias("_row"), F.md5(documents[text].cast("binary")).alias("_sum"))
     found = _discovered(documents.select(F.col(text).alias("_text")), support, accept, rounds)
     if found is None:
         return keyed.withColumn("spans", F.col("base")).drop("_row", "_sum")
-    found = found.withColumnsRenamed({"_row": "_row2", "_sum": "_sum2"})
+    # a table, so that its size is known: a small one goes to the documents
+    found = written(found, "pii-found").withColumnsRenamed({"_row": "_row2", "_sum": "_sum2"})
     out = keyed.join(found, (F.col("_row") == F.col("_row2")) & (F.col("_sum") == F.col("_sum2")), "left")
     spans = S.ordered(F.concat("base", F.coalesce("_found", F.array().cast(_NONE))), KINDS, by_start=False)
     return out.select(*[F.col(f"`{c}`") for c in documents.columns if c not in taken], "base", spans.alias("spans"))
 
 
 def _discovered(texts: DataFrame, support: int, accept: float, rounds: int) -> DataFrame | None:
-    """Discovered spans by text: (_row, _sum, _found), or None where no pattern has enough seeds."""
+    """Discovered spans by text: (_row, _sum, _found), or None where there are no candidates or no patterns."""
     text = F.col("_text")
     scanned = texts.filter(text.rlike("[0-9]|@|" + _AT)).select("_text", base_spans(text).alias("_base"), weak_spans(text).alias("_weak"))
     holding = scanned.select("_text", "_base", _apart(F.col("_weak"), F.col("_base")).alias("_weak")).filter((F.size("_base") > 0) | (F.size("_weak") > 0))
     part = F.explode(F.concat(F.transform("_base", lambda x: F.struct(x.alias("span"), F.lit(True).alias("seed"))), F.transform("_weak", lambda x: F.struct(x.alias("span"), F.lit(False).alias("seed")))))
-    before = F.substring(F.col("_text"), F.greatest(F.col("_part.span.start") - 59, F.lit(1)), F.least(F.col("_part.span.start"), F.lit(60)))
     is_address = F.col("_part.span.kind").isin("email", "address")
     name = F.when(is_address, F.lower("_part.span.body")).otherwise(S.digits(F.col("_part.span.body")))
     parts = holding.select("_text", part.alias("_part")).select(
@@ -95,47 +114,45 @@ def _discovered(texts: DataFrame, support: int, accept: float, rounds: int) -> D
         F.md5(F.col("_text").cast("binary")).alias("_sum"),
         F.col("_part.span").alias("span"),
         F.col("_part.seed").alias("seed"),
-        F.array_join(F.slice(_words(before), -2, 2), " ").alias("pattern"),
-        F.when(F.col("_part.seed"), F.col("_part.span.kind")).alias("kind"),
+        before(F.col("_text"), F.col("_part.span.start")).alias("pattern"),
         is_address.alias("is_address"),
         name.alias("name"),
     )
     parts = written(parts.dropDuplicates(["_row", "_sum", "span"]), "pii-parts")
-    seeds = parts.filter("seed").groupBy("pattern", "kind", "is_address", "name").agg(F.count("*").alias("n"))
-    patterns = seeds.groupBy("pattern", "kind", "is_address").agg(F.count("*").alias("names"), F.sum("n").alias("n")).filter(F.col("names") >= support).drop("names")
-    patterns = written(patterns, "pii-patterns")
-    unknown = parts.filter(~F.col("seed"))
-    if patterns.isEmpty() or unknown.isEmpty():
+    nodes = ["is_address", "name"]
+    seeds = parts.filter("seed").select(*nodes, F.col("span.kind").alias("kind")).distinct()
+    unknown = parts.filter(~F.col("seed")).join(seeds.select(*nodes).distinct(), nodes, "left_anti")
+    # the graph: an edge for each pattern and name, and what of it can ever take part
+    edges = written(parts.groupBy("pattern", *nodes).agg(F.count("*").alias("seen")), "pii-edges")
+    wide = edges.groupBy("pattern", "is_address").agg(F.count("*").alias("names")).filter(F.col("names") >= support).select("pattern", "is_address", F.xxhash64("pattern").alias("key"))
+    unknown = written(unknown, "pii-unknown")
+    wide = written(wide, "pii-patterns")
+    if wide.isEmpty() or unknown.isEmpty():
         return None
-    patterns = patterns.withColumn("key", F.xxhash64("pattern"))
-    patterns = written(patterns.join(_times(texts, patterns), "key", "left").drop("key"), "pii-times")
-    # an unknown name with a pattern of each kind that its form allows; a name that is a seed somewhere stays a seed there only
-    edges = unknown.groupBy("pattern", "is_address", "name").agg(F.count("*").alias("seen")).join(patterns.select("pattern", "kind", "is_address"), ["pattern", "is_address"])
-    edges = written(edges, "pii-edges")
-    scores = patterns.select("pattern", "kind", (F.col("n") / (F.greatest(F.coalesce("times", F.lit(0)), F.col("n")) + 1)).alias("score"))
+    times = written(wide.join(_times(texts, wide), "key", "left").select("pattern", "is_address", "times"), "pii-times")
+    open_edges = written(edges.join(unknown.select(*nodes).distinct(), nodes, "left_semi").join(times.select("pattern", "is_address"), ["pattern", "is_address"], "left_semi"), "pii-open")
+    known, found, size = seeds, None, 0
     for k in range(rounds):
-        names = _credible(edges, scores)
-        gained = edges.join(names, ["name", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("confidence") * F.col("seen")).alias("gained"))
-        total = F.col("n") + F.coalesce("gained", F.lit(0.0))
-        scores = patterns.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", (total / (F.greatest(F.coalesce("times", F.lit(0)).cast("double"), total) + 1)).alias("score"))
-        scores = written(scores, f"pii-scores-{k}")
-    best = _credible(edges, scores).filter(F.col("confidence") >= accept).groupBy("name").agg(F.max(F.struct("confidence", "kind")).alias("best"))
-    hits = unknown.join(edges.select("pattern", "name").distinct(), ["pattern", "name"], "left_semi").join(best, "name")
-    span = F.struct(F.col("best.kind").alias("kind"), F.col("span.start").alias("start"), F.col("span.stop").alias("stop"), F.col("span.body").alias("body"))
-    return hits.groupBy("_row", "_sum").agg(F.sort_array(F.collect_set(span)).alias("_found"))
+        held = edges.join(known, nodes).groupBy("pattern", "is_address", "kind").agg(F.count("*").alias("names"), F.sum("seen").alias("n")).filter(F.col("names") >= support)
+        score = F.col("n") / (F.greatest(F.coalesce("times", F.lit(0)), F.col("n")) + 1)
+        scores = held.join(times, ["pattern", "is_address"]).select("pattern", "is_address", "kind", score.alias("score"))
+        # that at least one of a name's patterns is right
+        doubt = F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999999)))))
+        credible = open_edges.join(scores, ["pattern", "is_address"]).groupBy(*nodes, "kind").agg((1 - doubt).alias("confidence")).filter(F.col("confidence") >= accept)
+        found = written(credible.groupBy(*nodes).agg(F.max(F.struct("confidence", "kind")).alias("best")).select(*nodes, "best.kind"), f"pii-found-{k}")
+        before_size, size = size, found.count()
+        if size == before_size:
+            break
+        known = seeds.union(found.select(*seeds.columns))
+    span = F.struct(F.col("kind"), F.col("span.start").alias("start"), F.col("span.stop").alias("stop"), F.col("span.body").alias("body"))
+    return unknown.join(found, nodes).groupBy("_row", "_sum").agg(F.sort_array(F.collect_set(span)).alias("_found"))
 
 
 def _times(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(key, times): how often each pattern occurs in all different texts."""
     text = F.col("_text")
-    worded = texts.select(F.xxhash64(text).alias("_row"), F.md5(text.cast("binary")).alias("_sum"), _words(text).alias("_words"))
+    worded = texts.select(F.xxhash64(text).alias("_row"), F.md5(text.cast("binary")).alias("_sum"), _marked(_words(text)).alias("_words"))
     keys = F.zip_with("_words", F.slice("_words", 2, F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.xxhash64(F.concat_ws(" ", a, b))))
     places = worded.select("_row", "_sum", F.posexplode(keys).alias("_place", "key"))
     hits = places.join(patterns.select("key").distinct(), "key", "left_semi").dropDuplicates(["_row", "_sum", "_place", "key"])
     return hits.groupBy("key").agg(F.count("*").alias("times"))
-
-
-def _credible(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """(name, kind, confidence): that at least one of a name's patterns is right."""
-    doubt = F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999999)))))
-    return edges.join(scores, ["pattern", "kind"]).groupBy("name", "kind").agg((1 - doubt).alias("confidence"))

@@ -11,7 +11,7 @@ and running maxima and minima give the nearest part of each class on either side
 one row for each part and never pairs them. All of it is DataFrame functions.
 
 A null text counts as empty; an empty one has no spans. Rows are kept as they come, repeated
-ones too; columns ``spans`` and ``base`` are replaced.
+ones too; columns ``spans`` and ``base`` are replaced, names of helpers (``_row``, ``_sum`` and the like) are taken.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm import spans as S
+from foliograph.llm.shared import written
 
 STRONG = ("assign", "access", "hex")
 WEAK = ("identifier", "opaque", "endpoint")
@@ -30,7 +31,7 @@ _ACCESS = r"AKIA[A-Z0-9]{12,}+"
 _HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 _IDENTIFIER = r"""(?i:access_?key_?id|access_?id|client_?id|account_?id|key_?id|user_?name|user_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
 _OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
-_ENDPOINT = r"""(?<![A-Za-z])(?i:https?|ftps?|sftp|ssh|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?|jdbc:[a-z]{2,20})://[^\x00-\x20"'<>|]{3,}+"""
+_ENDPOINT = r"""(?<![A-Za-z])(?i:https?|ftps?|sftp|ssh|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?|jdbc:[a-z]++)://[^\x00-\x20"'<>|]{3,}+"""
 
 
 def strong_spans(text: Column) -> Column:
@@ -46,23 +47,25 @@ def with_secrets(documents: DataFrame, *, text: str = "text", scope: int = 400)
 
     A span is a struct of kind, start, stop (code points) and body.
     """
-    columns = [documents[f"`{c}`"] for c in documents.columns if c not in ("spans", "base", "_weak", "_row")]
+    names = [c for c in documents.columns if c not in ("spans", "base", "_weak", "_row", "_sum", "_row2", "_sum2", "_linked")]
+    columns = [documents[f"`{c}`"] for c in names]
     body = F.coalesce(documents[text], F.lit(""))
     linkable = F.contains(body, F.lit("://")) | body.rlike("(?i:id|name|login)[\"']?\\x20*[:=]") | F.contains(body, F.lit("AKIA"))
     weak = F.concat(S.matches(body, _IDENTIFIER, "identifier"), S.matches(body, _OPAQUE, "opaque"), S.matches(body, _ENDPOINT, "endpoint", F.contains(body, F.lit("://"))))
     # a part inside a strong span of the same text adds nothing
-    scanned = documents.select(*columns, strong_spans(body).alias("base"), F.when(linkable, weak).otherwise(F.array().cast(f"array<{S.SPAN}>")).alias("_weak"))
+    told = (F.xxhash64(documents[text]).alias("_row"), F.md5(documents[text].cast("binary")).alias("_sum"))
+    scanned = documents.select(*told, strong_spans(body).alias("base"), F.when(linkable, weak).otherwise(F.array().cast(f"array<{S.SPAN}>")).alias("_weak"))
     parts = (
         scanned.filter(F.size("_weak") > 0)
-        .select(F.xxhash64(F.col(text)).alias("_row"), F.md5(F.col(text).cast("binary")).alias("_sum"), "base", "_weak")
         .dropDuplicates(["_row", "_sum"])
         .select("_row", "_sum", F.explode(F.concat("base", F.filter("_weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["stop"]) & (b["start"] < w["stop"]))))).alias("part"))
     )
-    linked = _linked(parts, scope).withColumnRenamed("_row", "_row2").withColumnRenamed("_sum", "_sum2")
-    base = scanned.drop("_weak").withColumn("_row", F.xxhash64(F.col(text)))
-    out = base.join(linked, (F.col("_row") == F.col("_row2")) & (F.md5(F.col(text).cast("binary")) == F.col("_sum2")), "left")
+    # a table, so that its size is known: a small one goes to the documents, for a large one keys are shuffled (and texts only where they are asked for)
+    linked = written(_linked(parts, scope), "linked").withColumnsRenamed({"_row": "_row2", "_sum": "_sum2"})
+    base = documents.select(*columns, *told, strong_spans(body).alias("base"))
+    out = base.join(linked, (F.col("_row") == F.col("_row2")) & (F.col("_sum") == F.col("_sum2")), "left")
     spans = S.ordered(F.concat("base", F.coalesce("_linked", F.array().cast(f"array<{S.SPAN}>"))), (*STRONG, *WEAK), by_start=True)
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns if c not in ("spans", "base", "_weak", "_row")], "base", spans.alias("spans"))
+    return out.select(*[F.col(f"`{c}`") for c in names], "base", spans.alias("spans"))
 
 
 def _linked(parts: DataFrame, scope: int) -> DataFrame:

@@ -27,10 +27,27 @@ def labelled_sample(labels: DataFrame, key: str, label: str, learn: Column, boun
     )
 
 
+#: Folders that ``shared_folder`` has named since the last ``cleared``.
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below the working folder's spark-warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir. Where that is unset a local session, as in tests, has one below its warehouse; a cluster is refused, as its machines need not share that."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def cleared(spark: SparkSession, *keep: str) -> None:
+    """Remove the intermediate tables made so far but those in ``keep``; call it when results that read them are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in [x for x in _made if x not in keep]:
+        path = hadoop(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(folder)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

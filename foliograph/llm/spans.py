@@ -2,7 +2,8 @@
 
 Spark returns what a pattern matched and what it left between, but not where. Both come from
 the same left-to-right scan, so running lengths of the pieces and matches give each match's
-place, in code points.
+place, in code points. A fold that appends to an array copies it at every step, so pieces are
+folded in blocks of about the square root of their number.
 """
 
 from __future__ import annotations
@@ -25,7 +26,14 @@ def matches(text: Column, pattern: str, kind: str, test: Column | None = None) -
         return F.struct(stop.alias("at"), F.when(x["hit"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(span))).alias("out"))
 
     none = F.array().cast(_NONE)
-    found = F.aggregate(pair, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: state["out"])
+
+    def block(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(state["out"], F.array(inner["out"])).alias("out"))
+
+    size = F.ceil(F.sqrt(F.size(pair))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(pair), size), lambda k: F.slice(pair, k, size))
+    found = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_NONE}>").alias("out")), block, lambda state: state["out"]))
     return F.when(text.rlike(pattern) if test is None else test & text.rlike(pattern), found).otherwise(none)
 
 

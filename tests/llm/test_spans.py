@@ -1,6 +1,5 @@
 """PII and secret spans against Python's regular expressions."""
 
-import hashlib
 import re
 
 from hypothesis import given, settings
@@ -112,10 +111,6 @@ def test_awkward_rows(spark):
         assert op(df.limit(0)).count() == 0
 
 
-def test_digest_form():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
-
-
 def discovered(spark, texts):
     rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
     return {x["body"] for r in pii.with_spans(documents(spark, rows)).collect() for x in r["spans"] if x not in r["base"]}
@@ -142,3 +137,62 @@ def test_long_opaque_runs_are_parts(spark):
     # the longest run is wider than the scope, so its endpoint has no identifier near
     assert found == {0: ["identifier", "opaque", "endpoint"], 1: ["identifier", "opaque", "endpoint"], 2: ["identifier", "opaque"]}
     assert all(key[:81] not in r["text"] for r in secrets.redacted(documents(spark, rows)).collect())
+
+
+def test_a_second_hop(spark):
+    """Names found by a pattern induce another pattern, which finds what the first never stands before."""
+    seeds = [f"well call me: user{k}@host{k}.org now" for k in "abcdef"]
+    first = [f"please call me: {w} [at] example [dot] org yes" for w in ("ann", "bob", "cyd", "dan", "eve")]
+    same = [f"or else reach us: {w} [at] example [dot] org" for w in ("ann", "bob", "cyd", "dan", "eve")]
+    assert "zoe [at] example [dot] org" in discovered(spark, [*seeds, *first, *same, "kindly reach us: zoe [at] example [dot] org"])
+    assert discovered(spark, [*seeds, *first[:1], *same[:1], "kindly reach us: zoe [at] example [dot] org"]) == {"ann [at] example [dot] org"}
+
+
+def test_long_words_are_not_cut(spark):
+    start, long = "x" * 70 + " ", "y" * 3_000
+    texts = [start + "call me: ", long + " me: ", f"ab {long} {long}: ", "", "one: "]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r["b"] for r in rows.withColumn("b", pii.before(F.col("t"), F.length("t"))).orderBy("k").collect()]
+    assert got == ["call me:", f"{long} me:", f"{long} {long}:", "^ ^", "^ one:"]
+    local = "l" * 100
+    spans = documents(spark, [(1, f"to {local} [at] example [dot] org", "en", "s")]).select(pii.weak_spans(F.col("text")).alias("w")).first()["w"]
+    assert [x["body"] for x in spans] == [f"{local} [at] example [dot] org"]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "a@b.co " * 5_000
+    got = documents(spark, [(1, text, "en", "s")]).select(S.joined(pii.base_spans(F.col("text"))).alias("p")).first()["p"]
+    assert got == pii_of(text)
+
+
+def all_pairs(text, scope):
+    """Weak parts of a text by comparing every two parts."""
+    import regex
+
+    parts = [(m.start(), m.end(), kind) for kind, pattern in (("identifier", secrets._IDENTIFIER), ("opaque", secrets._OPAQUE), ("endpoint", secrets._ENDPOINT)) for m in regex.finditer(pattern.replace(r"\x20", " "), text)]
+    strong = [(m.start(), m.end(), kind) for kind, pattern in (("assign", secrets._ASSIGN), ("access", secrets._ACCESS), ("hex", secrets._HEX)) for m in regex.finditer(pattern, text)]
+    strong = [x for x in strong if x[2] != "assign" or len(regex.match(secrets._VALUE, text[x[0] : x[1]])[1]) >= 8]
+    parts = [x for x in parts if not any(x[0] < b and a < x[1] for a, b, _ in strong)]
+    near = lambda x, kinds: any(y is not x and y[2] in kinds and max(x[0], y[0]) - min(x[1], y[1]) <= scope for y in parts + strong)
+    names, keys = ("identifier", "access"), ("opaque", "assign", "hex")
+    keep = [x for x in parts if (x[2] != "identifier" or near(x, keys)) and (x[2] != "opaque" or near(x, names)) and (x[2] != "endpoint" or near(x, names) and near(x, keys))]
+    return sorted((kind, a, b) for a, b, kind in keep)
+
+
+PIECES = ["user_id = bob99", "login: al", "client_id=carla", "Zx9Kq0aLw83nXk2Pq81LmZ", "http://h.example/x", "token = abcdefgh1", "AKIA" + "B2" * 8, "f0" * 20, "plain words", "s3://bucket/x", "short"]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=8).map(" and ".join), min_size=1, max_size=25), st.integers(5, 60))
+def test_linking_equals_all_pairs(spark, texts, scope):
+    got = secrets.with_secrets(documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), scope=scope).collect()
+    for r in got:
+        assert sorted((x["kind"], x["start"], x["stop"]) for x in r["spans"] if x["kind"] in secrets.WEAK) == all_pairs(r["text"], scope)
+
+
+def test_texts_are_not_shuffled(spark):
+    texts = [f"well call me: user{k}@host{k}.org now" for k in "abcdef"] + ["please call me: bob [at] example [dot] org", "user_id = bob99 zz Zx9Kq0aLw83nXk2Pq81LmZ"]
+    df = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    for op in (pii.with_spans, secrets.with_secrets):
+        above, mark, _ = op(df).select("doc_id", "spans")._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftOuter")
+        assert mark and "text#" not in above
