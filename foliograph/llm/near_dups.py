@@ -2,11 +2,11 @@
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; five in a row are a
 shingle, and a shorter text is one shingle. A shingle weighs its count times an inverse
-document frequency between one half and one. Frequencies are exact for shingles in at least
-``floor`` of all documents and taken as that share for rarer ones; so few shingles can be
-that frequent (a text's mean number of shingles over ``floor``) that they are broadcast.
-They are found in two passes: what is frequent somewhere is a candidate, and candidates are
-counted over all documents, in blocks of bounded size.
+document frequency, damped to between one half and one so that a large group of copies does
+not weigh what its texts share by next to nothing. Document frequencies are counted over all
+whole texts in ``slots`` hashed places, by the hashing trick: one pass, partial sums in each
+task, and a result of fixed size that is broadcast. Shingles of one place share its count, so
+a frequency is never too low, and too high by about the number of all shingles over ``slots``.
 
 Texts with equal words are one node, told by a 128-bit digest. Improved consistent weighted
 sampling draws ``bands * rows`` samples from each node's weights; two nodes agree on a sample
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +53,7 @@ _GRID = np.linspace(0, 40, 400_001)
 #: Quantiles of Gamma(2, 1) at the middle of 65,536 equal steps, and their logarithms.
 _GAMMA = np.interp((np.arange(65_536) + 0.5) / 65_536, 1 - (1 + _GRID) * np.exp(-_GRID), _GRID).astype(np.float32)
 _LOG_GAMMA = np.log(_GAMMA)
+_WIDTH = 64
 _UNIFORM = ((np.arange(65_536) + 0.5) / 65_536).astype(np.float32)
 #: Where the high, second and third 16 bits of a 64-bit number lie in memory.
 _HIGH = (3, 2, 1) if sys.byteorder == "little" else (0, 1, 2)
@@ -88,18 +90,19 @@ def shingles(words: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mixed(total + np.uint64(size)), return_counts=True)
 
 
+def slots_of(found: np.ndarray, slots: int) -> np.ndarray:
+    """The slots of shingles; ``slots`` is a power of two."""
+    return (found >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+
+
 class Weights:
-    """Shingle weights: how often a shingle occurs times its inverse document frequency."""
+    """Shingle weights: how often a shingle occurs times its inverse document frequency, between one half and one."""
 
-    def __init__(self, frequent: np.ndarray, idf: np.ndarray):
-        self.frequent, self.idf = frequent, idf
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
 
     def of(self, found: np.ndarray, times: np.ndarray) -> np.ndarray:
-        idf = np.ones(len(found))
-        if len(self.frequent) and len(found):
-            at = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
-            idf = np.where(self.frequent[at] == found, self.idf[at], 1.0)
-        return times * (0.5 + 0.5 * idf)
+        return times * (0.5 + 0.5 * self.idf[slots_of(found, len(self.idf))])
 
 
 def samples(found: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -143,43 +146,33 @@ def similarities(a: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray
     return common / (own + a[1].sum() - common)
 
 
-def _frequencies(texts: DataFrame, size: int, floor: float, block: int) -> Weights:
-    """Inverse document frequencies of the shingles in at least ``floor`` of all texts."""
+def document_frequencies(texts: DataFrame, size: int, slots: int) -> tuple[int, np.ndarray]:
+    """How many texts there are, and how many hold a shingle of each slot.
+
+    Every task counts all its texts in one array and hands it on in rows of ``_WIDTH`` slots, those
+    without counts left out; these are summed slot by slot.
+    """
 
-    def locally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, np.int64)
         for batch in batches:
-            each = [shingles(words_of(x), size)[0] for x in batch.iloc[:, 0]]
-            found, n = np.unique(np.concatenate(each), return_counts=True) if each else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pd.DataFrame({"shingle": found[n >= floor * len(each)].view(np.int64)})
-
-    total = texts.count()
-    if not total:
-        return Weights(np.empty(0, np.uint64), np.empty(0))
-    candidates = written(texts.mapInPandas(locally, "shingle long").distinct(), "shingles")
-    blocks = max(1, -(-candidates.count() // block))
-    kept: list[tuple[int, int]] = []
-    for k in range(blocks):
-        some = np.sort(np.array([r[0] for r in candidates.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == k).collect()], np.int64).view(np.uint64))
-        wanted = texts.sparkSession.sparkContext.broadcast(some)
-
-        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n = np.zeros(len(wanted.value), np.int64)
-            for batch in batches:
-                for x in batch.iloc[:, 0]:
-                    found = shingles(words_of(x), size)[0]
-                    if len(found) and len(n):
-                        at = np.minimum(np.searchsorted(wanted.value, found), len(n) - 1)
-                        n[at[wanted.value[at] == found]] += 1
-            hit = np.flatnonzero(n)
-            yield pd.DataFrame({"shingle": wanted.value[hit].view(np.int64), "n": n[hit]})
-
-        if len(some):
-            counts = texts.mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-            kept += [(r[0], r[1]) for r in counts.filter(F.col("n") >= floor * total).collect()]
-    found = np.array([s for s, _ in kept], np.int64).view(np.uint64)
-    n = np.array([n for _, n in kept], float)
-    order = np.argsort(found)
-    return Weights(found[order], (np.log1p(total / n) / np.log1p(1 / floor))[order])
+            for x in batch.column(0).to_pylist():
+                n[slots_of(shingles(words_of(x), size)[0], slots)] += 1
+        chunks = n.reshape(-1, _WIDTH)
+        some = np.flatnonzero(chunks.any(1))
+        values = pa.FixedSizeListArray.from_arrays(pa.array(chunks[some].ravel()), _WIDTH).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), values], ["chunk", "n"])
+
+    parts = texts.mapInArrow(counted, "chunk long, n array<long>")
+    total, out = texts.count(), np.zeros(slots, np.int64)
+    for row in parts.groupBy("chunk").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(_WIDTH)]).collect():
+        out[row[0] * _WIDTH : (row[0] + 1) * _WIDTH] = row[1:]
+    return total, out
+
+
+def inverse_frequencies(total: int, counts: np.ndarray) -> np.ndarray:
+    """For each slot log(1 + total / count) as a share of its largest value, that of a count of one."""
+    return (np.log1p(total / np.maximum(counts, 1)) / np.log1p(max(total, 1))).astype(np.float32)
 
 
 def classes(
@@ -191,11 +184,10 @@ def classes(
     threshold: float = 0.8,
     bands: int = 15,
     rows: int = 4,
-    floor: float = 0.01,
-    block: int = 1_000_000,
+    slots: int = 1 << 20,
 ) -> DataFrame:
     """One row for each document: its id, ``node`` (digest of its words), ``class_id`` (the least id of its class) and ``label`` (the least node of its class)."""
-    weights = _frequencies(documents.select(text), size, floor, block)
+    weights = Weights(inverse_frequencies(*document_frequencies(documents.select(text), size, slots)))
     n = bands * rows
 
     def sign(words: bytes) -> tuple[list[int], bytes]:

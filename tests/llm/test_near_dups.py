@@ -35,12 +35,12 @@ def texts():
 def brute(found):
     """Classes by weighted similarity of every pair, with the operator's own weights."""
     sets = [N.shingles(N.words_of(t), 5) for t in found]
-    total, floor = len(found), 0.01
+    total = len(found)
     df = {}
     for s, _ in sets:
         for x in s.tolist():
             df[x] = df.get(x, 0) + 1
-    idf = lambda x: np.log1p(total / df[x]) / np.log1p(1 / floor) if df[x] >= floor * total else 1.0
+    idf = lambda x: np.log1p(total / df[x]) / np.log1p(total)
     weighed = [(s, t * (0.5 + 0.5 * np.array([idf(x) for x in s.tolist()]))) for s, t in sets]
     parent = list(range(total))
 
@@ -119,7 +119,7 @@ def near_copies(seed, n=2):
 def test_groups_of_a_bucket_are_bounded(spark, monkeypatch):
     found = near_copies(1, 30) + near_copies(2, 40)
     nodes = [bytes([k]) * 16 for k in range(len(found))]
-    empty = N.Weights(np.empty(0, np.uint64), np.empty(0))
+    empty = N.Weights(np.ones(2))
     drawn = [(x, N.samples(*N.shingles(N.words_of(t), 5), 60).astype(np.uint16).tobytes(), list(range(k * 15, k * 15 + 15))) for k, (x, t) in enumerate(zip(nodes, found))]
     members = spark.createDataFrame([(0, 7, x) for x in nodes], "band int, bucket long, node binary")
     # the first 20 are one class, all others are classes of their own
@@ -153,3 +153,24 @@ def test_classes_that_share_an_id_or_have_none_stay_apart(spark):
     df = documents(spark, [(5, a[0], "en", "s"), (6, a[1], "en", "s"), (5, "another text that has nothing to do with it", "en", "s"), (None, b[0], "en", "s"), (None, b[1], "en", "s")])
     out = [(r["doc_id"], r["text"]) for r in N.deduplicated(df).collect()]
     assert len(out) == 3 and (5, a[0]) in out and (5, "another text that has nothing to do with it") in out and sum(x is None for x, _ in out) == 1
+
+
+def test_document_frequencies(spark):
+    """Counts of every shingle over all texts, in tables of many small batches of long texts as well."""
+    found = [" ".join(f"w{(k * j) % 97}" for j in range(400)) for k in range(50)] + ["one two three four five six"] * 7 + [None, ""]
+    df = spark.createDataFrame([(t,) for t in found], "text string").repartition(20)
+    total, counts = N.document_frequencies(df, 5, 1 << 20)
+    wanted = np.zeros(1 << 20, np.int64)
+    for t in found:
+        wanted[np.unique(N.slots_of(N.shingles(N.words_of(t), 5)[0], 1 << 20))] += 1
+    assert total == len(found) and (counts == wanted).all() and counts.max() >= 7
+    idf = N.inverse_frequencies(total, counts)
+    assert idf.max() == 1 and idf[counts == 7].max() < idf[counts == 1].min()
+    assert N.document_frequencies(df.limit(0), 5, 1 << 20)[1].sum() == 0
+
+
+def test_a_thousand_null_ids(spark):
+    texts = near_copies(7, 200) + [f"text number {k} that is like no other, {k * 7} or {k * 11} times" for k in range(800)]
+    out = N.classes(documents(spark, [(None, t, "en", "s") for t in texts]))
+    assert out.count() == 1_000 and out.select("label").distinct().count() == 801
+    assert N.deduplicated(documents(spark, [(None, t, "en", "s") for t in texts])).count() == 801
