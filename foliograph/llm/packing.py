@@ -9,8 +9,9 @@ bin that is large enough and goes on to its successors until a compatible one is
 it finds the tightest compatible bin, or opens a new one.
 
 Documents are dealt by a hash of id and words into shards of about ``shard_rows``, whatever
-their source or cluster, and every shard is packed on its own. Only ids, sizes, sources and
-digests are shuffled, never texts. The number of shards grows with the table.
+their source or cluster, and every shard is packed on its own. Rows that repeat are counted,
+numbered in blocks and dealt by their number as well, so no shard gets them all. Only ids,
+sizes, sources and digests are shuffled, never texts. The number of shards grows with the table.
 
 Null, empty and wordless texts take no space and are in no bin. A null source is a source
 like others. Null and repeated ids are kept as they are; each row is packed on its own.
@@ -46,24 +47,31 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
     free: list[tuple[int, int]] = []  # (space left, bin), ascending
     of_source: list[int] = []
     of_cluster: list[int] = []
+    held: list[list[int]] = []  # clusters of each bin, and of each cluster the bins with space left that hold it
+    open_with: Counter = Counter()
     for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
         size, cluster, at = sizes[k], bit_of.get(clusters[k], 0), place[sources[k]]
         slots = full << at
-        i = bisect_left(free, (size, -1))
+        i = bisect_left(free, (size, -1)) if open_with[cluster] < len(free) else len(free)
         while i < len(free) and (of_cluster[free[i][1]] & cluster or of_source[free[i][1]] & slots == slots):
             i += 1
         if i < len(free):
             left, b = free.pop(i)
+            open_with.subtract(held[b])
         else:
             left, b = capacity, len(of_source)
             of_source.append(0)
             of_cluster.append(0)
+            held.append([])
         taken = (of_source[b] & slots) >> at
         of_source[b] |= ((taken << 1) | 1) << at
         of_cluster[b] |= cluster
         bins[k] = b
+        if cluster:
+            held[b].append(cluster)
         if left > size:
             insort(free, (left - size, b))
+            open_with.update(held[b])
     return bins
 
 
@@ -78,7 +86,13 @@ def packed(documents: DataFrame, *, key: str = "doc_id", text: str = "text", sou
 
     sized = written(documents.select(F.col(key).alias("id"), F.col(source).alias("source"), measured(F.col(text)).alias("m")).select("id", "source", "m.*").filter("n > 0"), "sized")
     shards = max(1, -(-sized.count() // shard_rows))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)))
+    # equal rows are told apart by their number: blocks of it first, so that no task writes out a large group alone
+    same = sized.groupBy("id", "source", "n", "cluster").agg(F.count("*").alias("times"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(shard_rows).cast("long"))).alias("block")
+    blocks = same.select("id", "source", "n", "cluster", "times", block)
+    number = F.explode(F.sequence(F.col("block"), F.least(F.col("times"), F.col("block") + shard_rows) - 1))
+    once, more = blocks.filter("times = 1").withColumn("number", F.lit(0).cast("long")), blocks.filter("times > 1").repartition("id", "cluster", "block").withColumn("number", number)
+    dealt = once.union(more).select("id", "source", "n", "cluster", F.pmod(F.xxhash64("id", "cluster", "number"), F.lit(shards)).alias("shard"))
     types = {f.name: f.dataType.simpleString() for f in sized.schema.fields}
 
     def pack(table: pa.Table) -> pa.Table:
