@@ -8,10 +8,13 @@ the text, give the score by a logistic curve.
 
 Entries are learned from labelled documents: those words and word beginnings whose presence
 (or, where one use is common, whose repeated use) speaks most for label 1, chosen greedily so
-that each explains documents that the earlier ones do not; exception phrases are pairs of words, one of them an entry, that only label-0
-documents use. Learning sees at most ``max_rows`` labelled documents (a hash sample).
-Candidates are counted in Spark; the driver gets at most ``max_entries`` of them, and the
-few entries that each sampled document contains. Scoring covers every whole text.
+that each explains documents that the earlier ones do not, until none does; exception phrases
+are pairs of words, one of them an entry, that only label-0 documents use. Beginnings have
+``least`` to ``most`` letters, as words and not texts are cut to them. Learning sees at most
+``max_rows`` labelled documents (a hash sample), written once to the shared folder; that is the
+only bound. Candidates are counted in Spark; the driver gets those that tell the labels apart,
+and which of them each sampled document contains. Scoring covers every whole text. Of entries
+that tell as much, the whole word, then the longer, then the last by name comes first.
 
 Null and empty texts match nothing and get the score of a text without matches. Without
 labelled rows the seed lexicon alone is used. Each repeated row is scored on its own.
@@ -22,9 +25,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -32,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.shared import labelled_sample
+from foliograph.llm.shared import labelled_sample, written
 
 #: Words that count as entries before anything is learned, with their weight.
 SEEDS = {"idiot": 4.0, "moron": 4.0, "imbecile": 4.0, "scumbag": 4.0, "worthless": 3.0, "pathetic": 3.0, "stupid": 3.0}
@@ -86,10 +91,11 @@ class Lexicon:
         self.machine = ahocorasick.Automaton()
         for entry in self.weights:
             self.machine.add_word(entry.rstrip("*"), ())
-        for phrase in self.exceptions:
-            self.machine.add_word(folded(phrase), ())
-        for text in self.machine.keys():
-            self.machine.add_word(text, (len(text), tuple(e for e in (text, text + "*") if e in self.weights), text in {folded(x) for x in self.exceptions}))
+        phrases = {folded(x) for x in self.exceptions}
+        for phrase in phrases:
+            self.machine.add_word(phrase, ())
+        for text in list(self.machine.keys()):
+            self.machine.add_word(text, (len(text), tuple(e for e in (text, text + "*") if e in self.weights), text in phrases))
         if len(self.machine):
             self.machine.make_automaton()
 
@@ -109,7 +115,10 @@ class Lexicon:
             if exception and whole:
                 excepted.append((start, end))
             found += [(start, end, e) for e in entries if whole or e.endswith("*")]
-        found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in excepted)]
+        if excepted:  # how far the exceptions reach that begin up to each
+            excepted.sort()
+            starts, reach = [a for a, _ in excepted], list(accumulate((b for _, b in excepted), max))
+            found = [x for x in found if not (k := bisect_right(starts, x[0])) or reach[k - 1] < x[1]]
         best: dict[int, tuple[int, int, str]] = {}
         for x in found:  # all begin where a word begins
             if x[0] not in best or (x[1], not x[2].endswith("*")) > (best[x[0]][1], not best[x[0]][2].endswith("*")):
@@ -151,10 +160,12 @@ def _small(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.Data
             yield batch.iloc[k : k + rows]
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, max_entries: int = 4_000, least: int = 3, most: int = 9, support: int = 4, size: int = 150, cover: int = 3, tasks: int = 48) -> Lexicon:
-    """Learn a lexicon of at most ``size`` entries from at most ``max_rows`` labelled documents."""
+def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, least: int = 3, most: int = 9, support: int = 4, cover: int = 3, tasks: int = 48) -> Lexicon:
+    """Learn a lexicon from at most ``max_rows`` labelled documents."""
     few = labelled_sample(labels, key, label, learn, max_rows)
-    texts = documents.select(key, text).join(F.broadcast(few), key).repartition(tasks, key).groupBy(key, "y").agg(F.max(text).alias(text)).select("y", text)
+    # an id may repeat: one text of each, so that the sample is bounded by the labels
+    texts = documents.select(key, text).join(F.broadcast(few), key).groupBy(key, "y").agg(F.max(text).alias(text)).select("y", text)
+    texts = written(texts.repartition(tasks), "toxicity-sample")
 
     columns = ("n1", "n0", "m1", "m0")  # documents of either label with one use, and with two
 
@@ -178,7 +189,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id",
     once, twice = (F.col("n1") >= support) & (F.col("w") > 2.5), (F.col("m1") >= support) & (F.col("w2") > 2.5)
     worth = F.greatest(F.when(once, F.col("w") * F.sqrt("n1")), F.when(twice, F.col("w2") * F.sqrt("m1")))
     ranked = counts.withColumn("w", odds("n1", "n0")).withColumn("w2", odds("m1", "m0")).filter((F.col("w") > 1) & (once | twice))
-    best = ranked.withColumn("need", F.when(once, 1).otherwise(2)).orderBy(F.desc(worth), "entry").limit(max_entries).collect()
+    best = ranked.withColumn("need", F.when(once, 1).otherwise(2)).orderBy(F.desc(worth), "entry").collect()
     weights, need = {r["entry"]: float(r["w"]) for r in best}, {r["entry"]: r["need"] for r in best}
 
     @F.pandas_udf("array<string>")
@@ -187,7 +198,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id",
             yield pd.Series([sorted(e for e, uses in _candidates(x, least, most).items() if uses >= need.get(e, uses + 1)) for x in batch])
 
     rows = texts.select("y", contained(F.col(text)).alias("has")).collect() if weights else []
-    entries = {e: weights[e] for e in _cover([(r["y"], r["has"]) for r in rows], size, max(support - 1, n1 // 100), cover)}
+    entries = {e: weights[e] for e in _cover([(r["y"], r["has"]) for r in rows], max(support - 1, n1 // 100), cover)}
 
     def in_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _small(batches):
@@ -195,8 +206,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id",
             yield pd.DataFrame({"entry": pd.Series([p for _, p in pairs], dtype=object), "y": pd.Series([y for y, _ in pairs], dtype="int64")})
 
     pairs = texts.mapInPandas(in_pairs, "entry string, y long").groupBy("entry").agg(F.sum("y").alias("n1"), F.count("y").alias("n"))
-    safe = pairs.filter((F.col("n1") == 0) & (F.col("n") >= support)).orderBy(F.desc("n"), "entry").limit(size)
-    phrases = [r["entry"] for r in safe.collect()] if entries else []
+    safe = pairs.filter((F.col("n1") == 0) & (F.col("n") >= support))
+    phrases = sorted(r["entry"] for r in safe.collect()) if entries else []
     lexicon = Lexicon({**SEEDS, **entries}, [*EXCEPTIONS, *phrases])
 
     @F.pandas_udf("array<double>")
@@ -204,12 +215,13 @@ def fit(documents: DataFrame, labels: DataFrame, learn, *, key: str = "doc_id",
         for batch in batches:
             yield pd.Series([list(lexicon.features(x)) for x in batch])
 
-    rows = texts.select("y", measured(F.col(text)).alias("x")).orderBy("x", "y").toPandas()
-    lexicon.curve = _logistic(np.array(rows["x"].tolist(), float), rows["y"].to_numpy(float))
+    rows = texts.select("y", measured(F.col(text)).alias("x")).toPandas()
+    rows = sorted((*x, y) for x, y in zip(rows["x"], rows["y"]))  # sums in one order, whatever the tasks
+    lexicon.curve = _logistic(np.array([x[:2] for x in rows], float), np.array([x[2] for x in rows], float))
     return lexicon
 
 
-def _cover(rows: list[tuple[int, list[str]]], size: int, least: int, times: int) -> list[str]:
+def _cover(rows: list[tuple[int, list[str]]], least: int, times: int) -> list[str]:
     """Entries in the order chosen: each time the one that tells most of the open documents apart; a document is open until ``times`` entries hold it."""
     gain: Counter = Counter()
     holders: dict[str, list[int]] = {}
@@ -219,7 +231,7 @@ def _cover(rows: list[tuple[int, list[str]]], size: int, least: int, times: int)
             holders.setdefault(e, []).append(k)
     chosen: list[str] = []
     covered = [0] * len(rows)
-    while gain and len(chosen) < size:
+    while gain:
         entry = max(gain, key=lambda e: (gain[e], not e.endswith("*"), len(e), e))
         if gain[entry] < least:
             break
