@@ -4,8 +4,10 @@ A rule is a host and a path prefix with a verdict, ``allow`` or ``block``. It fi
 and every subdomain where the URL's path starts with the rule's path. Of the rules that fit,
 the one with the longest text (host and path) decides; of two as long, the one that blocks.
 
-The rules are broadcast as a trie, so they must be few: more than ``max_rules`` are refused.
-URLs are judged row by row, with no shuffle.
+The rules are broadcast as a trie, at most ``max_rules`` at a time: more of them are dealt into
+blocks, and the URLs pass once for each block with the best rule so far. Rules may be a list or
+a frame with columns host, path and verdict; only a block of a frame is on the driver at a
+time. URLs are judged row by row, with no shuffle.
 
 Where no rule fits, a URL with a host has ``default`` and one without a host is blocked.
 A null URL, or one without ``://``, has an empty host and an empty path. Rows that repeat are
@@ -22,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.llm.shared import written
+
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
@@ -55,9 +59,9 @@ class UrlTrie:
                 at = at.below.setdefault(segment, _PathNode())
             at.ends.append((rest, verdict, f"{host}{path}"))
 
-    def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the rule that decides, if any fits."""
-        found: list[tuple[int, bool, str, str]] = []
+    def match(self, host: str, path: str, earlier: tuple[str, str] | None = None) -> tuple[str, str] | None:
+        """(rule, verdict) of the rule that decides, if any fits; ``earlier`` is one that fits already."""
+        found: list[tuple[int, bool, str, str]] = [(len(earlier[0]), earlier[1] == "block", *earlier)] if earlier else []
         node, segments = self.root, path.split("/")
         for label in reversed(host.split(".")):
             node = node.below.get(label)
@@ -83,23 +87,38 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), slash + path
 
 
-def with_verdict(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str = "url", default: str = "allow", max_rules: int = 1_000_000) -> DataFrame:
+def with_verdict(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, *, url: str = "url", default: str = "allow", max_rules: int = 50_000) -> DataFrame:
     """The rows with columns host, path, rule and verdict; these replace columns of such names."""
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules are too many to broadcast; the bound is {max_rules}")
-    trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
-
+    names = ("host", "path", "rule", "verdict")
+    n = rules.count() if isinstance(rules, DataFrame) else len(rules)
+    blocks = max(1, -(-n // max_rules))
+
+    def block(k: int) -> list[tuple[str, str, str]]:
+        if not isinstance(rules, DataFrame):
+            return rules[k::blocks]
+        some = rules.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path")], "verdict")
+        return [tuple(r) for r in some.filter(F.pmod(F.xxhash64("host", "path"), F.lit(blocks)) == k).collect()]
+
+    judged = pages.withColumn("_url", F.col(url)).select(*[F.col(f"`{c}`") for c in pages.columns if c not in (*names, "_url", "_judged")], "_url")
+    judged = judged.withColumn("_judged", F.lit(None).cast("struct<host: string, path: string, rule: string, verdict: string>"))
+    for k in range(blocks):
+        trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(block(k)))
+        judged = judged.withColumn("_judged", _judged(trie)(F.col("_url"), F.col("_judged")))
+        if k + 1 < blocks:
+            judged = written(judged, "url-rules")
+    verdict = F.coalesce("_judged.verdict", F.when(F.col("_judged.host") != "", default).otherwise("block")).alias("verdict")
+    return judged.select(*[F.col(f"`{c}`") for c in judged.columns if c not in ("_url", "_judged")], "_judged.host", "_judged.path", "_judged.rule", verdict)
+
+
+def _judged(trie):
     @F.pandas_udf("host string, path string, rule string, verdict string")
-    def judged(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         match = trie.value.match
-        for batch in urls:
+        for urls, earlier in batches:
             rows = []
-            for x in batch:
+            for x, rule, verdict in zip(urls, earlier["rule"], earlier["verdict"]):
                 host, path = host_and_path(x)
-                rule, verdict = match(host, path) or (None, default if host else "block")
-                rows.append((host, path, rule, verdict))
+                rows.append((host, path, *(match(host, path, (rule, verdict) if rule is not None else None) or (None, None))))
             yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
 
-    names = ("host", "path", "rule", "verdict")
-    kept = pages.select(*[pages[f"`{c}`"] for c in pages.columns if c not in names and c != "_judged"], judged(F.col(url)).alias("_judged"))
-    return kept.select("*", "_judged.*").drop("_judged")
+    return judged

@@ -60,8 +60,13 @@ def test_url_rows(spark):
     df = spark.createDataFrame([(1, "http://x.org/a", "keep"), (1, "http://x.org/a", "keep"), (2, None, None)], "page_id long, url string, host string")
     out = url_trie.with_verdict(df, RULES)
     assert [tuple(r) for r in out.orderBy("page_id").collect()] == [(1, "http://x.org/a", "x.org", "/a", "org/", "allow")] * 2 + [(2, None, "", "", None, "block")]
-    with pytest.raises(ValueError):
-        url_trie.with_verdict(df, RULES, max_rules=2)
+    assert url_trie.with_verdict(df.limit(0), RULES).count() == 0
+    urls = [f"http://{h}{p}" for h in ("org", "example.org", "a.example.org", "b.org", "c.b.org", "com") for p in ("", "/", "/es/1", "/en/12")]
+    df = spark.createDataFrame([(u,) for u in [*urls, None]], "url string")
+    whole = sorted(map(str, url_trie.with_verdict(df, RULES).collect()))
+    frame = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    for rules in (RULES, frame):
+        assert sorted(map(str, url_trie.with_verdict(df, rules, max_rules=2).collect())) == whole
 
 
 def plain_hits(text, items, window=10):
@@ -167,6 +172,23 @@ def test_best_fit(items, per_source):
     assert packing.best_fit(sizes, sources, clusters, 20, per_source) == plain_best_fit(sizes, sources, clusters, 20, per_source)
 
 
+def test_many_copies_pack_in_time():
+    import time
+
+    began = time.time()
+    assert packing.best_fit([5] * 20_000, ["a"] * 20_000, ["c"] * 20_000, 20, 4) == list(range(20_000))
+    assert time.time() - began < 5
+
+
+def test_repeated_rows_are_spread(spark):
+    rows = [(None, "same words in every row", "en", "s")] * 3_000 + [(k, f"text {k}", "en", "s") for k in range(50)]
+    out = packing.packed(documents(spark, rows), shard_rows=100).collect()
+    assert len(out) == 3_050 and sum(r["doc_id"] is None for r in out) == 3_000
+    bins, shards = Counter((r["bin_id"], r["doc_id"] is None) for r in out), Counter(r["bin_id"] // packing._BINS for r in out)
+    assert max(n for (_, none), n in bins.items() if none) == 1  # copies stay apart
+    assert max(shards.values()) < 200 and len(shards) == 31
+
+
 def test_packing_rows(spark):
     df = awkward(spark).withColumn("bin_id", F.lit(1))
     out = packing.packed(df, capacity=64, shard_rows=3).collect()
