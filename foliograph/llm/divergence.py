@@ -21,6 +21,8 @@ letters without case, as of Chinese or Arabic), only the base rules decide.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,26 +105,18 @@ def _counted(step: DataFrame, text: str) -> DataFrame:
     return step.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _branches(words: list[str]) -> str:
-    """The words as a regular expression in which common beginnings are written once."""
-    below: dict[str, list[str]] = {}
-    for w in words:
-        below.setdefault(w[:1], []).append(w[1:])
-    parts = [c + _branches(rest) for c, rest in sorted(below.items()) if c]
-    body = "|".join(parts)
-    return "" if not parts else f"(?:{body})?" if "" in below else f"(?:{body})" if len(parts) > 1 else body
-
-
-def common_words(text: Column) -> Column:
-    """The common words of a text as they come, in lower case, each between bars."""
-    pattern = r"(?<![\p{L}\p{N}])" + _branches(WORDS) + r"(?![\p{L}\p{N}])"
-    return F.concat(F.lit("|"), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), "||"), F.lit("|"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def word_histogram(common: Column) -> Column:
-    """Uses of each of WORDS in what ``common_words`` found."""
-    bare = lambda w: F.length(common) - F.length(F.replace(common, F.concat(F.lit("|"), w, F.lit("|")), F.lit("")))
-    return F.transform(F.array(*map(F.lit, WORDS)), lambda w: (bare(w) / (F.length(w) + 2)).cast("long"))
+def word_histogram(text: Column) -> Column:
+    """Uses of each of WORDS in a text: its common words are sorted, and those between the first places of two are the uses of one."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.isin(WORDS))
+    first = lambda some: F.transform(F.array_distinct(some), lambda w: F.array_position(some, w))
+    uses = lambda some, starts: F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(some) + 1)), lambda a, b: (b - a).cast("long"))
+    counted = _let(F.sort_array(words), lambda some: _let(first(some), lambda starts: F.struct(F.array_distinct(some).alias("words"), F.when(F.size(some) > 0, uses(some, starts)).alias("uses"))))
+    return _let(counted, lambda c: F.transform(F.array(*map(F.lit, WORDS)), lambda w: F.coalesce(F.get(c["uses"], (F.array_position(c["words"], w) - 1).cast("int")), F.lit(0).cast("long"))))
 
 
 def distance(shares: Column, reference: list[float]) -> Column:
@@ -143,12 +137,11 @@ def with_verdict(
     least_common: int = 50,
 ) -> DataFrame:
     """The base counts with char_distance, word_distance, language and kept, replacing columns of such names; the text itself is not carried on."""
-    new = ("char_distance", "word_distance", "language", "kept", "_chars", "_common", "_uses", "_lang", "_text", "_n_chars", "_n_common")
+    new = ("char_distance", "word_distance", "language", "kept", "_chars", "_common", "_lang", "_text", "_n_chars", "_n_common")
     old = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     carried = documents.select(*[documents[f"`{c}`"] for c in documents.columns if c not in (*new, *old, text)], documents[text].alias("_text"), F.col(lang).alias("_lang"))
-    carried = with_classes(carried, "_text").withColumn("_uses", common_words(F.coalesce("_text", F.lit(""))))
+    carried = with_classes(carried, "_text").withColumn("_common", word_histogram(F.coalesce("_text", F.lit(""))))
     counted = _counted(carried, "_text").drop("_text")
-    counted = counted.withColumn("_common", word_histogram(F.col("_uses"))).drop("_uses")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     counted = written(counted.withColumns({"_n_chars": total("_chars"), "_n_common": total("_common")}), "divergence")
     known = [F.lit(x) for x in COMMON]
