@@ -14,8 +14,9 @@ when none is new, at the latest after ``rounds``.
 
 All of it is DataFrame functions. Every round's table goes to the shared folder. Texts are
 never shuffled for scoring, only the candidates with their context and the places of patterns;
-equal texts count once. What a pattern's occurrences are is counted in one pass, for all
-patterns that have enough instances of any standing.
+equal texts count once. A pattern's occurrences are counted when it first has enough known
+instances, in one pass for all patterns of a round, and only if something unknown stands
+behind it.
 
 A null text counts as empty; an empty one has no spans. Rows are kept as they come, repeated
 ones too; columns ``spans`` and ``base`` are replaced, names of helpers (``_row``, ``_sum`` and the like) are taken.
@@ -122,23 +123,28 @@ def _discovered(texts: DataFrame, support: int, accept: float, rounds: int) -> D
     nodes = ["is_address", "name"]
     seeds = parts.filter("seed").select(*nodes, F.col("span.kind").alias("kind")).distinct()
     unknown = parts.filter(~F.col("seed")).join(seeds.select(*nodes).distinct(), nodes, "left_anti")
-    # the graph: an edge for each pattern and name, and what of it can ever take part
+    # the graph: an edge for each pattern and name; patterns that no unknown name stands behind find nothing
     edges = written(parts.groupBy("pattern", *nodes).agg(F.count("*").alias("seen")), "pii-edges")
-    wide = edges.groupBy("pattern", "is_address").agg(F.count("*").alias("names")).filter(F.col("names") >= support).select("pattern", "is_address", F.xxhash64("pattern").alias("key"))
     unknown = written(unknown, "pii-unknown")
-    wide = written(wide, "pii-patterns")
-    if wide.isEmpty() or unknown.isEmpty():
-        return None
-    times = written(wide.join(_times(texts, wide), "key", "left").select("pattern", "is_address", "times"), "pii-times")
-    open_edges = written(edges.join(unknown.select(*nodes).distinct(), nodes, "left_semi").join(times.select("pattern", "is_address"), ["pattern", "is_address"], "left_semi"), "pii-open")
-    known, found, size = seeds, None, 0
+    open_edges = written(edges.join(unknown.select(*nodes).distinct(), nodes, "left_semi"), "pii-open")
+    context = ["pattern", "is_address"]
+    useful = edges.join(open_edges.select(*context).distinct(), context, "left_semi")
+    known, found, times, size = seeds, None, None, 0
     for k in range(rounds):
-        held = edges.join(known, nodes).groupBy("pattern", "is_address", "kind").agg(F.count("*").alias("names"), F.sum("seen").alias("n")).filter(F.col("names") >= support)
+        held = useful.join(known, nodes).groupBy(*context, "kind").agg(F.count("*").alias("names"), F.sum("seen").alias("n")).filter(F.col("names") >= support)
+        held = written(held, f"pii-patterns-{k}")
+        fresh = held.select(*context).distinct() if times is None else held.select(*context).distinct().join(times.select(*context), context, "left_anti")
+        fresh = written(fresh.withColumn("key", F.xxhash64("pattern")), f"pii-fresh-{k}")
+        if not fresh.isEmpty():
+            counted = fresh.join(_times(texts, fresh), "key", "left").select(*context, "times")
+            times = written(counted if times is None else times.union(counted), f"pii-times-{k}")
+        if times is None:
+            return None
         score = F.col("n") / (F.greatest(F.coalesce("times", F.lit(0)), F.col("n")) + 1)
-        scores = held.join(times, ["pattern", "is_address"]).select("pattern", "is_address", "kind", score.alias("score"))
+        scores = held.join(times, context).select(*context, "kind", score.alias("score"))
         # that at least one of a name's patterns is right
         doubt = F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999999)))))
-        credible = open_edges.join(scores, ["pattern", "is_address"]).groupBy(*nodes, "kind").agg((1 - doubt).alias("confidence")).filter(F.col("confidence") >= accept)
+        credible = open_edges.join(scores, context).groupBy(*nodes, "kind").agg((1 - doubt).alias("confidence")).filter(F.col("confidence") >= accept)
         found = written(credible.groupBy(*nodes).agg(F.max(F.struct("confidence", "kind")).alias("best")).select(*nodes, "best.kind"), f"pii-found-{k}")
         before_size, size = size, found.count()
         if size == before_size:
