@@ -14,7 +14,9 @@ from foliograph.plans import views as V
 from foliograph.plans.catalog import query
 
 _SQ = r"regexp_replace(text, '[\x09-\x0D\x20]', '', 'g')"
-_FOUND = ", ".join(f"CASE WHEN regexp_matches(sq, '{p}') THEN '{n}' END" for n, p in L.SQUISHED.items())
+_FOUND = r"""CASE WHEN regexp_matches(sq, '^\[.+\]') OR regexp_matches(sq, '^\(.+\)') THEN 'beginBrackets' END, CASE WHEN regexp_matches(sq, '^[0-9]+\.?\p{Lu}') THEN 'beginsNumberCapital' END, CASE WHEN regexp_matches(sq, '[^\p{Ll}\p{Lu}]\p{Lu}\.$') THEN 'endsWithCapPeriod' END,
+CASE WHEN regexp_matches(sq, '[0-9]+-(-)?[0-9]+') THEN 'containsPageRange' END, CASE WHEN regexp_matches(sq, '(19|20)[0-9][0-9]') THEN 'containsYear' END, CASE WHEN contains(lower(sq), 'appendix') THEN 'containsAppendix' END, CASE WHEN contains(lower(sq), 'received') THEN 'containsReceived' END, CASE WHEN contains(lower(sq), 'address') THEN 'containsAddress' END,
+CASE WHEN regexp_matches(sq, '\w+@\w+\.\w+') THEN 'containsEmail' END, CASE WHEN regexp_matches(sq, '(ftp|http)://\w+\.\w+') THEN 'containsURL' END, CASE WHEN right(sq, 1) IN (',', ':', '-') THEN 'endsWithPunctNotPeriod' END, CASE WHEN regexp_matches(sq, '[0-9]') THEN 'containsDigit' END"""
 V.SQL["lex"] = rf"""
 SELECT *, list_sort(list_filter([CASE WHEN marks = 0 THEN 'noSpecialPuncts' WHEN marks > 3 THEN 'manySpecialPuncts' ELSE 'someSpecialPuncts' END, {_FOUND}, CASE WHEN NOT regexp_matches(sq, '\.$') THEN 'noEndingPeriod' END, CASE WHEN regexp_matches(text, 'et(\.)?\sal') THEN 'containsEtAl' END,
 CASE WHEN regexp_matches(text, '^(\p{{Lu}}\.\s*)+\s+[\p{{Lu}}\p{{Ll}}]+') OR regexp_matches(sq, '^\p{{Lu}}[\p{{Lu}}\p{{Ll}}]+,\p{{Lu}}[.,]') THEN 'beginsCapitalInitials' END], lambda x: x IS NOT NULL)) AS features
