@@ -43,17 +43,21 @@ def with_spacing(lines: DataFrame) -> DataFrame:
 
 def with_relative_flags(lines: DataFrame) -> DataFrame:
     """Lines with flags against the line before and the document's most common height, width and distance."""
-    spaced = with_spacing(lines)
-    for name in ("height", "width", "distance"):
-        usual = modes(spaced.filter(F.col(name) >= 0), F.col(name)).select("doc_id", F.col("value").alias(f"usual_{name}"))
-        spaced = spaced.join(usual, "doc_id", "left")
+    spaced, names = with_spacing(lines), ("height", "width", "distance")
+    # one aggregation for all three modes; of equals the one seen first
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).alias("value")) for n in names]))
+    counts = spaced.select("doc_id", "line_idx", values.alias("v")).select("doc_id", "line_idx", "v.*").filter("value >= 0").groupBy("doc_id", "what", "value").agg(F.struct(F.count("*").alias("n"), (-F.min("line_idx")).alias("first")).alias("rank"))
+    usual = counts.groupBy("doc_id").agg(*[F.max_by(F.when(F.col("what") == n, F.col("value")), F.when(F.col("what") == n, F.col("rank"))).alias(f"usual_{n}") for n in names])
+    spaced = spaced.join(usual, "doc_id", "left")
     order = Window.partitionBy("doc_id").orderBy("line_idx")
     flag = lambda c: F.coalesce(c, F.lit(False))
     up = F.col("lly") > F.lag("lly").over(order)
     return spaced.withColumns(
         {
             "new_page": flag(F.lag("page").over(order) != F.col("page")),
+            "new_column": flag((F.lag("page").over(order) == F.col("page")) & up & (F.col("llx") > F.lag("urx").over(order))),
             "up": flag(up),
+            "up20": flag(F.col("lly") > F.lag("lly").over(order) + 20),
             "up_and_left": flag(up & (F.col("llx") < F.lag("llx").over(order))),
             "right": flag(F.col("llx") > F.lag("llx").over(order)),
             "taller": flag(F.col("height") > F.col("usual_height") + 2),
@@ -82,3 +86,32 @@ def dictionary_words(tokens: DataFrame, dictionary: DataFrame, least: int = 3) -
     sizes = tokens.groupBy("doc_id", "line_idx").agg(F.count("*").alias("n_tokens")).filter(F.col("n_tokens") >= least)
     hits = words.distinct().join(dictionary.select("word").distinct(), "word", "left_semi").groupBy("doc_id", "line_idx").agg(F.count("*").alias("n_words"))
     return sizes.join(hits, ["doc_id", "line_idx"], "left").select("doc_id", "line_idx", "n_tokens", F.coalesce("n_words", F.lit(0)).alias("n_words"))
+
+
+def numbered_without(lines: DataFrame, left_out: str) -> DataFrame:
+    """Lines without those flagged by the column ``left_out``, numbered anew in ``body_idx``."""
+    order = Window.partitionBy("doc_id").orderBy("line_idx")
+    return lines.filter(~F.col(left_out)).withColumn("body_idx", (F.row_number().over(order) - 1).cast("long"))
+
+
+def figure_ahead(lines: DataFrame, of: int = 6) -> DataFrame:
+    """Lines with ``figure_ahead``: whether a caption seems to end within the ``of`` lines from each on.
+
+    A line that ends left of the margin and before a break is one by itself. Of the lines after
+    it the first that decides counts: a line as long as the one before it, before a break,
+    says no; a shorter one with the same left margin, before a break or the end, says yes.
+    ``lines`` has flags ends_left, shorter, same_left, more_space, up and right.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_idx")
+    last = F.lead("line_idx").over(order).isNull()
+    breaks = F.coalesce(F.lead("up").over(order) | F.lead("right").over(order), F.lit(False)) | F.col("more_space")
+    decided = F.when(~F.col("shorter") & ~F.col("_last") & F.col("_breaks"), False).when(F.col("same_left") & F.col("shorter") & (F.col("_last") | F.col("_breaks")), True)
+    marked = lines.withColumns({"_last": last, "_breaks": breaks}).withColumn("_decided", decided)
+    later = F.first("_decided", ignorenulls=True).over(order.rowsBetween(1, of - 1))
+    return marked.withColumn("figure_ahead", F.col("ends_left") & (F.col("_last") | F.col("_breaks")) | F.coalesce(later, F.lit(False))).drop("_last", "_breaks", "_decided")
+
+
+def above_before(lines: DataFrame, value: Column, of: int = 20) -> DataFrame:
+    """Lines with whether ``value`` is no less than on any of the ``of`` lines before, as in a sorted list."""
+    frame = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(-of, -1)
+    return lines.withColumn("in_order", F.coalesce(value >= F.max(value).over(frame), F.lit(True)))

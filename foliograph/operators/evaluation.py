@@ -50,3 +50,16 @@ def message_shares(rows: DataFrame, message: str) -> DataFrame:
     counts = rows.groupBy(message).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select(message, "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def accuracies(labels: DataFrame, instance: str) -> DataFrame:
+    """Share of right tokens, and of instances all of whose tokens are right; micro-averaged hits over all labels."""
+    right = F.col("truth") == F.col("predicted")
+    each = labels.groupBy(instance).agg(F.count("*").alias("n"), F.sum(right.cast("long")).alias("hit"))
+    return each.agg(F.sum("n").alias("n_tokens"), F.sum("hit").alias("n_right"), F.count("*").alias("n_instances"), F.sum((F.col("n") == F.col("hit")).cast("long")).alias("n_whole")).withColumns({"token_accuracy": F.try_divide("n_right", "n_tokens"), "instance_accuracy": F.try_divide("n_whole", "n_instances")})
+
+
+def differing(labels: DataFrame, instance: str) -> DataFrame:
+    """All rows of the instances in which some prediction is wrong."""
+    wrong = F.max((F.col("truth") != F.col("predicted")).cast("int")).over(Window.partitionBy(instance))
+    return labels.withColumn("_wrong", wrong).filter("_wrong = 1").drop("_wrong")

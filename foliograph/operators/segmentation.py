@@ -64,3 +64,62 @@ def oversized(refs: DataFrame, most: int = 3200) -> DataFrame:
     """How many references of each document are too long: none, one or several."""
     counted = refs.groupBy("doc_id").agg(F.count("*").alias("n_refs"), F.sum((F.length("text") > most).cast("long")).alias("n_long"))
     return counted.withColumn("verdict", F.when(F.col("n_long") == 0, "ok").when(F.col("n_long") == 1, "one too long").otherwise("several too long"))
+
+
+STRICT_HEADING = r"(?i)^\s*(([0-9]\.*|I+\.*|[0-9]\.0)\s+)?(introduction|background)"
+LENIENT_HEADING = r"^\s*([0-9]\.*|I+\.*|[0-9]\.0)\s+[A-Z][a-z]"
+REFERENCE_HEADING = r"(References|REFERENCES|Bibliography|BIBLIOGRAPHY):?\.?\s*$"
+
+
+def older_sections(lines: DataFrame) -> DataFrame:
+    """Header and body of papers by headings alone: the first strict introduction ends the header, else the first numbered heading; the first reference heading from there on ends the body."""
+    starts = lines.groupBy("doc_id").agg(F.min(_where(STRICT_HEADING)).alias("strict"), F.min(_where(LENIENT_HEADING)).alias("lenient"))
+    found = starts.select("doc_id", F.coalesce("strict", "lenient").alias("header_stop"), (F.col("strict").isNull() & F.col("lenient").isNotNull()).alias("is_lenient"))
+    ends = lines.join(found.filter("header_stop is not null"), "doc_id").filter(F.col("line_idx") >= F.col("header_stop")).groupBy("doc_id").agg(F.min(_where(REFERENCE_HEADING)).alias("body_stop"))
+    error = F.when(F.col("header_stop").isNull(), "introduction not found").when(F.col("body_stop").isNull(), "references not found")
+    return found.join(ends, "doc_id", "left").withColumn("error", error)
+
+
+def matching_lines(lines: DataFrame, begin: str, end: str, most_lines: int | None = None) -> DataFrame:
+    """Lines from the first that matches ``begin`` to before the first after it that matches ``end``; none without an end. ``most_lines`` bounds how far the end may be."""
+    starts = lines.groupBy("doc_id").agg(F.min(_where(begin)).alias("_start")).filter("_start is not null")
+    after = lines.join(starts, "doc_id").filter(F.col("line_idx") > F.col("_start"))
+    if most_lines is not None:
+        after = after.filter(F.col("line_idx") <= F.col("_start") + most_lines)
+    stops = after.groupBy("doc_id").agg(F.min("_start").alias("_start"), F.min(_where(end)).alias("_stop")).filter("_stop is not null")
+    return lines.join(stops, "doc_id").filter((F.col("line_idx") >= F.col("_start")) & (F.col("line_idx") < F.col("_stop"))).drop("_start", "_stop")
+
+
+def bibliography_parts(labelled: DataFrame) -> DataFrame:
+    """Labelled lines as parts: prologue (its label, or what precedes all references), numbered references, epilogue (what follows a ``post`` line). Junk and inside lines before any beginning are in none."""
+    order = Window.partitionBy("doc_id").orderBy("line_idx")
+    number = F.sum((F.col("label") == "biblio-B").cast("long")).over(order)
+    after = F.max(F.col("label") == "post").over(order)
+    part = F.when(F.col("_after"), "epilogue").when(F.col("label") == "biblioPrologue", "prologue").when(F.col("label").isin("biblio-B", "biblio-I") & (F.col("ref_no") > 0), "reference")
+    numbered = labelled.withColumns({"ref_no": number, "_after": after}).withColumn("part", part)
+    return numbered.filter("part is not null").withColumn("ref_no", F.when(F.col("part") == "reference", F.col("ref_no"))).drop("_after")
+
+
+def cut_at(lines: DataFrame, hint: Column) -> DataFrame:
+    """Lines with ``ref_no``: each hint starts a reference; lines before the first are in none."""
+    order = Window.partitionBy("doc_id").orderBy("line_idx")
+    return lines.withColumn("ref_no", F.sum(hint.cast("long")).over(order)).filter("ref_no > 0")
+
+
+def reference_statistics(labelled: DataFrame, junk: int = 5) -> DataFrame:
+    """What is suspicious about references: continuation lines that stand differently, more than ``junk`` junk lines in a row after one, and how often the left margin changes inside."""
+    order = Window.partitionBy("doc_id").orderBy("line_idx")
+    lines = labelled.withColumn("ref_no", F.sum((F.col("label") == "biblio-B").cast("long")).over(order)).filter("ref_no > 0")
+    inside = Window.partitionBy("doc_id", "ref_no").orderBy("line_idx")
+    is_junk = F.col("label") == "junk"
+    runs = lines.withColumn("_run", F.sum((~is_junk).cast("long")).over(inside)).withColumn("_junk", F.sum(is_junk.cast("long")).over(Window.partitionBy("doc_id", "ref_no", "_run")))
+    step = F.when(F.col("label") == "biblio-I", F.signum(F.col("llx") - F.first("llx").over(inside)))
+    moved = ~is_junk & (F.lag("llx").over(inside) != F.col("llx"))
+    seen = runs.withColumn("_step", step).withColumn("_moved", F.coalesce(moved, F.lit(False)))
+    return seen.groupBy("doc_id", "ref_no").agg((F.min("_step") != F.max("_step")).alias("mixed"), (F.max("_junk") > junk).alias("much_junk"), F.sum(F.col("_moved").cast("long")).alias("margin_changes")).withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+
+
+def oversized_headers(lines: DataFrame, found: DataFrame, most: int = 20_000) -> DataFrame:
+    """Headers of more than ``most`` characters, by the sections found."""
+    sizes = lines.join(found.filter("header_stop is not null").select("doc_id", "header_stop"), "doc_id").filter(F.col("line_idx") < F.col("header_stop")).groupBy("doc_id").agg(F.sum(F.length("text") + 1).alias("n_chars"))
+    return sizes.filter(F.col("n_chars") > most)

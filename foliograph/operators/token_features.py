@@ -89,9 +89,12 @@ def with_page_ranges(tokens: DataFrame) -> DataFrame:
     """Tokens with whether a page range is at them: ``12-34`` ascending, or number, hyphen, number in three tokens."""
     order = Window.partitionBy("doc_id").orderBy("tok_idx")
     one, two = F.lead("token", 1).over(order), F.lead("token", 2).over(order)
-    inside = F.col("token").rlike("^[0-9]{1,9}-[0-9]{1,9}$") & (F.regexp_extract("token", "^([0-9]{1,9})-", 1).try_cast("long") < F.regexp_extract("token", "-([0-9]{1,9})$", 1).try_cast("long"))
-    number = "^[0-9]{1,9}$"
-    across = F.col("token").rlike(number) & (one == "-") & two.rlike(number) & (F.col("token").try_cast("long") < two.try_cast("long"))
+    number = "^[0-9]+$"
+    bare = lambda c: F.regexp_replace(c, "^0+", "")
+    # numbers of any length: by how many digits they have, then as text
+    less = lambda a, b: F.struct(F.length(bare(a)), bare(a)) < F.struct(F.length(bare(b)), bare(b))
+    inside = F.col("token").rlike("^[0-9]+-[0-9]+$") & less(F.regexp_extract("token", "^([0-9]+)-", 1), F.regexp_extract("token", "-([0-9]+)$", 1))
+    across = F.col("token").rlike(number) & (one == "-") & two.rlike(number) & less(F.col("token"), two)
     return tokens.withColumn("is_page_range", F.coalesce(inside, F.lit(False)) | F.coalesce(across, F.lit(False)))
 
 
@@ -111,3 +114,38 @@ def _marked(features: str, k: int, order, empty: Column) -> Column:
 def censored(labels: DataFrame, keep: tuple[str, ...], label: str = "label") -> DataFrame:
     """Labels outside ``keep`` become the background label O."""
     return labels.withColumn(label, F.when(F.col(label).isin(*keep), F.col(label)).otherwise("O"))
+
+
+def font_features(lines: DataFrame) -> DataFrame:
+    """Lines with font flags and a region size as feature names: fonts, the large one as the largest where the document has no largest, and the largest font in regions of one to three lines."""
+    has_largest = F.max("is_largest").over(Window.partitionBy("doc_id"))
+    largest = F.col("is_largest") | F.col("is_large") & ~F.col("_has")
+    names = [F.when(F.col("is_small"), "SMALLFONT"), F.when(F.col("is_large") & F.col("_has"), "LARGEFONT"), F.when(largest, "LARGESTFONT")]
+    names += [F.when(largest & (F.col("region_size") == k), f"LARGESTFONT-AND-IN{k}LINETEXTREGION") for k in (1, 2, 3)]
+    return lines.withColumn("_has", has_largest).withColumn("features", F.array_compact(F.array(*names))).drop("_has")
+
+
+def with_font_changes(tokens: DataFrame, least: int = 120) -> DataFrame:
+    """Tokens with whether the font changed, whether theirs is the document's biggest (of at least ``least``), and whether a line begins."""
+    order = Window.partitionBy("doc_id").orderBy("tok_idx")
+    size = F.col("ury") - F.col("lly")
+    changed = F.coalesce(F.lag("font").over(order) != F.col("font"), F.lit(False))
+    return tokens.withColumns({"font_change": changed, "biggest_font": size >= F.greatest(F.max(size).over(Window.partitionBy("doc_id")), F.lit(least)), "line_break": F.coalesce(F.lag("line_idx").over(order) != F.col("line_idx"), F.lit(True))})
+
+
+def with_predictions(tokens: DataFrame, predictions: DataFrame, k: int) -> DataFrame:
+    """Tokens with ``predicted``: the ``k`` labels of the highest score as feature names, best first; of equal scores the first by name."""
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "label"))), 1, k)
+    named = F.transform(best, lambda x, i: F.concat(F.lit("PRED"), (i + 1).cast("string"), F.lit("="), x["label"]))
+    each = predictions.groupBy("doc_id", "tok_idx").agg(named.alias("predicted"))
+    return tokens.join(each, ["doc_id", "tok_idx"], "left").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
+
+
+def as_features(rows: DataFrame, words: str, features: str = "features") -> DataFrame:
+    """The words of an array column as the features of numbered tokens; ``source`` keeps what they were."""
+    return rows.select("doc_id", F.posexplode(words).alias("tok_idx", "token"), F.array_join(words, " ").alias("source")).withColumn("tok_idx", F.col("tok_idx").cast("long")).withColumn(features, F.array("token"))
+
+
+def any_features(tokens: DataFrame, features: str = "features") -> DataFrame:
+    """Whether any token of a document has features."""
+    return tokens.groupBy("doc_id").agg(F.max(F.size(features) > 0).alias("any"))

@@ -6,6 +6,8 @@ doc_id, tok_idx, token and the columns of their line. All windows are by documen
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,52 @@ def without_pagination(lines: DataFrame, pattern: str) -> DataFrame:
     edge = lines.withColumn("_first", F.lag("line_idx").over(page).isNull()).withColumn("_last", F.lead("line_idx").over(page).isNull())
     artefact = F.col("text").rlike(pattern) & (F.col("_last") | F.col("_first") & (F.col("page") > 0))
     return edge.filter(~artefact).drop("_first", "_last")
+
+
+def with_phantoms(tokens: DataFrame, joined: DataFrame) -> DataFrame:
+    """Tokens after joining the words broken at line ends: the word stands where it began, and an empty phantom keeps the place on the next line if the word's rest was all of that line.
+
+    ``joined`` is what ``dehyphenated`` returns.
+    """
+    words = joined.filter("joined").select("doc_id", "tok_idx", F.col("word").alias("_word"))
+    rests = words.select("doc_id", (F.col("tok_idx") + 1).alias("tok_idx"), F.lit(True).alias("_rest"))
+    line = Window.partitionBy("doc_id", "line_idx")
+    placed = tokens.withColumn("_alone", F.count("*").over(line) == 1)
+    both = placed.join(words, ["doc_id", "tok_idx"], "left").join(rests, ["doc_id", "tok_idx"], "left")
+    is_rest = F.coalesce("_rest", F.lit(False))
+    kept = both.withColumn("phantom", is_rest).withColumn("token", F.when(is_rest, "").otherwise(F.coalesce("_word", "token")))
+    return kept.filter(~F.col("phantom") | F.col("_alone")).drop("_word", "_rest", "_alone")
+
+
+def text_lines(tokens: DataFrame) -> DataFrame:
+    """Lines of a token run, by where ``newline`` is set: token range, place of the first token, page and text, and whether a page ends before it."""
+    order = Window.partitionBy("doc_id").orderBy("tok_idx")
+    numbered = tokens.withColumn("line_no", F.sum(F.col("newline").cast("long")).over(order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x["token"]), " ")
+    lines = numbered.groupBy("doc_id", "line_no").agg(F.min("tok_idx").alias("first_token"), F.max("tok_idx").alias("last_token"), F.min_by("llx", "tok_idx").alias("llx"), F.min_by("lly", "tok_idx").alias("lly"), F.min_by("page", "tok_idx").alias("page"), text.alias("text"))
+    return lines.withColumn("is_page_break", F.coalesce(F.lag("page").over(Window.partitionBy("doc_id").orderBy("line_no")) != F.col("page"), F.lit(False)))
+
+
+#: Marks that stand alone behind their letter, and the combining mark each means.
+LONE_MARKS = {"\u00b4": "\u0301", "\u0060": "\u0300", "\u005e": "\u0302", "\u00a8": "\u0308", "\u007e": "\u0303"}
+
+
+def repaired_diacritics(text: Column) -> Column:
+    """Text in which a letter and the lone mark behind it are one letter, and two backticks a quote. Pairs that make no letter stay."""
+    pairs = {}
+    for mark, combining in LONE_MARKS.items():
+        for letter in "aceginosuyzACEGINOSUYZ":
+            whole = unicodedata.normalize("NFC", letter + combining)
+            if len(whole) == 1:
+                pairs[letter + mark] = whole
+    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    quoted = F.replace(text, F.lit("``"), F.lit('"'))
+    # only the pairs that a text holds are replaced
+    held = F.array_distinct(F.regexp_extract_all(quoted, F.lit("[aceginosuyzACEGINOSUYZ][\u00b4\u0060^\u00a8~]"), F.lit(0)))
+    return F.aggregate(F.filter(held, lambda x: F.map_contains_key(table, x)), quoted, lambda t, x: F.replace(t, x, F.element_at(table, x)))
+
+
+def harvested(texts: DataFrame, most_of_author: int = 3, longest_abstract: int = 1000) -> DataFrame:
+    """Header texts for labelling: at most ``most_of_author`` papers of an author, in order of doc_id, and no abstracts over ``longest_abstract`` characters. Both bounds are what the harvest is."""
+    nth = F.row_number().over(Window.partitionBy("author").orderBy("doc_id"))
+    return texts.filter(F.length("abstract") <= longest_abstract).withColumn("_nth", nth).filter(F.col("_nth") <= most_of_author).drop("_nth")

@@ -87,23 +87,34 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cited(spark, sf_dir).groupBy("doc_id").agg(F.concat(F.lit("Seen "), F.array_join(parts, " and ")).alias("text"))
 
 
-_COUNT = r"list_sum(list_transform(regexp_extract_all(text, '{group}'), lambda g: CASE WHEN regexp_full_match(regexp_replace(regexp_replace(g, '^[,;. \t\r\n()\[\]]+', ''), '[,;. \t\r\n()\[\]]+$', ''), '{one}(\s*[,;]\s*{one})*') THEN len(regexp_extract_all(regexp_replace(regexp_replace(g, '^[,;. \t\r\n()\[\]]+', ''), '[,;. \t\r\n()\[\]]+$', ''), '{one}')) ELSE 0 END))"
 
 
-@query(
-    "citation_styles",
-    V.with_sql(
-        "reference",
-        "cited",
-        "body",
-        then="SELECT doc_id, n_refs, CASE WHEN n - n_refs >= -10 AND abs(n - n_refs) < 1000 AND n * 100.0 / n_refs > 50 AND n * 100.0 / n_refs <= 250 THEN 'NUMERICAL_BRACKETS' END AS style FROM (SELECT doc_id, count(*) AS n_refs FROM reference GROUP BY doc_id) JOIN (SELECT doc_id, coalesce("
-        + _COUNT.format(group=L.STYLES[0][1], one=L.STYLES[0][2])
-        + ", 0) AS n FROM body) USING (doc_id)",
-    ),
-)
+# one letter for each style, by the paper's number
+V.SQL["styled"] = r"""
+SELECT doc_id, string_agg(CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '(' || ref_no || ')' WHEN 2 THEN '[Ab' || ref_no || ']' WHEN 3 THEN '(Xy' || ref_no || '; Zz' || ref_no || ')' ELSE last1 || CASE ref_no % 3 WHEN 0 THEN ' et al. ' WHEN 1 THEN ' and Bee ' ELSE ' ' END || '(' || year || ')' END, ' so ' ORDER BY ref_no) AS text FROM (SELECT r.*, c.text FROM reference r JOIN cited c USING (doc_id, ref_no)) GROUP BY doc_id"""
+V.SQL["style_count"] = r"""
+SELECT s.doc_id, n_refs, [{'style': 'NUMERICAL_BRACKETS', 'n': CASE WHEN s.doc_id % 5 = 0 THEN coalesce(list_sum(list_transform(regexp_extract_all(text, '\[[0-9 ,;]+\]'), lambda g: len(regexp_extract_all(g, '[0-9]+')))), 0) ELSE 0 END}, {'style': 'NUMERICAL_PARENS', 'n': CASE WHEN s.doc_id % 5 = 1 THEN len(regexp_extract_all(text, '\([0-9]{1,3}\)')) ELSE 0 END}, {'style': 'ALPHA_NUMERIC_BRACKETS', 'n': CASE WHEN s.doc_id % 5 = 2 THEN len(regexp_extract_all(text, '\[Ab')) ELSE 0 END},
+{'style': 'ALPHA_NUMERIC_PARENS', 'n': CASE WHEN s.doc_id % 5 = 3 THEN len(regexp_extract_all(text, '(Xy|Zz)')) ELSE 0 END}, {'style': 'AUTHOR_LAST', 'n': len(regexp_extract_all(text, '(' || names || ') (and [a-zA-Z-]+|et al\.?)? ?\(?[0-9]{4}'))}] AS found
+FROM styled s JOIN (SELECT doc_id, count(*) AS n_refs, string_agg(DISTINCT last1, '|') AS names FROM reference GROUP BY doc_id) USING (doc_id)"""
+_FITS = "list_filter(found, lambda x: x.n - n_refs >= -10 AND abs(x.n - n_refs) < 1000 AND x.n * 100.0 / n_refs > 50 AND x.n * 100.0 / n_refs <= 250)"
+
+
+@query("citation_styles", V.with_sql("reference", "cited", "styled", "style_count", then=f"SELECT doc_id, n_refs, {_FITS}[1].style AS style FROM style_count"))
 def citation_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation style of each paper (J9); these texts only use numbers in brackets or author names."""
-    return L.citation_styles(_bodies(spark, sf_dir), V.reference(spark, sf_dir))
+    """Citation style of each paper (J9): a fifth of the papers each in brackets, parentheses, letters in both, and author names."""
+    refs = V.reference(spark, sf_dir)
+    n, d = F.col("ref_no"), F.col("doc_id") % 5
+    word = F.when(n % 3 == 0, " et al. ").when(n % 3 == 1, " and Bee ").otherwise(" ")
+    text = (
+        F.when(d == 0, F.col("text"))
+        .when(d == 1, F.concat(F.lit("("), n, F.lit(")")))
+        .when(d == 2, F.concat(F.lit("[Ab"), n, F.lit("]")))
+        .when(d == 3, F.concat(F.lit("(Xy"), n, F.lit("; Zz"), n, F.lit(")")))
+        .otherwise(F.concat(F.col("last1"), word, F.lit("("), F.col("year"), F.lit(")")))
+    )
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ref_no", text.alias("text")))), lambda x: x["text"])
+    texts = refs.join(V.cited(spark, sf_dir), ["doc_id", "ref_no"]).groupBy("doc_id").agg(F.array_join(parts, " so ").alias("text"))
+    return L.citation_styles(texts, refs)
 
 
 @query(
@@ -155,14 +166,18 @@ def cited_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         "reference",
         "cited",
         "body",
-        then=r"""SELECT doc_id, ref_no, style, unnest(regexp_extract_all(text, '(?s).{0,20}?' || core || '.{0,20}')) AS context FROM (
+        then=r"""SELECT doc_id, ref_no, style, unnest(regexp_extract_all(text, '(?s).{0,200}?' || core || '.{0,200}')) AS context FROM (
 SELECT doc_id, ref_no, 'DATE' AS style, last1 || '[^.\[\]]{0,40}' || year AS core FROM reference UNION ALL
-SELECT doc_id, ref_no, 'NUMBER', '\[(?:[^\]]*[^0-9\]])?' || regexp_extract(marker, '[0-9]+') || '(?:[^0-9\]][^\]]*)?\]' FROM reference WHERE marker <> '') JOIN body USING (doc_id)""",
+SELECT doc_id, ref_no, 'TAG', '\[(?:[\w\s,;.\-]+[\s,;])?' || regexp_extract(marker, '[0-9]+') || '(?:[\s,;][\w\s,;.\-]*)?\]' FROM reference WHERE marker <> '' UNION ALL
+SELECT doc_id, ref_no, 'WEAK_TAG', '#(?:[\w.]+\s*,\s*)*' || regexp_extract(marker, '[0-9]+') || '(?:\s*,\s*[\w.]+)*#' FROM reference WHERE marker <> '' UNION ALL
+SELECT doc_id, ref_no, 'NUMBER', '\[(?:[0-9]+\s*,\s*)*' || ref_no || '(?:\s*,\s*[0-9]+)*\]' FROM reference)
+JOIN (SELECT doc_id, text || ' also #7, 2# and #' || doc_id % 9 || '#' AS text FROM body) USING (doc_id)""",
     ),
 )
 def citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text around citations of each reference."""
-    return L.citation_contexts(V.reference(spark, sf_dir), _bodies(spark, sf_dir), 20)
+    bodies = _bodies(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" also #7, 2# and #"), F.col("doc_id") % 9, F.lit("#")))
+    return L.citation_contexts(V.reference(spark, sf_dir), bodies)
 
 
 @query(

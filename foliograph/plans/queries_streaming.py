@@ -13,7 +13,10 @@ from foliograph.streaming import jobs as J
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -39,7 +42,10 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.window_counts(V.table(spark, sf_dir, "events"), "1 hour").select("start", "event_type", "n")
 
 
-@query("event_sessions")
+@query(
+    "event_sessions",
+    "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 minute AS stop, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 minute THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, session",
+)
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users, as a batch (§2.12)."""
     return J.sessions(V.table(spark, sf_dir, "events"))
@@ -50,3 +56,10 @@ def streamed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message counters kept across batches of a stream (§2.12, A9)."""
     rows = _drained(spark, J.running_counters(_events(spark, sf_dir).select("event_type")), "update")
     return rows.groupBy("event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query("streamed_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING start + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 10 minute FROM events)")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of a stream by event time, each written once the watermark has passed its end (§2.12)."""
+    events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs the type with a zone
+    return _drained(spark, J.window_counts(events, "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "append")

@@ -150,7 +150,7 @@ def lexicon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("in_lexicon").cast("long")).alias("n_hits"))
 
 
-@query("phrase_matches", V.with_sql("line", "token", then="SELECT doc_id, tok_idx, n, phrase FROM (SELECT doc_id, tok_idx, 2 AS n, lower(token) || ' ' || lower(lead(token) OVER (PARTITION BY doc_id ORDER BY tok_idx)) AS phrase FROM token) WHERE phrase IN ('of the', 'in the', 'de la', 'and the') UNION ALL SELECT doc_id, tok_idx, 1, lower(token) FROM token WHERE lower(token) = 'with'"))
+@query("phrase_matches", V.with_sql("line", "token", then="SELECT doc_id, tok_idx, p.n AS n, p.phrase AS phrase FROM (SELECT doc_id, tok_idx, unnest(list_filter([{'n': CAST(2 AS BIGINT), 'phrase': lower(token) || ' ' || lower(nx)}, {'n': CAST(1 AS BIGINT), 'phrase': lower(token)}], lambda x: x.phrase IN ('of the', 'in the', 'de la', 'and the', 'with'))) AS p FROM (SELECT doc_id, tok_idx, token, lead(token) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS nx FROM token))"))
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of a lexicon in the tokens."""
     phrases = spark.createDataFrame([(x,) for x in ("of the", "in the", "de la", "and the", "with")], "phrase string")

@@ -115,12 +115,25 @@ def paired_lists(sources: DataFrame, annotations: DataFrame) -> DataFrame:
     return both.groupBy("source").agg(F.max_by("annotation", "line_no").alias("annotation"))
 
 
-def paired_folders(left: DataFrame, right: DataFrame, left_suffix: str, right_suffix: str) -> DataFrame:
-    """Files of two listings that share a name but for their suffixes; a file without a partner has a null beside it."""
-    stem = lambda suffix: F.regexp_extract("path", rf"([^/]*){suffix}$", 1)
-    a = left.select(stem(left_suffix).alias("stem"), F.col("path").alias("left_path"))
-    b = right.select(stem(right_suffix).alias("stem"), F.col("path").alias("right_path"))
-    return a.join(b, "stem", "full_outer")
+def paired_folders(left: DataFrame, right: DataFrame, left_suffix: str, right_suffix: str, roots: tuple[str, str] | None = None, strict: bool = False) -> DataFrame:
+    """Files of two listings that share a name but for their suffixes; files without the suffix are left out.
+
+    With ``roots``, the folders listed, the shared name is the path below them. A file without
+    a partner has a null beside it, or fails the job where ``strict``.
+    """
+
+    def side(files: DataFrame, suffix: str, root: str | None, name: str) -> DataFrame:
+        whole = F.substring("path", F.lit(1), F.length("path") - len(suffix))
+        stem = F.substring_index(whole, "/", -1) if root is None else F.substring_index(whole, f"{root.rstrip('/')}/", -1)
+        return files.filter(F.endswith("path", F.lit(suffix))).select(stem.alias("stem"), F.col("path").alias(name))
+
+    a, b = (side(f, x, root, name) for f, x, root, name in zip((left, right), (left_suffix, right_suffix), roots or (None, None), ("left_path", "right_path")))
+    both = a.join(b, "stem", "full_outer")
+    if not strict:
+        return both
+    alone = F.raise_error(F.concat(F.lit("no partner of "), F.coalesce("left_path", "right_path")))
+    paired = F.when(F.col("left_path").isNotNull() & F.col("right_path").isNotNull(), F.col("left_path")).otherwise(alone)
+    return both.withColumn("left_path", paired)
 
 
 def records(spark: SparkSession, path: str, separator: str) -> DataFrame:

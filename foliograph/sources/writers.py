@@ -37,8 +37,8 @@ def inline_tags(tokens: DataFrame) -> DataFrame:
 
 
 def log(messages: DataFrame, path: str) -> None:
-    """Document messages appended below their level and message."""
-    messages.select("doc_id", "level", "message").write.mode("append").partitionBy("level", "message").parquet(path)
+    """Document messages appended below their level. The message stays a column: texts are too many for folders."""
+    messages.select("doc_id", "level", "message").write.mode("append").partitionBy("level").parquet(path)
 
 
 def spans(found: DataFrame, path: str) -> None:

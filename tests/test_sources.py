@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from foliograph.operators import tokens as T
 from foliograph.sources import readers as R
 from foliograph.sources import writers as W
@@ -57,6 +59,13 @@ def test_folders(spark, tmp_path):
     left, right = R.listed(spark, str(tmp_path / "l")), R.listed(spark, str(tmp_path / "r"), "*.ann")
     pairs = {r["stem"]: r["right_path"] is not None for r in R.paired_folders(left, right, ".xml", ".ann").collect()}
     assert pairs == {"a": True, "b": False}
+    with pytest.raises(Exception, match="no partner"):
+        R.paired_folders(left, right, ".xml", ".ann", strict=True).collect()
+    (tmp_path / "l" / "c").mkdir()
+    write(tmp_path, "l/c/a.xml", "x")
+    write(tmp_path, "l/a.xmlx", "x")
+    deep = R.paired_folders(R.listed(spark, str(tmp_path / "l"), "*"), right, ".xml", ".ann", (str(tmp_path / "l"), str(tmp_path / "r")))
+    assert sorted((r["stem"], r["right_path"] is not None) for r in deep.collect()) == [("a", True), ("b", False), ("c/a", False)]
     first = [r["path"] for r in R.shuffled(left, 7).collect()]
     assert first == [r["path"] for r in R.shuffled(left.repartition(3), 7).collect()]
     assert R.shuffled(left, 7, 1).count() == 1
