@@ -115,3 +115,11 @@ def above_before(lines: DataFrame, value: Column, of: int = 20) -> DataFrame:
     """Lines with whether ``value`` is no less than on any of the ``of`` lines before, as in a sorted list."""
     frame = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(-of, -1)
     return lines.withColumn("in_order", F.coalesce(value >= F.max(value).over(frame), F.lit(True)))
+
+
+def token_body_labels(tokens: DataFrame, lines: DataFrame) -> DataFrame:
+    """Line labels spread over the lines' tokens: the first token keeps a beginning, the others are inside."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "line_idx").orderBy("tok_idx")) == 1
+    inside = F.regexp_replace("label", "-begin.*$", "-inside")
+    spread = tokens.join(lines.select("doc_id", "line_idx", "label"), ["doc_id", "line_idx"]).withColumn("_first", first)
+    return spread.withColumn("label", F.when(F.col("_first"), F.col("label")).otherwise(inside)).drop("_first")

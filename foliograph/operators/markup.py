@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A tag or a run of text without one; a token of the text is a run of word characters or one sign.
@@ -16,7 +16,8 @@ def tagged_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id") ->
     A closing tag closes the innermost open tag of its name and those inside it; one that
     closes nothing is ignored, and so is a tag that ends itself.
     """
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<struct<path: string, body: string>>").alias("out"))
+    row_type = "array<struct<path: string, body: string>>"
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(f"array<{row_type}>").alias("out"))
 
     def step(state: Column, piece: Column) -> Column:
         name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9:_-]*)", 1))
@@ -27,11 +28,28 @@ def tagged_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id") ->
         row = F.struct(F.array_join(state["open"], "!!").alias("path"), piece.alias("body"))
         return F.struct(stack.alias("open"), F.when(F.startswith(piece, F.lit("<")), state["out"]).otherwise(F.concat(state["out"], F.array(row))).alias("out"))
 
+    def block(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["open"].alias("open"), F.array().cast(row_type).alias("out")), step)
+        return F.struct(inner["open"].alias("open"), F.concat(state["out"], F.array(inner["out"])).alias("out"))
+
+    # a fold copies what it appends to, so pieces are folded in blocks of about the root of their number
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0))
-    each = texts.select(key, F.posexplode(F.aggregate(pieces, start, step, lambda s: s["out"])).alias("run", "p"))
+    split = texts.select(key, pieces.alias("_pieces")).filter(F.size("_pieces") > 0)
+    size = F.ceil(F.sqrt(F.size("_pieces"))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size("_pieces"), size), lambda k: F.slice("_pieces", k, size))
+    each = split.select(key, F.posexplode(F.flatten(F.aggregate(blocks, start, block, lambda s: s["out"]))).alias("run", "p"))
     return each.select(key, F.col("run").cast("long").alias("run"), F.col("p.path").alias("path"), F.posexplode(F.regexp_extract_all("p.body", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
 
 
+def flat_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id", background: str = "O") -> DataFrame:
+    """Tokens of flat mark-up with the name of the tag before them; behind a closing tag, and before any tag, they have the background label."""
+    pieces = texts.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0))).alias("run", "piece"))
+    tag = F.when(F.startswith("piece", F.lit("</")), background).when(F.startswith("piece", F.lit("<")), F.lower(F.regexp_extract("piece", r"^<\s*([^\s>/]*)", 1)))
+    label = F.coalesce(F.last(tag, ignorenulls=True).over(Window.partitionBy(key).orderBy("run")), F.lit(background))
+    each = pieces.withColumn("label", label).filter(~F.startswith("piece", F.lit("<")))
+    return each.select(key, F.col("run").cast("long").alias("run"), "label", F.posexplode(F.regexp_extract_all("piece", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+
+
 def without_scripts(html: Column) -> Column:
     """The page without scripts, styles and comments."""
     return F.regexp_replace(html, r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", " ")

@@ -123,3 +123,43 @@ def oversized_headers(lines: DataFrame, found: DataFrame, most: int = 20_000) ->
     """Headers of more than ``most`` characters, by the sections found."""
     sizes = lines.join(found.filter("header_stop is not null").select("doc_id", "header_stop"), "doc_id").filter(F.col("line_idx") < F.col("header_stop")).groupBy("doc_id").agg(F.sum(F.length("text") + 1).alias("n_chars"))
     return sizes.filter(F.col("n_chars") > most)
+
+
+#: How a reference may begin: bracket, authors and year in three forms, number with parenthesis, number with period.
+REFERENCE_STARTS = (
+    r"^\s*\[[^\]]+\]",
+    r"^\s*([A-Z]\w+\s+([A-Z]\.?\s*)+,\s+)+[0-9]{4}",
+    r"^\s*([A-Z](?:\.|\w++)\s*+){1,6}((,\s+|,\s+and\s+)+([A-Z](?:\.|\w++)\s*+){1,6})*\.\s+[0-9]{4}\.",
+    r"^\s*([A-Z][\w\-]+,?\s+[A-Z]\.(\s*-?[A-Z]\.)*(,\s+|,?\s+(and|&)\s+)*)+\s+\(?[0-9]{4}",
+    r"^\s*[0-9]+\)\s+[A-Z]",
+    r"^\s*[0-9]{1,3}\..+",
+)
+
+
+def reference_starts(lines: DataFrame, budget: int = 3200) -> DataFrame:
+    """Lines that begin references, by the first pattern that the document's first line has: doc_id, line_idx, style (from 1).
+
+    Numbers with a period must go up by one to three from the one before; others are no
+    beginnings. Nothing counts after more than ``budget`` characters without a beginning.
+    """
+    first = F.min_by("text", "line_idx")
+    style = F.coalesce(*[F.when(F.col("_first").rlike(p), k + 1) for k, p in enumerate(REFERENCE_STARTS)])
+    chosen = lines.groupBy("doc_id").agg(first.alias("_first")).select("doc_id", style.alias("style")).filter("style is not null")
+    hit = F.coalesce(*[F.when(F.col("style") == k + 1, F.col("text").rlike(p)) for k, p in enumerate(REFERENCE_STARTS)])
+    before = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.join(chosen, "doc_id").withColumn("_at", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    hits = placed.filter(hit).select("doc_id", "style", "line_idx", "_at", F.when(F.col("style") == len(REFERENCE_STARTS), F.regexp_extract("text", r"^\s*([0-9]{1,3})\.", 1).try_cast("int")).alias("_number"))
+    # numbers that go on from the last accepted: a fold over a document's candidates
+    listed = hits.groupBy("doc_id", "style").agg(F.array_sort(F.collect_list(F.struct("line_idx", "_at", "_number"))).alias("_hits"))
+    state = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+    def goes_on(s: Column, x: Column) -> Column:
+        step = x["_number"] - s["last"]
+        taken = x["_number"].isNull() | s["last"].isNull() | step.between(1, 3)
+        return F.struct(F.when(taken, x["_number"]).otherwise(s["last"]).alias("last"), F.when(taken, F.concat(s["out"], F.array(x["line_idx"].cast("bigint")))).otherwise(s["out"]).alias("out"))
+
+    kept = F.when(F.col("style") == len(REFERENCE_STARTS), F.aggregate("_hits", state, goes_on, lambda s: s["out"])).otherwise(F.transform("_hits", lambda x: x["line_idx"].cast("bigint")))
+    accepted = listed.select("doc_id", "style", F.explode(kept).alias("line_idx")).join(placed.select("doc_id", F.col("line_idx").cast("bigint").alias("line_idx"), "_at"), ["doc_id", "line_idx"])
+    order = Window.partitionBy("doc_id").orderBy("line_idx")
+    late = F.coalesce(F.col("_at") - F.lag("_at").over(order) > budget, F.lit(False))
+    return accepted.withColumn("_late", late).withColumn("_ended", F.max("_late").over(order)).filter(~F.col("_ended")).select("doc_id", "line_idx", "style")

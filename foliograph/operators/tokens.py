@@ -75,7 +75,8 @@ def dehyphenated(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     broken = ahead.filter(F.col("token").rlike("[A-Za-z]-$") & (F.col("rhs_line") > F.col("line_idx")))
     lhs = F.regexp_replace("token", "-$", "")
     broken = broken.select("doc_id", "tok_idx", lhs.alias("lhs"), "rhs", F.regexp_replace(F.lower(F.concat(lhs, "rhs")), r"[^A-Za-z0-9_]", "").alias("word"))
-    own = tokens.select("doc_id", F.lower("token").alias("word")).distinct().withColumn("_own", F.lit(True))
+    # of a document's words only those that a broken one may become
+    own = tokens.select("doc_id", F.lower("token").alias("word")).join(broken.select("doc_id", "word").distinct(), ["doc_id", "word"], "left_semi").distinct().withColumn("_own", F.lit(True))
     known = dictionary.select("word").distinct().withColumn("_known", F.lit(True))
     found = broken.join(own, ["doc_id", "word"], "left").join(known, "word", "left")
     is_word = F.coalesce("_own", "_known", F.lit(False))

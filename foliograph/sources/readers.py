@@ -31,6 +31,19 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.size(parts) == 2).select(F.trim(parts[0]).alias("input"), F.trim(parts[1]).alias("output"))
 
 
+def present(wanted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Manifest rows whose input is among the listed files, and a message for each that is missing, which is skipped."""
+    have = files.select(F.col("path").alias("input")).distinct()
+    missing = wanted.join(have, "input", "left_anti").select(F.col("input").alias("doc_id"), F.lit("error").alias("level"), F.lit("missing input").alias("message"))
+    return wanted.join(have, "input", "left_semi"), missing
+
+
+def in_list_order(files: DataFrame, names: DataFrame) -> DataFrame:
+    """The listed files that ``names`` (line_no, value) has, in its order; of a name listed twice the first line counts."""
+    first = names.groupBy(F.col("value").alias("path")).agg(F.min("line_no").alias("line_no"))
+    return files.join(first, "path").orderBy("line_no")
+
+
 def listed(spark: SparkSession, folder: str, glob: str = "*.xml", recursive: bool = True) -> DataFrame:
     """Files below a folder with their size and time; contents are not read unless used."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())

@@ -49,3 +49,9 @@ def spans(found: DataFrame, path: str) -> None:
 def summary(rows: DataFrame, path: str) -> None:
     """Summary lines appended with semicolons between the fields."""
     rows.write.mode("append").option("sep", ";").csv(path)
+
+
+def word_lines(tokens: DataFrame) -> DataFrame:
+    """Each document's tokens as lines ``word: label``."""
+    line = F.concat_ws(": ", "token", "label")
+    return tokens.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
