@@ -128,9 +128,9 @@ def oversized_headers(lines: DataFrame, found: DataFrame, most: int = 20_000) ->
 #: How a reference may begin: bracket, authors and year in three forms, number with parenthesis, number with period.
 REFERENCE_STARTS = (
     r"^\s*\[[^\]]+\]",
-    r"^\s*([A-Z]\w+\s+([A-Z]\.?\s*)+,\s+)+[0-9]{4}",
+    r"^\s*+(?:[A-Z]\w++\s++(?:[A-Z]\.?+\s*+)++,\s++)++[0-9]{4}",
     r"^\s*([A-Z](?:\.|\w++)\s*+){1,6}((,\s+|,\s+and\s+)+([A-Z](?:\.|\w++)\s*+){1,6})*\.\s+[0-9]{4}\.",
-    r"^\s*([A-Z][\w\-]+,?\s+[A-Z]\.(\s*-?[A-Z]\.)*(,\s+|,?\s+(and|&)\s+)*)+\s+\(?[0-9]{4}",
+    r"^\s*([A-Z][\w\-]+,?\s+[A-Z]\.(?:\s*+-?[A-Z]\.)*+(,\s+|,?\s+(and|&)\s+)*)+\s+\(?[0-9]{4}",
     r"^\s*[0-9]+\)\s+[A-Z]",
     r"^\s*[0-9]{1,3}\..+",
 )

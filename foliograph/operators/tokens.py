@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: What a token is, the alternatives in the order in which they are tried; trailing white space belongs to it.
 LEXER = (
-    r"(?:``|''|“|”|\n|&amp;|[0-9]+(?:st|nd|rd|th)\b|[Pp]h\.?[Dd]\.?|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[A-Z]\.|\+[A-Z]+\+|\p{L}+|[0-9]+|[\p{Punct}\p{S}])\s*"
+    r"(?:``|''|“|”|\n|&amp;|[0-9]+(?:st|nd|rd|th)\b|[Pp]h\.?[Dd]\.?|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|[A-Z]\.|\+[A-Z]+\+|\p{L}+|[0-9]+|[\p{Punct}\p{S}])\s*"
 )
 
 

@@ -236,7 +236,13 @@ def grant_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grant_tokens(spark, sf_dir).filter(G.is_grant_number(F.col("token")))
 
 
-@query("grant_labels")
+@query(
+    "grant_labels",
+    V.with_sql(
+        "grant_token",
+        then="SELECT p_partkey AS doc_id, CAST(1 AS BIGINT) AS sentence, 'the National Science Foundation under grant IIS-' || (p_partkey * 7919) || ' and NSF .' AS text, 'grant-background B-grant-institution I-grant-institution I-grant-institution grant-background grant-background ' || CASE WHEN p_partkey = 0 THEN 'grant-background' ELSE 'B-grant-number' END || ' grant-background B-grant-institution grant-background' AS labels FROM part WHERE p_partkey % 15 = 0",
+    ),
+)
 def grant_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Institution and number labels of support sentences."""
     found = G.sentences(_grant_tokens(spark, sf_dir))

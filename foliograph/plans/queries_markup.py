@@ -30,8 +30,19 @@ def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", F.sha1(M.without_scripts(F.col("html")).cast("binary")).alias("sha"))
 
 
-@query("homepage_features")
+@query(
+    "homepage_features",
+    """SELECT c_custkey AS page_id, concat_ws(',', CASE WHEN c_custkey % 2 = 0 THEN 'contactinfo' END, CASE WHEN c_custkey % 3 = 0 THEN 'hometitle' END, CASE WHEN c_custkey % 7 IN (0, 1) THEN 'possibleroot' END, CASE WHEN c_custkey % 5 = 0 THEN 'publicationheading' END, CASE WHEN c_custkey % 4 = 1 THEN 'publicationlink' END,
+CASE WHEN c_custkey % 5 = 2 THEN 'researchheading' END, CASE WHEN c_custkey % 4 = 2 THEN 'researchlink' END, CASE WHEN c_custkey % 4 = 3 THEN 'resumelink' END) AS features FROM customer""",
+)
 def homepage_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Home-page traits."""
-    pages = V.table(spark, sf_dir, "pages")
+    """Home-page traits (F18), over pages made from customers."""
+    k = F.col("c_custkey")
+    title = F.when(k % 3 == 0, "Home Page of ").otherwise("On homes, by ")
+    heading = F.when(k % 5 == 0, "<h2>My Publications</h2>").when(k % 5 == 2, "<h3 class=x>Research</h3>").otherwise("<h4>Research papers</h4>")
+    link = F.when(k % 4 == 1, "<a href=p>Papers</a>").when(k % 4 == 2, "<a href=r>our research</a>").when(k % 4 == 3, "<a href=c>Short CV</a>").otherwise("<a href=research>else</a>")
+    body = F.when(k % 2 == 0, "<p>E-mail: me</p>").otherwise("<script>var email = 1</script><!-- phone --><p>emails</p>")
+    html = F.concat(F.lit("<html><title>"), title, "c_name", F.lit("</title>"), heading, link, body, F.lit("</html>"))
+    url = F.concat(F.lit("http://h.example"), F.when(k % 7 == 0, "/~me/").when(k % 7 == 1, "/index.html?x").otherwise("/~me/papers/"))
+    pages = V.table(spark, sf_dir, "customer").select(k.alias("page_id"), html.alias("html"), url.alias("url"))
     return pages.select("page_id", F.array_join(M.homepage_features(pages), ",").alias("features"))

@@ -40,7 +40,13 @@ def header_footer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.header_footer_boxes(V.line(spark, sf_dir))
 
 
-@query("lexed_tokens")
+_LEXER = r"(``|''|“|”|\n|&amp;|[0-9]+(st|nd|rd|th)\b|[Pp]h\.?[Dd]\.?|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|[A-Z]\.|\+[A-Z]+\+|\p{L}+|[0-9]+|[[:punct:]]|\p{S})[\x09-\x0D\x20]*".replace("'", "''")
+
+
+@query(
+    "lexed_tokens",
+    V.with_sql("line", then=rf"SELECT doc_id, line_idx, CAST(k - 1 AS BIGINT) AS pos, regexp_replace(rs[k], '[\x09-\x0D\x20]+$', '') AS token, length(rs[k]) - length(regexp_replace(rs[k], '[\x09-\x0D\x20]+$', '')) - 1 AS trailing FROM (SELECT doc_id, line_idx, rs, unnest(range(1, len(rs) + 1)) AS k FROM (SELECT doc_id, line_idx, regexp_extract_all(text, '{_LEXER}') AS rs FROM line))"),
+)
 def lexed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexer tokens of lines."""
     return T.lexed(V.line(spark, sf_dir)).select("doc_id", "line_idx", "pos", "token", "trailing")

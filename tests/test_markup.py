@@ -20,3 +20,33 @@ def test_homepage_features(spark):
 def test_splice(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(t).alias("tag")) for a, b, t in ((0, 1, "<x>"), (2, 4, "é"))])
     assert spark.range(1).select(L.spliced(F.lit("abcdef"), spans).alias("v")).first()["v"] == "<x>béef"
+
+
+def test_tag_paths_equal_a_plain_stack(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    pieces = ["<a>", "<b x='1'>", "</a>", "</b>", "<c/>", "word two", "x, y", "</zz>", "<i>", "</i>"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 5, 40, 200]))) for _ in range(40)]
+
+    def plain(text):
+        out, opened, run = [], [], 0
+        for piece in re.findall(r"<[^>]*>|[^<]+", text):
+            if not piece.startswith("<"):
+                out += [(run, "!!".join(opened), k, t) for k, t in enumerate(re.findall(r"\w+|[^\s\w]", piece))]
+                run += 1
+                continue
+            name = re.match(r"</?([A-Za-z][\w:-]*)", piece)[1].lower()
+            if piece.startswith("</"):
+                if name in opened:
+                    opened = opened[: len(opened) - 1 - opened[::-1].index(name)]
+            elif not piece.endswith("/>"):
+                opened = [*opened, name]
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in M.tagged_tokens(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["run"], r["path"], r["pos"], r["token"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(plain(t)) for k, t in enumerate(texts) if plain(t)}
