@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.llm import near_dups, packing, quality_gam, secrets, wu_manber
-from foliograph.llm.shared import fold, table, written
+from foliograph.llm.shared import cleared, fold, made, table, written
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Whole rows beside their text, so that no column of theirs can clash with a stage's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more."""
     model = quality_gam.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    scored = quality_gam.with_score(docs, model, score="_score")
-    return scored.filter("_score >= 0.3").select(*docs.columns)
+    return quality_gam.with_score(_rows(docs), model, text="_text", score="_score").filter("_score >= 0.3").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item."""
-    found = wu_manber.with_hits(docs.withColumn("_text", F.col("text")), table(spark, sf_dir, "benchmark"), text="_text")
-    return found.filter(F.size("hits") == 0).select(*docs.columns)
+    found = wu_manber.with_hits(_rows(docs), table(spark, sf_dir, "benchmark"), text="_text")
+    return found.filter(F.size("hits") == 0).select("_row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table; what each returns is written to the shared folder and read again, and what it needed on the way is removed."""
+    docs, since = table(spark, sf_dir, "documents"), made()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"pipeline-{name}")
+            cleared(spark, since, but_last=True)
     return docs

@@ -90,14 +90,18 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
 
 
 def redacted(documents: DataFrame, *, text: str = "text", scope: int = 400, mark: str = "[secret]") -> DataFrame:
-    """The documents with every reported span of the text replaced by ``mark``; null texts stay null."""
-    found = with_secrets(documents, text=text, scope=scope)
+    """The documents with every reported span of the text replaced by ``mark``; null texts stay null. No other column is touched."""
+    # the other columns as one, so that none of them clashes; the text once, should the rows be shuffled
+    others = [F.col(f"`{c}`") for c in documents.columns if c != text]
+    rows = documents.select(F.struct(F.lit(0).alias("_none"), *others).alias("_doc"), F.col(text).alias("_text"))
+    found = with_secrets(rows, text="_text", scope=scope)
 
     def step(state: Column, x: Column) -> Column:
-        gap = F.substring(F.col(text), state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
+        gap = F.substring("_text", state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
         fresh = x["start"] >= state["at"]
         return F.struct(F.greatest(state["at"], x["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
 
     cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    rest = F.concat(cut["out"], F.substring(F.col(text), cut["at"] + 1, F.length(text)))
-    return found.withColumn(text, F.when(F.size("spans") > 0, rest).otherwise(F.col(text))).drop("base", "spans")
+    rest = F.concat(cut["out"], F.substring("_text", cut["at"] + 1, F.length("_text")))
+    masked = F.when(F.size("spans") > 0, rest).otherwise(F.col("_text"))
+    return found.select(*[masked.alias(c) if c == text else F.col(f"_doc.`{c}`") for c in documents.columns])

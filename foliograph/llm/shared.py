@@ -41,13 +41,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def cleared(spark: SparkSession, *keep: str) -> None:
-    """Remove the intermediate tables made so far but those in ``keep``; call it when results that read them are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in [x for x in _made if x not in keep]:
-        path = hadoop(folder)
+def made() -> int:
+    """How many intermediate folders there are, to be given to ``cleared``."""
+    return len(_made)
+
+
+def cleared(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Remove the intermediate tables made since, all or all but the last; call it when the results that read them are written."""
+    gone = _made[since : len(_made) - but_last]
+    for folder in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _made.remove(folder)
+    _made[since : since + len(gone)] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

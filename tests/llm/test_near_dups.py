@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliograph.llm import near_dups as N
+from foliograph.llm import shared
 from llm.fixtures import awkward, documents, save
 
 
@@ -97,7 +98,9 @@ def test_pipeline(spark, tmp_path):
     bench = spark.createDataFrame([(1, body)], "item_id long, text string")
     sf = save(spark, tmp_path, documents=docs, labels=labels, benchmark=bench)
     assert len(corpus_pipeline.STAGES) == 5
+    before = shared.made()
     out = [r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()]
+    assert shared.made() <= before + 2  # what the last stage reads, and its own table
     assert 100 not in out and 102 not in out and 101 in out
     masked = corpus_pipeline.mask_secrets(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     assert masked.columns == docs.columns
@@ -174,3 +177,19 @@ def test_a_thousand_null_ids(spark):
     out = N.classes(documents(spark, [(None, t, "en", "s") for t in texts]))
     assert out.count() == 1_000 and out.select("label").distinct().count() == 801
     assert N.deduplicated(documents(spark, [(None, t, "en", "s") for t in texts])).count() == 801
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs = awkward(spark).withColumn("n_chars", F.lit(1).cast("long")).withColumn("hits", F.lit("x")).withColumn("_score", F.lit("y")).withColumn("spans", F.lit("z")).withColumn("base", F.lit(3))
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "some item")], "item_id long, text string")
+    for some in (docs, docs.limit(0)):
+        sf = save(spark, tmp_path, documents=some, labels=labels, benchmark=bench)
+        rows = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, sf)
+            assert out.columns == rows.columns and out.count() <= rows.count(), name
+            assert out.filter("hits <> 'x' or _score <> 'y' or spans <> 'z' or base <> 3").count() == 0
+        assert corpus_pipeline.pack(spark, rows, sf).count() >= 0
+    sf = save(spark, tmp_path, benchmark=bench.limit(0), labels=labels.limit(0))
+    assert corpus_pipeline.run(spark, sf).count() == 0
