@@ -171,7 +171,7 @@ SELECT doc_id, ref_no, 'DATE' AS style, last1 || '[^.\[\]]{0,40}' || year AS cor
 SELECT doc_id, ref_no, 'TAG', '\[(?:[\w\s,;.\-]+[\s,;])?' || regexp_extract(marker, '[0-9]+') || '(?:[\s,;][\w\s,;.\-]*)?\]' FROM reference WHERE marker <> '' UNION ALL
 SELECT doc_id, ref_no, 'WEAK_TAG', '#(?:[\w.]+\s*,\s*)*' || regexp_extract(marker, '[0-9]+') || '(?:\s*,\s*[\w.]+)*#' FROM reference WHERE marker <> '' UNION ALL
 SELECT doc_id, ref_no, 'NUMBER', '\[(?:[0-9]+\s*,\s*)*' || ref_no || '(?:\s*,\s*[0-9]+)*\]' FROM reference)
-JOIN (SELECT doc_id, text || ' also #7, 2# and #' || doc_id % 9 || '#' AS text FROM body) USING (doc_id)""",
+JOIN (SELECT doc_id, text || ' also #7, 2# and #' || doc_id % 9 || '#' AS text FROM body) USING (doc_id) WHERE regexp_matches(text, core)""",
     ),
 )
 def citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
