@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import divergence, html_blocks, near_dups, packing, pii, quality_gam, secrets, spans, toxicity, url_trie, wu_manber
+from foliograph.llm import centroids, divergence, html_blocks, near_dups, packing, parity_join, pii, quality_gam, resampling, secrets, spans, toxicity, url_trie, wu_manber
 from foliograph.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,82 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of 2,048 words over all documents."""
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query
+def op11_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every kept vector after ten rounds with eight centroids."""
+    found = centroids.clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), dims=64, scale=1024, k=8, rounds=10, seed="3:")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Every round as two statements: the nearest centroid of each vector, then floor(sum / count) of each centroid."""
+    kept = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {kept})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS cluster, q AS c FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT {k}))",
+    ]
+    near = "a{0} AS MATERIALIZED (SELECT i, min_by(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT i, cluster, CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{0}) GROUP BY i)"
+    for r in range(rounds):
+        parts += [
+            near.format(r),
+            f"s{r} AS MATERIALIZED (SELECT cluster, p, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM v JOIN a{r} USING (i)) GROUP BY ALL)",
+            f"m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS c FROM s{r} GROUP BY cluster)",
+            f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))",
+        ]
+    parts.append(near.format(rounds))
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM v JOIN a{rounds} USING (i) JOIN c{rounds} USING (cluster)"
+    )
+
+
+ORACLES["op11_weighted_lloyd"] = _lloyd_sql(8, 10)
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document against the benchmark's words; a tenth of the longer ones is drawn."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resampled(documents, table(spark, sf_dir, "benchmark").select("text"), upto=1, buckets=10_000, least_words=20, percent=10, seed="2024:")
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_resampling"] = r"""
+WITH bits AS MATERIALIZED (SELECT list(list_reduce(list_concat([CAST(b AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY b) AS t FROM range(256) r(b)),
+d AS (SELECT row_number() OVER () AS i, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT i, x, count(*) AS n FROM (SELECT i, unnest(w) AS x FROM d) GROUP BY ALL),
+bw AS MATERIALIZED (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM b) GROUP BY ALL),
+k AS MATERIALIZED (SELECT x, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(length(hex(encode(x))) // 2), lambda j: CAST(CAST('0x' || substr(hex(encode(x)), CAST(2 * j + 1 AS INTEGER), 2) AS INTEGER) AS BIGINT))), lambda c, z: xor(t[xor(c, z) % 256 + 1], c // 256))) % 10000 AS k FROM (SELECT x FROM dw UNION SELECT x FROM bw), bits),
+s AS (SELECT k, sum(n) AS s FROM dw JOIN k USING (x) GROUP BY k),
+t AS (SELECT k, sum(n) AS t FROM bw JOIN k USING (x) GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (k)),
+w AS (SELECT i, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN k USING (x) JOIN g USING (k) GROUP BY i),
+r AS (SELECT i, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (i)),
+o AS (SELECT i, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM r LEFT JOIN o USING (i)
+"""
+
+
+@query
+def op13_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document under links of a Jaccard similarity of 0.8 or more between sets of five-word shingles."""
+    found = parity_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op13_parity_join"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT i, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' '))) AS g FROM d WHERE len(w) > 0),
+u AS MATERIALIZED (SELECT g, min(i) AS u FROM (SELECT list_sort(g) AS g, i FROM g) GROUP BY g),
+o AS (SELECT u, len(g) AS n, unnest(g) AS x FROM u),
+c AS (SELECT a.u AS a, b.u AS b, a.n + b.n - count(*) AS whole, count(*) AS n FROM o a JOIN o b ON a.x = b.x AND a.u < b.u GROUP BY a.u, b.u, a.n, b.n),
+l AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * n >= 80 * whole UNION ALL SELECT b, a FROM c WHERE 100 * n >= 80 * whole),
+r AS (SELECT u AS a, u AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT i, u, doc_id FROM d JOIN g USING (i) JOIN u ON list_sort(g.g) = u.g),
+k AS (SELECT a, min(doc_id) AS component_id FROM r JOIN m ON r.b = m.u GROUP BY a)
+SELECT doc_id, CAST(coalesce(len(g), 0) AS BIGINT) AS n_shingles, CASE WHEN g IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN g USING (i) LEFT JOIN (SELECT i, component_id FROM m JOIN k ON m.u = k.a) USING (i)
+"""
