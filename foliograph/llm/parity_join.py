@@ -140,7 +140,7 @@ def classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", si
     own = full.groupBy("node").agg(F.min("row").alias("uid"), F.min("id").alias("id"), F.count("*").alias("copies"))
     own = written(own, "nodes")
     # all but one row of each set are left out; most sets have one
-    again = full.select("node", "row").join(own.filter("copies > 1").select("node", "uid"), "node").filter("row != uid").select("row")
+    again = _small(written(full.select("node", "row").join(own.filter("copies > 1").select("node", "uid"), "node").filter("row != uid").select("row"), "copies"), max_broadcast)
     nodes = full.join(again, "row", "left_anti").select(F.col("row").alias("uid"), "id", "sum", "n", "sketch", "buckets")
     member = nodes.select("uid", F.explode("buckets").alias("bucket"))
     mark = F.xxhash64("uid")
@@ -169,11 +169,14 @@ def _sum(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _small(table: DataFrame, most: int) -> DataFrame:
+    """The table, to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _bodies(documents: DataFrame, where: DataFrame, wanted: DataFrame, key: str, text: str, max_broadcast: int, name: str) -> DataFrame:
-    """(uid, body) of the wanted nodes. A table of up to ``max_broadcast`` of them goes to the documents, else both are dealt by id and digest."""
-    wanted = written(where.join(wanted, "uid"), f"{name}-wanted")
-    if wanted.count() <= max_broadcast:
-        wanted = F.broadcast(wanted)
+    """(uid, body) of the wanted nodes. Up to ``max_broadcast`` of them are sent to the documents, else both are dealt by id and digest."""
+    wanted = _small(written(where.join(wanted, "uid"), f"{name}-wanted"), max_broadcast)
     body = documents.select(F.col(f"`{key}`").alias("_id"), _sum(F.col(f"`{text}`")).alias("_sum"), F.col(f"`{text}`").alias("body"))
     found = body.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_sum") == F.col("sum"))).select("uid", "body")
     return written(found, name).dropDuplicates(["uid"])  # rows that repeat in all are there several times
