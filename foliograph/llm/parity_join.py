@@ -147,7 +147,8 @@ def classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", si
     shared = member.groupBy("bucket").agg(F.min("uid").alias("least"), F.max("uid").alias("last"), F.bit_xor(mark).alias("mark"), F.count("*").alias("n")).filter("least != last")
     # buckets of the same nodes count once
     shared = written(shared.groupBy("mark", "least", "last", "n").agg(F.min("bucket").alias("bucket")), "shared")
-    several = written(member.join(shared.filter("n > 2").select("bucket", "least"), "bucket").select("bucket", "uid", "least"), "members")
+    # buckets grow with the table, so both sides are dealt by bucket at every size
+    several = written(member.join(shared.filter("n > 2").select("bucket", "least").hint("merge"), "bucket").select("bucket", "uid", "least"), "members")
 
     facts = nodes.select("uid", "n", "sketch")
     pairs = shared.filter("n = 2").select("least", F.col("last").alias("uid")).union(several.filter("uid != least").select("least", "uid")).distinct()
