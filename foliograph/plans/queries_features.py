@@ -78,8 +78,8 @@ def featured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 V.SQL["older"] = r"""
 SELECT m.doc_id, header_stop, is_lenient, body_stop, CASE WHEN header_stop IS NULL THEN 'introduction not found' WHEN body_stop IS NULL THEN 'references not found' END AS error FROM (
-SELECT doc_id, coalesce(st, le) AS header_stop, st IS NULL AND le IS NOT NULL AS is_lenient FROM (SELECT doc_id, min(line_idx) FILTER (regexp_matches(text, '(?i)^\s*((\d\.*|I+\.*|\d\.0)\s+)?(introduction|background)')) AS st, min(line_idx) FILTER (regexp_matches(text, '^\s*(\d\.*|I+\.*|\d\.0)\s+[A-Z][a-z]')) AS le FROM paper GROUP BY doc_id)) m
-LEFT JOIN LATERAL (SELECT min(line_idx) AS body_stop FROM paper p WHERE p.doc_id = m.doc_id AND p.line_idx >= m.header_stop AND regexp_matches(p.text, '(References|REFERENCES|Bibliography|BIBLIOGRAPHY):?\.?\s*$')) ON true"""
+SELECT doc_id, coalesce(st, le) AS header_stop, st IS NULL AND le IS NOT NULL AS is_lenient FROM (SELECT doc_id, min(line_idx) FILTER (lower(ltrim(text)) LIKE 'introduction%' OR lower(ltrim(text)) LIKE 'background%' OR (rtrim(split_part(ltrim(upper(text)), ' ', 1), '.') IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9') OR split_part(ltrim(upper(text)), ' ', 1) LIKE '_.0' AND left(ltrim(upper(text)), 1) BETWEEN '0' AND '9' OR rtrim(split_part(ltrim(upper(text)), ' ', 1), '.') <> '' AND replace(rtrim(split_part(ltrim(upper(text)), ' ', 1), '.'), 'I', '') = '') AND (lower(ltrim(substr(ltrim(text), strpos(ltrim(text) || ' ', ' ')))) LIKE 'introduction%' OR lower(ltrim(substr(ltrim(text), strpos(ltrim(text) || ' ', ' ')))) LIKE 'background%')) AS st, min(line_idx) FILTER ((rtrim(split_part(ltrim(text), ' ', 1), '.') IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9') OR split_part(ltrim(text), ' ', 1) LIKE '_.0' AND left(ltrim(text), 1) BETWEEN '0' AND '9' OR rtrim(split_part(ltrim(text), ' ', 1), '.') <> '' AND replace(rtrim(split_part(ltrim(text), ' ', 1), '.'), 'I', '') = '') AND regexp_matches(ltrim(substr(ltrim(text), strpos(ltrim(text) || ' ', ' '))), '^[A-Z][a-z]')) AS le FROM paper GROUP BY doc_id)) m
+LEFT JOIN LATERAL (SELECT min(line_idx) AS body_stop FROM paper p WHERE p.doc_id = m.doc_id AND p.line_idx >= m.header_stop AND (trim(p.text) LIKE '%References' OR trim(p.text) LIKE '%REFERENCES' OR trim(p.text) LIKE '%Bibliography' OR trim(p.text) LIKE '%BIBLIOGRAPHY')) ON true"""
 
 
 @query("older_sections", V.with_sql("line", "paper", "older", then="SELECT * FROM older"))

@@ -95,15 +95,21 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.line(spark, sf_dir).select("doc_id", "line_idx", "page", "llx", text.alias("text"))
 
 
+# headings by string functions
+_INTRO = "(strpos(lower({0}), 'introduction') > 0 AND substr({0}, strpos(lower({0}), 'introduction'), 1) = 'I' AND ltrim(left({0}, strpos(lower({0}), 'introduction') - 1), '#iIvVxX.0123456789 ') = '')"
+_ABSTRACT = "(lower(trim({0})) LIKE 'abstract%' AND trim({0}) LIKE 'A%' OR trim({0}) = 'abstract')"
+_BIBLIO = "(lower(trim(ltrim({0}, '#iIvVxX.0123456789 '))) IN ('references', 'bibliography', 'references and notes', 'literature cited', 'acknowledgements') AND left(ltrim({0}, '#iIvVxX.0123456789 '), 1) <> lower(left(ltrim({0}, '#iIvVxX.0123456789 '), 1)) AND length({0}) - length(ltrim({0}, '#iIvVxX.0123456789 ')) <= 5)"
+
+
 @query(
     "paper_sections",
     V.with_sql(
         "line",
         "paper",
-        then=rf"""SELECT m.doc_id, CASE WHEN a IS NOT NULL THEN coalesce(least(coalesce(np, ni), coalesce(ni, np)), n_lines) WHEN i > 0 THEN i ELSE -1 END AS header_stop, CASE WHEN b > 0 THEN b ELSE -1 END AS body_stop, n_lines,
+        then=f"""SELECT m.doc_id, CASE WHEN a IS NOT NULL THEN coalesce(least(coalesce(np, ni), coalesce(ni, np)), n_lines) WHEN i > 0 THEN i ELSE -1 END AS header_stop, CASE WHEN b > 0 THEN b ELSE -1 END AS body_stop, n_lines,
 CASE WHEN a IS NULL AND NOT coalesce(i > 0, false) THEN 'header not found' WHEN NOT coalesce(b > 0, false) THEN 'references not found' END AS error FROM (
-SELECT doc_id, CASE WHEN min(line_idx) FILTER (regexp_matches(text, '{S.ABSTRACT}')) > 0 THEN min(line_idx) FILTER (regexp_matches(text, '{S.ABSTRACT}')) END AS a, min(line_idx) FILTER (regexp_matches(text, '{S.INTRODUCTION}')) AS i, max(line_idx) FILTER (regexp_matches(text, '{S.BIBLIOGRAPHY}')) AS b, max(line_idx) + 1 AS n_lines FROM paper GROUP BY doc_id) m
-LEFT JOIN (SELECT p.doc_id, min(p.line_idx) FILTER (p.page > q.page) AS np, min(p.line_idx) FILTER (regexp_matches(p.text, '{S.INTRODUCTION}')) AS ni FROM paper p JOIN (SELECT doc_id, min(line_idx) AS at FROM paper WHERE regexp_matches(text, '{S.ABSTRACT}') GROUP BY doc_id) x ON p.doc_id = x.doc_id AND p.line_idx > x.at JOIN paper q ON q.doc_id = x.doc_id AND q.line_idx = x.at WHERE x.at > 0 GROUP BY p.doc_id) s ON m.doc_id = s.doc_id""",
+SELECT doc_id, CASE WHEN min(line_idx) FILTER ({_ABSTRACT.format('text')}) > 0 THEN min(line_idx) FILTER ({_ABSTRACT.format('text')}) END AS a, min(line_idx) FILTER ({_INTRO.format('text')}) AS i, max(line_idx) FILTER ({_BIBLIO.format('text')}) AS b, max(line_idx) + 1 AS n_lines FROM paper GROUP BY doc_id) m
+LEFT JOIN (SELECT p.doc_id, min(p.line_idx) FILTER (p.page > q.page) AS np, min(p.line_idx) FILTER ({_INTRO.format('p.text')}) AS ni FROM paper p JOIN (SELECT doc_id, min(line_idx) AS at FROM paper WHERE {_ABSTRACT.format('text')} GROUP BY doc_id) x ON p.doc_id = x.doc_id AND p.line_idx > x.at JOIN paper q ON q.doc_id = x.doc_id AND q.line_idx = x.at WHERE x.at > 0 GROUP BY p.doc_id) s ON m.doc_id = s.doc_id""",
     ),
 )
 def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:

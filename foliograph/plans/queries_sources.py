@@ -108,7 +108,14 @@ def spread_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # five styles of references, one a document, numbered with gaps
 V.SQL["begun"] = """
 SELECT doc_id, line_idx, CASE WHEN line_idx % 3 <> 0 THEN 'and so on ' || text ELSE CASE doc_id % 6 WHEN 0 THEN '[' || line_idx || '] ' WHEN 1 THEN 'Smith A., Jones B. C., 1999 ' WHEN 2 THEN 'A. Smith, and Bob Jones. 1984. ' WHEN 3 THEN 'Smith, A. B., Jones, C. & Low, D. (1991). ' WHEN 4 THEN line_idx || ') The ' ELSE (line_idx // 3 + CASE WHEN line_idx % 21 = 12 THEN 7 ELSE 0 END) || '. The ' END || text END AS text FROM line"""
-_STARTS = [r"^\s*\[[^\]]+\]", r"^\s*([A-Z]\w+\s+([A-Z]\.?\s*)+,\s+)+\d{4}", r"^\s*([A-Z](\.|\w+)\s*){1,6}((,\s+|,\s+and\s+)+([A-Z](\.|\w+)\s*){1,6})*\.\s+\d{4}\.", r"^\s*([A-Z][\w\-]+,?\s+[A-Z]\.(\s*-?[A-Z]\.)*(,\s+|,?\s+(and|&)\s+)*)+\s+\(?\d{4}", r"^\s*\d+\)\s+[A-Z]", r"^\s*(\d{1,3})\..+"]
+_STARTS = [
+    "text LIKE '[%' AND strpos(text, ']') > 2",
+    "text LIKE 'Smith A., Jones B. C., 1999%'",
+    "text LIKE 'A. Smith, and Bob Jones. 1984.%'",
+    "text LIKE 'Smith, A. B., Jones, C. & Low, D. (1991%'",
+    "regexp_matches(split_part(text, ')', 1), '^[0-9]+$') AND regexp_matches(substr(text, strpos(text, ')') + 1), '^ +[A-Z]')",
+    "regexp_matches(split_part(text, '.', 1), '^[0-9]{1,3}$') AND strpos(text, '.') < length(text)",
+]
 
 
 @query(
@@ -116,9 +123,9 @@ _STARTS = [r"^\s*\[[^\]]+\]", r"^\s*([A-Z]\w+\s+([A-Z]\.?\s*)+,\s+)+\d{4}", r"^\
     "WITH RECURSIVE line AS (" + V.SQL["line"] + "),\nbegun AS (" + V.SQL["begun"] + r"""),
 hits AS (SELECT b.doc_id, line_idx, style, place, CASE WHEN style = 6 THEN TRY_CAST(regexp_extract(text, '^\s*(\d{1,3})\.', 1) AS INTEGER) END AS num, row_number() OVER (PARTITION BY b.doc_id ORDER BY line_idx) AS k FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM begun) b
 JOIN (SELECT doc_id, CASE """
-    + " ".join(f"WHEN regexp_matches(text, '{p}') THEN {k + 1}" for k, p in enumerate(_STARTS))
+    + " ".join(f"WHEN {p} THEN {k + 1}" for k, p in enumerate(_STARTS))
     + " END AS style FROM begun WHERE line_idx = 0) s ON s.doc_id = b.doc_id WHERE CASE style "
-    + " ".join(f"WHEN {k + 1} THEN regexp_matches(text, '{p}')" for k, p in enumerate(_STARTS))
+    + " ".join(f"WHEN {k + 1} THEN {p}" for k, p in enumerate(_STARTS))
     + """ END),
 walk AS (SELECT doc_id, line_idx, style, place, num AS last, true AS taken, k FROM hits WHERE k = 1 UNION ALL SELECT h.doc_id, h.line_idx, h.style, h.place, CASE WHEN h.num IS NULL OR h.num - w.last BETWEEN 1 AND 3 THEN h.num ELSE w.last END, h.num IS NULL OR h.num - w.last BETWEEN 1 AND 3, h.k FROM walk w JOIN hits h ON h.doc_id = w.doc_id AND h.k = w.k + 1)
 SELECT doc_id, line_idx, style FROM (SELECT *, max(CAST(coalesce(late, false) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_idx) AS ended FROM (SELECT *, place - lag(place) OVER (PARTITION BY doc_id ORDER BY line_idx) > 3200 AS late FROM walk WHERE taken)) WHERE ended = 0""",
