@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliograph.operators import ignored_lines as I
+from foliograph.operators import line_features as L
 from foliograph.operators import reference_hints as H
 from foliograph.operators import segmentation as S
 from foliograph.plans import views as V
@@ -103,3 +105,34 @@ def fused_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fused_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bibliographies cut at the hints that count."""
     return H.parted(entry_lines(spark, sf_dir), _fused(spark, sf_dir)).select("doc_id", "line_idx", "part", "ref_no")
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliographies under a title, with boxes as wide as their text."""
+    lines = entry_lines(spark, sf_dir)
+    title = lines.filter("line_idx = 0").withColumns({"line_idx": F.lit(-1).cast("long"), "text": F.lit("References"), "lly": F.col("lly") + 30, "llx": F.lit(72).cast("long")})
+    rows = lines.unionByName(title).withColumn("line_idx", F.col("line_idx") + 1)
+    return rows.withColumns({"urx": F.col("llx") + 5 * F.length("text"), "ury": F.col("lly") + 10, "font": F.lit(1)})
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.with_ignored(L.with_layout_features_v2(L.with_lexical_features_v2(_listed(spark, sf_dir))))
+
+
+@query("page_margins")
+def page_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and second indents of each page's columns."""
+    found = I.page_margins(_listed(spark, sf_dir))
+    return found.select("doc_id", "page", "left", "right", "bottom", "height", F.posexplode_outer("margins").alias("side", "m")).select("doc_id", "page", "left", "right", "bottom", "height", "side", F.col("m.left").alias("first_left"), F.col("m.right").alias("first_right"), F.col("m.left2").alias("second_left"), F.col("m.right2").alias("second_right"))
+
+
+@query("ignored_lines")
+def ignored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines to ignore and possible beginnings of references."""
+    return _walked(spark, sf_dir).select("doc_id", "line_idx", "ignored", "possible_init")
+
+
+@query("ruled_references")
+def ruled_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by rule, from what is ignored and what may begin one."""
+    return S.references(S.rule_labels(_walked(spark, sf_dir))).select("doc_id", "ref_no", "first_line", "last_line", F.sha1(F.col("text").cast("binary")).alias("sha"))
