@@ -2,22 +2,19 @@
 
 A page is turned into lines, one for each block of text: tags end blocks or vanish, scripts,
 styles and comments are stripped, character references are decoded. A line weighs the length
-of its text, where text in links does not count. Markup only changes that weight:
-
-* lines of elements that never hold article text (menus, footers, forms, adverts, notices,
-  reader comments and the like, told by tag, role, or a whole class or id) weigh nothing;
-* headings, lines that end like a sentence, and lines inside ``article`` or ``main`` weigh at
-  least as much as the page's mean line;
-* on a page with ``article`` or ``main``, lines outside weigh a tenth;
-* outside of these, lines below a heading such as "Comments" or "Related posts" weigh nothing,
-  up to the next heading that ranks as high.
-
-The distribution is the sum of weights over a sliding window of lines. Its threshold is
-``share`` of the page's mean weight of a line. Where the sum rises over the threshold the text
-surges, where it falls below it dives. Of the lines between, those count that lie from the
-first to the last one that reaches the threshold by itself: a window reaches over the edge of
-the text, and what stands in it there is no text yet. Between these every line is kept, short
-ones too, but for those that weigh nothing.
+of its text, where outside of ``article`` and ``main`` text in links does not count. Markup can only lower that weight:
+
+* blocks that a class, id or role names as no article text (adverts, notices, reader comments
+  and the like), and lines below a heading such as "Comments" outside of an article, weigh nothing;
+* lines of ``nav``, ``footer``, ``aside``, ``form``, ``menu`` and of a page's ``header`` weigh a twentieth.
+
+The distribution is the sum of weights over a sliding window of lines that are not lowered. A stretch of windows that
+are not empty is text if one of them reaches ``share`` of the page's mean weight of a line: the text surges at its
+beginning and dives where the sums fall to nothing. So short lines beside long ones are text, at the edges too, and
+short lines that stand by themselves, among links and notices, are not. A stretch is cut to its first and last line that
+weigh anything, and, where ``article`` or ``main`` begins or ends within a window of such an edge, to that
+place. Between these every line is kept, however short, but for lines that markup lowered. A page whose text is all in
+forms, which may wrap whole pages, is judged by its lowered weights.
 
 A null, empty or text-free page gives an empty text. A page cut off in the middle of a tag
 or reference gives the text before it. A quote that is never closed is a character like
@@ -43,7 +40,8 @@ _VALUE = re.compile(r"=\s*+")
 _NAMED = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Their content is not markup.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
-_DROPPED = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset", "map"}
+_DROPPED = {"head", "dialog", "select", "button", "fieldset", "map"}
+_LOWERED = {"nav", "footer", "aside", "form", "menu", "header"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -53,25 +51,26 @@ _UNCLOSED = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 _ENDS = _UNCLOSED | _HEADINGS | _INNER | {"div", "section", "ul", "ol", "table", "pre", "blockquote", "header", "footer", "nav", "aside", "form", "body"}
 #: Names (class, id, role) of what is not article text.
 _MARKS = {
+    "byline", "rating", "ratings", "tags", "thread", "toc", "voices",
     "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "disclaimer", "dialog", "feedback", "footer", "form", "gdpr", "header", "hidden", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
 #: Words of layout that may stand beside a mark in one name, as in ``site-header``; any other word makes it another name.
-_LAYOUT = {"area", "bar", "block", "bottom", "box", "container", "global", "group", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel", "primary", "reader", "right", "secondary", "section", "site", "slot", "text", "top", "user", "wrap", "wrapper"}
+_LAYOUT = {"discussion", "area", "bar", "block", "bottom", "box", "container", "global", "group", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel", "primary", "reader", "right", "secondary", "section", "site", "slot", "text", "top", "user", "wrap", "wrapper"}
 #: Words of a heading that opens what follows an article, and words that may stand beside them.
 _CLOSERS = {"comment", "comments", "discussion", "recommended", "related", "replies", "reply", "responses"}
 _SMALL = {"a", "and", "article", "articles", "by", "for", "from", "leave", "more", "on", "our", "post", "posts", "reader", "readers", "s", "stories", "the", "this", "to", "your"}
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PIECES = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_SENTENCE = re.compile(r"[.!?\u2026\u3002\uFF01\uFF1F][\"'\u201D\u2019\u00BB)\]]*$")
 
 
 @dataclass
 class Line:
     text: str
     plain: int = 0  # length without link text
-    strong: bool = False  # a heading, or ends like a sentence
     inside: bool = False  # in article or main
+    low: bool = False  # of an element that seldom holds article text
+    form: bool = False  # lowered by forms alone
 
 
 def is_mark(name: str) -> bool:
@@ -87,7 +86,7 @@ def is_closer(heading: str) -> bool:
 
 
 def _left_out(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _DROPPED or tag == "header" and not inside:
+    if tag in _DROPPED:
         return True
     if tag in ("html", "body") or tag in _INNER and not inside or not attributes:
         return False
@@ -143,6 +142,7 @@ def lines_of(page: str | None) -> list[Line]:
     inside = linked = heading = closed = at = 0
     dropped: list[str] = []  # open tags below one that is left out, that one first
     below: Counter = Counter()
+    lowered: Counter = Counter()  # open tags that lower what they hold
     skipped = False  # text of a block was left out since the last line
 
     def end_line() -> None:
@@ -151,10 +151,11 @@ def lines_of(page: str | None) -> list[Line]:
         if body:
             if heading and not inside and (not closed or heading <= closed):
                 closed = heading if is_closer(body) else 0
-            plain = len(body) - len(" ".join(html.unescape("".join(links)).split()))
-            lines.append(Line("") if closed and not inside else Line(body, plain, heading > 0 or bool(_SENTENCE.search(body)), inside > 0))
+            plain = len(body) - (0 if inside else len(" ".join(html.unescape("".join(links)).split())))
+            low = lowered.total()
+            lines.append(Line("") if closed and not inside else Line(body, plain, inside > 0, low > 0, low == lowered["form"]))
         if skipped:
-            lines.append(Line(""))
+            lines.append(Line("", inside=inside > 0))
             skipped = False
         text.clear()
         links.clear()
@@ -197,6 +198,7 @@ def lines_of(page: str | None) -> list[Line]:
                 elif tag in ("body", "html") or tag in _INNER:
                     dropped.clear()
                     below.clear()
+                    lowered.clear()
             elif dropped[0] in _UNCLOSED and len(dropped) == 1 and tag in _ENDS:
                 dropped.clear()
                 below.clear()
@@ -209,6 +211,13 @@ def lines_of(page: str | None) -> list[Line]:
             dropped.append(tag)
             below[tag] += 1
             continue
+        if tag in _LOWERED:
+            if not closing:
+                lowered[tag] += tag != "header" or not inside
+            elif lowered[tag]:
+                lowered[tag] -= 1
+        elif closing and (tag in _INNER or tag in ("body", "html")):
+            lowered.clear()
         if tag == "a":
             linked = 0 if closing else 1
         if tag in _HEADINGS:
@@ -225,38 +234,50 @@ def lines_of(page: str | None) -> list[Line]:
 
 def weights_of(lines: list[Line]) -> list[float]:
     """What each line weighs."""
-    inner = any(x.inside for x in lines)
-    texts = [x for x in lines if x.text]
-    mean = max(1.0, sum(x.plain for x in texts) / max(1, len(texts)))
-    return [0.0 if not x.text else max(x.plain, mean) if x.inside else (max(x.plain, mean) if x.strong and x.plain else x.plain) * (0.1 if inner else 1.0) for x in lines]
+    return [x.plain * (0.05 if x.low else 1.0) for x in lines]
+
+
+def between(weights: list[float], window: int, limit: float) -> list[tuple[int, int]]:
+    """Each stretch of text from surge to dive, as its first and last line that weigh anything: windows that are not empty, one of which reaches the limit."""
+    found: list[tuple[int, int]] = []
+    surge, tall = None, False
+    for k in range(len(weights) + window):  # the window that ends with line k
+        some = weights[max(0, k - window + 1) : k + 1]
+        total = sum(some)
+        if total > 0:
+            surge, tall = k if surge is None else surge, tall or total >= limit
+        elif surge is not None:
+            if tall:
+                found.append((surge, max(i for i in range(surge, min(k, len(weights))) if weights[i])))
+            surge, tall = None, False
+    return found
+
+
+def chosen(lines: list[Line], window: int, share: float) -> list[Line]:
+    """The lines that are article text."""
+    lines = [x for x in lines if not x.inside or x.text and not x.low]  # what an article does not mean as text does not part it
+    weights = weights_of(lines)
+    own = [0.0 if x.low else w for w, x in zip(weights, lines)]
+    if not any(own):
+        own = [w if x.form else 0.0 for w, x in zip(weights, lines)]
+        return [x for a, b in _stretches(own, window, share) for x in lines[a : b + 1] if x.text and x.form]
+    kept: list[Line] = []
+    for a, b in _stretches(own, window, share):
+        inner = [i for i in range(a, b + 1) if lines[i].inside]
+        if inner:
+            a, b = inner[0] if inner[0] - a <= window else a, inner[-1] if b - inner[-1] <= window else b
+        kept += [x for x in lines[a : b + 1] if x.text and not x.low]
+    return kept
 
 
-def between(weights: list[float], window: int, share: float) -> list[int]:
-    """The lines between each surge and its dive, without those that weigh nothing."""
+def _stretches(weights: list[float], window: int, share: float) -> list[tuple[int, int]]:
     heavy = [w for w in weights if w]
-    if not heavy:
-        return []
-    limit = share * sum(heavy) / len(heavy)
-    kept: list[int] = []
-    padded = [0.0] * (window - 1) + weights + [0.0] * window
-    total, surge = 0.0, None
-    for k in range(len(padded) - window + 1):  # the window from line k - window + 1 to line k
-        total = sum(padded[k : k + window])
-        if total >= limit and surge is None:
-            surge = max(0, k - window + 1)
-        elif total < limit and surge is not None:
-            region = range(surge, min(k, len(weights)))
-            own = [i for i in region if weights[i] >= limit]
-            if own:
-                kept += [i for i in range(own[0], own[-1] + 1) if weights[i]]
-            surge = None
-    return kept
+    return between(weights, window, share * sum(heavy) / len(heavy)) if heavy else []
 
 
 def main_text(page: str | None, *, window: int = 3, share: float = 0.5) -> str:
     """The blocks of the main text, joined by line feeds."""
-    lines = lines_of(page)
-    return "\n".join(lines[i].text for i in between(weights_of(lines), window, share))
+    return "\n".join(x.text for x in chosen(lines_of(page), window, share))
 
 
 def with_text(pages: DataFrame, *, source: str = "html", text: str = "text") -> DataFrame:
