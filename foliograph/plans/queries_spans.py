@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliograph.operators import alignment as A
 from foliograph.operators import spans as P
 from foliograph.plans import views as V
 from foliograph.plans.catalog import query
@@ -147,3 +148,13 @@ def event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with single blanks."""
     return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(P.normalised(F.col("text")).cast("binary")).alias("sum"))
+
+
+@query("aligned_spans")
+def aligned_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of the turns of conversations found again in another reading of the text, with a note in front and letters misread."""
+    turns = V.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    texts = turns.select("doc_id", F.col("text").alias("old"), F.concat(F.lit("Turn: "), F.regexp_replace(F.regexp_replace("text", "ti", "fi"), "ff|nn", "n")).alias("new"))
+    n, half = F.length("text"), F.floor(F.length("text") / 2)
+    marks = turns.select("doc_id", F.explode(F.array(F.struct(F.lit("first").alias("label"), F.lit(0).cast("long").alias("start"), half.alias("stop")), F.struct(F.lit("second").alias("label"), half.alias("start"), n.cast("long").alias("stop")))).alias("m"))
+    return A.aligned_spans(texts, marks.select("doc_id", "m.*"))
