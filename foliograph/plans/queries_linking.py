@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.operators import linking as L
+from foliograph.operators import name_matching as N
 from foliograph.plans import views as V
 from foliograph.plans.catalog import query
 
@@ -190,3 +191,25 @@ def spliced_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = lambda a, b, tag: F.struct(a.alias("start"), b.alias("stop"), tag.alias("tag"))
     spans = F.array(span(F.lit(1), F.lit(3), F.concat(F.lit('<citation refID="r'), "ref_no", F.lit('">'))), span(n - 1, n, F.lit("</citation>")))
     return V.cited(spark, sf_dir).select("doc_id", "ref_no", F.when(n > 3, L.spliced(F.col("text"), spans)).otherwise(F.col("text")).alias("text"))
+
+
+def _printed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Authors with their place in the paper, and their e-mails as printed; some with words in front, some with brackets misread."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("author_id")) - 1
+    authors = V.author(spark, sf_dir).withColumn("author_no", place.cast("long"))
+    raw = F.when(F.col("email_ref") % 3 == 0, F.concat(F.lit("E-mail: "), "raw")).otherwise(F.regexp_replace(F.regexp_replace("raw", r"^\{", "f"), r"\}@", "g@"))
+    return authors, V.raw_email(spark, sf_dir).withColumn("raw", raw)
+
+
+@query("segmented_emails")
+def segmented_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses cut from e-mail strings, with misread brackets mended."""
+    authors, raw = _printed(spark, sf_dir)
+    return N.segmented(raw, authors)
+
+
+@query("name_matches")
+def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors and addresses that match by some rung."""
+    authors, raw = _printed(spark, sf_dir)
+    return N.matches(authors, N.segmented(raw, authors))
