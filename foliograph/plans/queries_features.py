@@ -53,10 +53,10 @@ def font_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TF.with_font_changes(V.token(spark, sf_dir), 11).select("doc_id", "tok_idx", "font_change", "biggest_font", "line_break")
 
 
-@query("predicted_features", V.with_sql("line", "token", then="SELECT doc_id, tok_idx, CASE WHEN tok_idx % 3 = 0 THEN 'PRED1=b,PRED2=a' WHEN tok_idx % 3 = 1 THEN 'PRED1=c' ELSE '' END AS predicted FROM token WHERE line_idx < 2"))
+@query("predicted_features", V.with_sql("line", "token", then="SELECT doc_id, tok_idx, CASE WHEN tok_idx % 3 = 0 THEN 'PRED1=b,PRED2=a' WHEN tok_idx % 3 = 1 THEN 'PRED1=c' ELSE '' END AS predicted FROM token"))
 def predicted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best predictions of each token as features."""
-    tokens = V.token(spark, sf_dir).filter("line_idx < 2").select("doc_id", "tok_idx")
+    tokens = V.token(spark, sf_dir).select("doc_id", "tok_idx")
     one = lambda label, score: F.struct(F.lit(label).alias("label"), F.lit(score).alias("score"))
     some = F.when(F.col("tok_idx") % 3 == 0, F.array(one("a", 0.5), one("b", 0.6), one("c", 0.5))).when(F.col("tok_idx") % 3 == 1, F.array(one("c", 0.1)))
     found = TF.with_predictions(tokens, tokens.select("doc_id", "tok_idx", F.inline(some)), 2)
@@ -193,11 +193,11 @@ def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.text_lines(V.token(spark, sf_dir).withColumn("newline", F.col("pos") == 0))
 
 
-@query("repaired_diacritics", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ó \"x\" ü' WHEN 1 THEN 'è' ELSE 'q´ plain' END || doc_id AS text FROM documents")
+@query("repaired_diacritics", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ó \"x\" ü' WHEN 1 THEN 'è' ELSE 'q´ plain' END || doc_id || ' ' || regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM documents")
 def repaired_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lone diacritics joined to their letters (T5)."""
     broken = F.when(F.col("doc_id") % 5 == 0, 'o´ ``x"  u¨'.replace("  ", " ")).when(F.col("doc_id") % 5 == 1, "e`").otherwise("q´ plain")
-    return V.table(spark, sf_dir, "documents").select("doc_id", T.repaired_diacritics(F.concat(broken, "doc_id")).alias("text"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.repaired_diacritics(F.concat(broken, "doc_id", F.lit(" "), F.regexp_replace("text", "[^A-Za-z ]", ""))).alias("text"))
 
 
 @query("harvested_papers", V.with_sql("author", then="SELECT doc_id, author FROM (SELECT doc_id, nation AS author, row_number() OVER (PARTITION BY nation ORDER BY doc_id) AS n FROM (SELECT DISTINCT doc_id, nation FROM author) WHERE doc_id % 4 <> 1) WHERE n <= 3"))
@@ -207,10 +207,10 @@ def harvested_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.harvested(papers, 3, 1000).select("doc_id", "author")
 
 
-@query("phantom_tokens", V.with_sql("line", "token", then="SELECT doc_id, tok_idx, CASE WHEN doc_id % 2 = 0 AND tok_idx = 3 THEN token || 'tail' ELSE token END AS token, false AS phantom FROM token WHERE line_idx < 2 AND NOT (doc_id % 2 = 0 AND tok_idx = 4) UNION ALL SELECT doc_id, tok_idx, '' AS token, true FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, line_idx) AS n FROM token WHERE line_idx < 2) WHERE doc_id % 2 = 0 AND tok_idx = 4 AND n = 1"))
+@query("phantom_tokens", V.with_sql("line", "token", then="SELECT doc_id, tok_idx, CASE WHEN doc_id % 2 = 0 AND tok_idx = 3 THEN token || 'tail' ELSE token END AS token, false AS phantom FROM token WHERE NOT (doc_id % 2 = 0 AND tok_idx = 4) UNION ALL SELECT doc_id, tok_idx, '' AS token, true FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, line_idx) AS n FROM token) WHERE doc_id % 2 = 0 AND tok_idx = 4 AND n = 1"))
 def phantom_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joined words and the phantoms of their rests."""
-    tokens = V.token(spark, sf_dir).filter("line_idx < 2")
+    tokens = V.token(spark, sf_dir)
     joined = tokens.filter("doc_id % 2 = 0 and tok_idx = 3").select("doc_id", "tok_idx", F.lit(True).alias("joined"), F.concat("token", F.lit("tail")).alias("word"))
     return T.with_phantoms(tokens, joined).select("doc_id", "tok_idx", "token", "phantom")
 

@@ -78,11 +78,11 @@ def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sidecar(spark, _saved(spark, lines, "c_custkey")).groupBy("key").agg(F.count("*").alias("n"), F.min("value").alias("first"))
 
 
-_BIO = "SELECT doc_id, tok_idx, token, CASE WHEN tok_idx % 10 < 4 THEN 'title' ELSE 'O' END AS label FROM token WHERE line_idx < 2"
+_BIO = "SELECT doc_id, tok_idx, token, CASE WHEN tok_idx % 10 < 4 THEN 'title' ELSE 'O' END AS label FROM token"
 
 
 def _labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.token(spark, sf_dir).filter("line_idx < 2").select("doc_id", "tok_idx", "token", F.when(F.col("tok_idx") % 10 < 4, "title").otherwise("O").alias("label"))
+    return V.token(spark, sf_dir).select("doc_id", "tok_idx", "token", F.when(F.col("tok_idx") % 10 < 4, "title").otherwise("O").alias("label"))
 
 
 @query("word_lines", V.with_sql("line", "token", then=f"SELECT doc_id, string_agg(token || ': ' || label, chr(10) ORDER BY tok_idx) AS text FROM ({_BIO}) GROUP BY doc_id"))

@@ -10,15 +10,15 @@ from foliograph.operators import spans as P
 from foliograph.plans import views as V
 from foliograph.plans.catalog import query
 
-# tokens of the first lines, with character places as if single blanks stood between
-V.SQL["placed"] = "SELECT doc_id, tok_idx, token, llx, lly, urx, ury, CAST(coalesce(sum(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM token WHERE line_idx < 3"
+# tokens with character places as if single blanks stood between
+V.SQL["placed"] = "SELECT doc_id, tok_idx, token, llx, lly, urx, ury, CAST(coalesce(sum(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM token"
 V.SQL["marked"] = "SELECT doc_id, span_id, label, start, stop FROM (SELECT DISTINCT doc_id FROM placed), LATERAL (VALUES (1, 'authors', doc_id % 7, 60), (2, 'name', doc_id % 7, 20 + doc_id % 5), (3, 'note', 30, 44), (4, 'none', 90, 80)) AS s(span_id, label, start, stop)"
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("token") + 1).over(before), F.lit(0)).cast("long")
-    return V.token(spark, sf_dir).filter("line_idx < 3").select("doc_id", "tok_idx", "token", "llx", "lly", "urx", "ury", start.alias("start"))
+    return V.token(spark, sf_dir).select("doc_id", "tok_idx", "token", "llx", "lly", "urx", "ury", start.alias("start"))
 
 
 def _marked(placed: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def span_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # paths of two levels; a caret every fourth token
-V.SQL["pathed"] = "SELECT doc_id, tok_idx, token, llx, lly, urx, ury, tok_idx // 12 % 3 AS a, tok_idx // 4 % 2 AS b, tok_idx % 8 = 6 AS caret FROM token WHERE line_idx < 4"
+V.SQL["pathed"] = "SELECT doc_id, tok_idx, token, llx, lly, urx, ury, tok_idx // 12 % 3 AS a, tok_idx // 4 % 2 AS b, tok_idx % 8 = 6 AS caret FROM token"
 
 
 @query(
@@ -65,16 +65,16 @@ def nested_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label paths as nested elements with their boxes (M4, M5)."""
     t = F.col("tok_idx")
     label = F.concat(F.lit("x"), F.floor(t / 12) % 3, F.lit(":"), F.when(t % 8 == 6, "^").otherwise(""), F.lit("y"), F.floor(t / 4) % 2)
-    return P.elements(V.token(spark, sf_dir).filter("line_idx < 4").withColumn("label", label)).drop("element")
+    return P.elements(V.token(spark, sf_dir).withColumn("label", label)).drop("element")
 
 
-V.SQL["bio"] = "SELECT doc_id, tok_idx, CASE tok_idx % 10 WHEN 0 THEN 'B-title' WHEN 1 THEN 'I-title' WHEN 4 THEN 'B-date' WHEN 5 THEN 'I-date' ELSE 'O' END AS label FROM token WHERE line_idx < 2"
+V.SQL["bio"] = "SELECT doc_id, tok_idx, CASE tok_idx % 10 WHEN 0 THEN 'B-title' WHEN 1 THEN 'I-title' WHEN 4 THEN 'B-date' WHEN 5 THEN 'I-date' ELSE 'O' END AS label FROM token"
 
 
 def _bio(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("tok_idx") % 10
     label = F.when(k == 0, "B-title").when(k == 1, "I-title").when(k == 4, "B-date").when(k == 5, "I-date").otherwise("O")
-    return V.token(spark, sf_dir).filter("line_idx < 2").select("doc_id", "tok_idx", label.alias("label"))
+    return V.token(spark, sf_dir).select("doc_id", "tok_idx", label.alias("label"))
 
 
 @query("bio_paths", V.with_sql("line", "token", "bio", then="SELECT doc_id, tok_idx, CASE WHEN starts_with(label, 'B-') THEN '^' || substr(label, 3) WHEN starts_with(label, 'I-') THEN substr(label, 3) ELSE label END AS label FROM bio"))
