@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,12 +79,49 @@ def contiguous(rows: DataFrame, group: str, order: str, value: str, n: int) -> D
 
 
 def combinations(rows: DataFrame, group: str, value: str, n: int = 2) -> DataFrame:
-    """All combinations of two different values of a group, in order. Made from each group's list, so no rows meet twice."""
-    if n != 2:
-        raise ValueError("combinations are of two")
+    """All combinations of ``n`` different values of a group, in order: as a and b where they are two, else as an array ``values``. Made from each group's list, so no rows meet twice."""
+    if n < 1:
+        raise ValueError("combinations are of one at least")
     listed = rows.groupBy(group).agg(F.array_sort(F.collect_set(value)).alias("_all"))
-    each = listed.select(group, "_all", F.posexplode("_all").alias("_k", "a"))
-    return each.select(group, "a", F.explode(F.slice("_all", F.col("_k") + 2, F.size("_all"))).alias("b"))
+    each = listed.select(group, "_all", F.posexplode("_all").alias("_k", "_v")).select(group, "_all", "_k", F.array("_v").alias("values"))
+    for _ in range(n - 1):
+        later = F.transform(F.slice("_all", F.col("_k") + 2, F.size("_all")), lambda v, i: F.struct((F.col("_k") + 1 + i).alias("k"), v.alias("v")))
+        each = each.select(group, "_all", "values", F.explode(later).alias("_n")).select(group, "_all", F.col("_n.k").alias("_k"), F.concat("values", F.array("_n.v")).alias("values"))
+    return each.select(group, F.col("values")[0].alias("a"), F.col("values")[1].alias("b")) if n == 2 else each.select(group, "values")
+
+
+def target_labels(labelled: DataFrame, segment_authors: bool = True, prefix_notes: bool = True) -> DataFrame:
+    """Tokens (doc_id, tok_idx, ``label``: names of the spans around, outermost first, with colons between) with ``target``.
+
+    The innermost name is the target. Inside of an author it says whether the token begins one, which is the first
+    of neighbouring tokens in one; inside of a note it has that in front.
+    """
+    order = Window.partitionBy("doc_id").orderBy("tok_idx")
+    names = F.split("label", ":")
+    inner, outer = F.element_at(names, -1), F.slice(names, F.lit(1), F.size(names) - 1)
+    within = F.array_contains(names, "author")
+    begins = within & ~F.coalesce(F.lag(within).over(order), F.lit(False))
+    target = F.lit("")
+    if prefix_notes:
+        target = F.when(F.array_contains(outer, "note") & (inner != "note"), "note|").otherwise("")
+    if segment_authors:
+        part = F.when(begins, "author-begin|").otherwise("author-inside|")
+        target = F.concat(target, F.when(F.array_contains(outer, "author") & (inner != "author"), part).otherwise(""))
+    return labelled.withColumn("target", F.concat(target, inner))
+
+
+def lead_marker(text: Column) -> Column:
+    """How many characters a reference's marker takes at its beginning, with the white space behind: brackets, behind nothing but tags, or a number of up to three digits with a period; 0 without one."""
+    bare = F.regexp_replace(text, r"^(?:\s++|<[^>]*+>)*+", "")
+    close = F.instr(bare, "]")
+    white = lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" \t\n\x0b\f\r")))
+    behind = F.substring(bare, close + 1, F.length(bare))
+    bracket = F.length(text) - F.length(bare) + close + white(behind)
+    line = F.ltrim(text, F.lit(" \t\n\x0b\f\r"))
+    first = F.substring_index(line, ".", 1)
+    rest = F.substring(line, F.length(first) + 2, F.length(line))
+    number = F.length(text) - F.length(rest) + white(rest)
+    return F.when(F.startswith(bare, F.lit("[")) & (close > 2), bracket).when(first.rlike("^[0-9]{1,3}$") & (white(rest) > 0), number).otherwise(0)
 
 
 def seeded_split(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:

@@ -158,3 +158,37 @@ def aligned_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, half = F.length("text"), F.floor(F.length("text") / 2)
     marks = turns.select("doc_id", F.explode(F.array(F.struct(F.lit("first").alias("label"), F.lit(0).cast("long").alias("start"), half.alias("stop")), F.struct(F.lit("second").alias("label"), half.alias("start"), n.cast("long").alias("stop")))).alias("m"))
     return A.aligned_spans(texts, marks.select("doc_id", "m.*"))
+
+
+@query("author_triples", V.with_sql("author", then="SELECT x.doc_id, x.last || ',' || y.last || ',' || z.last AS names FROM (SELECT DISTINCT doc_id, last FROM author) x JOIN (SELECT DISTINCT doc_id, last FROM author) y ON x.doc_id = y.doc_id AND x.last < y.last JOIN (SELECT DISTINCT doc_id, last FROM author) z ON y.doc_id = z.doc_id AND y.last < z.last"))
+def author_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three authors of a paper."""
+    return P.combinations(V.author(spark, sf_dir), "doc_id", "last", 3).select("doc_id", F.array_join("values", ",").alias("names"))
+
+
+V.SQL["authored"] = "SELECT doc_id, tok_idx, replace(label, 'authors', 'author') AS label FROM active"
+
+
+@query(
+    "target_labels",
+    V.with_sql(
+        "line", "token", "placed", "marked", "active", "authored",
+        then="""SELECT doc_id, tok_idx, CASE WHEN label LIKE '%note:%' AND inner_ <> 'note' THEN 'note|' ELSE '' END || CASE WHEN label LIKE '%author:%' AND inner_ <> 'author' THEN CASE WHEN lag(held) OVER (PARTITION BY doc_id ORDER BY tok_idx) THEN 'author-inside|' ELSE 'author-begin|' END ELSE '' END || inner_ AS target
+FROM (SELECT *, split_part(label, ':', -1) AS inner_, label LIKE '%author%' AS held FROM authored)""",
+    ),
+)
+def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of tokens from the spans around them."""
+    placed = _placed(spark, sf_dir)
+    labelled = P.token_labels(placed, _marked(placed)).withColumn("label", F.regexp_replace("label", "authors", "author"))
+    return P.target_labels(labelled).select("doc_id", "tok_idx", "target")
+
+
+@query("lead_markers", V.with_sql("reference", then="SELECT doc_id, ref_id, CASE WHEN ref_no % 3 = 0 THEN '<b> ' || '[' || ref_no || ']' || '  ' WHEN ref_no % 3 = 1 THEN ' ' || ref_no || '. ' ELSE '' END AS marker, last1 || ' ' || year AS rest FROM reference"))
+def lead_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References cut behind their marker (M3)."""
+    n = F.col("ref_no")
+    marker = F.when(n % 3 == 0, F.concat(F.lit("<b> ["), n, F.lit("]  "))).when(n % 3 == 1, F.concat(F.lit(" "), n, F.lit(". "))).otherwise("")
+    texts = V.reference(spark, sf_dir).select("doc_id", "ref_id", F.concat(marker, "last1", F.lit(" "), "year").alias("text"))
+    size = P.lead_marker(F.col("text"))
+    return texts.select("doc_id", "ref_id", F.substring("text", F.lit(1), size).alias("marker"), F.substring("text", size + 1, F.length("text")).alias("rest"))
