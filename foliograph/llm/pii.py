@@ -7,19 +7,19 @@ unknown standing. Patterns and instances form a graph, scored in rounds: a patte
 the occurrences of known instances behind it, over all its occurrences in all texts, so that
 everyday words score near zero; an instance is as credible as at least one of its patterns
 being right. Instances that pass ``accept`` are known from then on, as the kind their best
-pattern belongs to: all their occurrences become spans, and the words before these are new
-patterns, which find further instances in the next round. Only patterns with ``support``
-different known instances take part. Known instances only grow in number, and the rounds end
-when none is new, at the latest after ``rounds``.
+pattern belongs to in that round: all their occurrences become spans, and the words before
+these are new patterns, which find further instances in the next round. Only patterns with
+``support`` different known instances take part. What is known stays known, so known
+instances only grow in number, and the rounds go on until none is new.
 
-All of it is DataFrame functions. Every round's table goes to the shared folder. Texts are
+All of it is DataFrame functions. Every round's tables go to the shared folder. Texts are
 never shuffled for scoring, only the candidates with their context and the places of patterns;
-equal texts count once. A pattern's occurrences are counted when it first has enough known
-instances, in one pass for all patterns of a round, and only if something unknown stands
-behind it.
+equal texts count once. The occurrences of all patterns that may ever take part (enough
+different instances behind them, known or not, and an unknown one) are counted before the
+rounds, in one pass over the texts; the rounds read the graph alone.
 
 A null text counts as empty; an empty one has no spans. Rows are kept as they come, repeated
-ones too; columns ``spans`` and ``base`` are replaced, names of helpers (``_row``, ``_sum`` and the like) are taken.
+ones too; columns ``spans`` and ``base`` are replaced, all others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -86,23 +86,24 @@ def before(text: Column, start: Column) -> Column:
     return found
 
 
-def with_spans(documents: DataFrame, *, text: str = "text", support: int = 5, accept: float = 0.5, rounds: int = 10) -> DataFrame:
+def with_spans(documents: DataFrame, *, text: str = "text", support: int = 5, accept: float = 0.5) -> DataFrame:
     """The documents with ``base`` (base spans) and ``spans`` (those and the discovered ones), each by kind and then start."""
-    taken = ("spans", "base", "_row", "_sum", "_row2", "_sum2", "_found")
-    kept = [documents[f"`{c}`"] for c in documents.columns if c not in taken]
+    kept = [c for c in documents.columns if c not in ("spans", "base")]
+    row, check, row2, check2, more = S.unused(documents.columns, "_row", "_sum", "_row2", "_sum2", "_found")
     body = F.coalesce(documents[text], F.lit(""))
-    keyed = documents.select(*kept, base_spans(body).alias("base"), F.xxhash64(documents[text]).alias("_row"), F.md5(documents[text].cast("binary")).alias("_sum"))
-    found = _discovered(documents.select(F.col(text).alias("_text")), support, accept, rounds)
+    told = (F.xxhash64(documents[text]).alias(row), F.md5(documents[text].cast("binary")).alias(check))
+    keyed = documents.select(*[documents[f"`{c}`"] for c in kept], base_spans(body).alias("base"), *told)
+    found = _discovered(documents.select(F.col(text).alias("_text")), support, accept)
     if found is None:
-        return keyed.withColumn("spans", F.col("base")).drop("_row", "_sum")
+        return keyed.withColumn("spans", F.col("base")).drop(row, check)
     # a table, so that its size is known: a small one goes to the documents
-    found = written(found, "pii-found").withColumnsRenamed({"_row": "_row2", "_sum": "_sum2"})
-    out = keyed.join(found, (F.col("_row") == F.col("_row2")) & (F.col("_sum") == F.col("_sum2")), "left")
-    spans = S.ordered(F.concat("base", F.coalesce("_found", F.array().cast(_NONE))), KINDS, by_start=False)
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns if c not in taken], "base", spans.alias("spans"))
+    found = written(found, "pii-found").toDF(row2, check2, more)
+    out = keyed.join(found, (F.col(row) == F.col(row2)) & (F.col(check) == F.col(check2)), "left")
+    spans = S.ordered(F.concat("base", F.coalesce(more, F.array().cast(_NONE))), KINDS, by_start=False)
+    return out.select(*[F.col(f"`{c}`") for c in kept], "base", spans.alias("spans"))
 
 
-def _discovered(texts: DataFrame, support: int, accept: float, rounds: int) -> DataFrame | None:
+def _discovered(texts: DataFrame, support: int, accept: float) -> DataFrame | None:
     """Discovered spans by text: (_row, _sum, _found), or None where there are no candidates or no patterns."""
     text = F.col("_text")
     scanned = texts.filter(text.rlike("[0-9]|@|" + _AT)).select("_text", base_spans(text).alias("_base"), weak_spans(text).alias("_weak"))
@@ -120,35 +121,29 @@ def _discovered(texts: DataFrame, support: int, accept: float, rounds: int) -> D
         name.alias("name"),
     )
     parts = written(parts.dropDuplicates(["_row", "_sum", "span"]), "pii-parts")
-    nodes = ["is_address", "name"]
+    nodes, context = ["is_address", "name"], ["pattern", "is_address"]
     seeds = parts.filter("seed").select(*nodes, F.col("span.kind").alias("kind")).distinct()
-    unknown = parts.filter(~F.col("seed")).join(seeds.select(*nodes).distinct(), nodes, "left_anti")
-    # the graph: an edge for each pattern and name; patterns that no unknown name stands behind find nothing
-    edges = written(parts.groupBy("pattern", *nodes).agg(F.count("*").alias("seen")), "pii-edges")
-    unknown = written(unknown, "pii-unknown")
-    open_edges = written(edges.join(unknown.select(*nodes).distinct(), nodes, "left_semi"), "pii-open")
-    context = ["pattern", "is_address"]
-    useful = edges.join(open_edges.select(*context).distinct(), context, "left_semi")
-    known, found, times, size = seeds, None, None, 0
-    for k in range(rounds):
-        held = useful.join(known, nodes).groupBy(*context, "kind").agg(F.count("*").alias("names"), F.sum("seen").alias("n")).filter(F.col("names") >= support)
-        held = written(held, f"pii-patterns-{k}")
-        fresh = held.select(*context).distinct() if times is None else held.select(*context).distinct().join(times.select(*context), context, "left_anti")
-        fresh = written(fresh.withColumn("key", F.xxhash64("pattern")), f"pii-fresh-{k}")
-        if not fresh.isEmpty():
-            counted = fresh.join(_times(texts, fresh), "key", "left").select(*context, "times")
-            times = written(counted if times is None else times.union(counted), f"pii-times-{k}")
-        if times is None:
-            return None
-        score = F.col("n") / (F.greatest(F.coalesce("times", F.lit(0)), F.col("n")) + 1)
-        scores = held.join(times, context).select(*context, "kind", score.alias("score"))
+    unknown = written(parts.filter(~F.col("seed")).join(seeds.select(*nodes).distinct(), nodes, "left_anti"), "pii-unknown")
+    # the graph: an edge for each pattern and name, of the patterns that may ever take part and find something
+    edges = parts.groupBy("pattern", *nodes).agg(F.count("*").alias("seen"))
+    is_open = unknown.select(*nodes).distinct().withColumn("open", F.lit(True))
+    edges = written(edges.join(is_open, nodes, "left").withColumn("open", F.coalesce("open", F.lit(False))), "pii-edges")
+    able = edges.groupBy(*context).agg(F.count("*").alias("names"), F.max("open").alias("open")).filter(F.col("open") & (F.col("names") >= support))
+    patterns = written(able.select(*context, F.xxhash64("pattern").alias("key")), "pii-patterns")
+    if patterns.isEmpty():
+        return None
+    times = written(patterns.join(_times(texts, patterns), "key", "left").select(*context, F.coalesce("times", F.lit(0)).alias("times")), "pii-times")
+    edges = written(edges.join(times, context), "pii-graph")
+    known, found, size = seeds, None, -1
+    while found is None or found.count() > size:
+        size = 0 if found is None else found.count()
+        held = edges.join(known, nodes).groupBy(*context, "kind").agg(F.count("*").alias("names"), F.sum("seen").alias("n"), F.max("times").alias("times")).filter(F.col("names") >= support)
+        scores = written(held.select(*context, "kind", (F.col("n") / (F.greatest("times", "n") + 1)).alias("score")), "pii-scores")
         # that at least one of a name's patterns is right
         doubt = F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999999)))))
-        credible = open_edges.join(scores, context).groupBy(*nodes, "kind").agg((1 - doubt).alias("confidence")).filter(F.col("confidence") >= accept)
-        found = written(credible.groupBy(*nodes).agg(F.max(F.struct("confidence", "kind")).alias("best")).select(*nodes, "best.kind"), f"pii-found-{k}")
-        before_size, size = size, found.count()
-        if size == before_size:
-            break
+        credible = edges.filter("open").join(scores, context).groupBy(*nodes, "kind").agg((1 - doubt).alias("confidence")).filter(F.col("confidence") >= accept)
+        best = credible.groupBy(*nodes).agg(F.max(F.struct("confidence", "kind")).alias("best")).select(*nodes, "best.kind")
+        found = written(best if found is None else found.union(best.join(found.select(*nodes), nodes, "left_anti")), "pii-known")
         known = seeds.union(found.select(*seeds.columns))
     span = F.struct(F.col("kind"), F.col("span.start").alias("start"), F.col("span.stop").alias("stop"), F.col("span.body").alias("body"))
     return unknown.join(found, nodes).groupBy("_row", "_sum").agg(F.sort_array(F.collect_set(span)).alias("_found"))

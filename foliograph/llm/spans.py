@@ -37,6 +37,13 @@ def matches(text: Column, pattern: str, kind: str, test: Column | None = None) -
     return F.when(text.rlike(pattern) if test is None else test & text.rlike(pattern), found).otherwise(none)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to be among the columns."""
+    taken = {c.lower() for c in columns}
+    longest = max(map(len, taken), default=0)
+    return [next(n for k in range(longest + 1) if (n := name + "_" * k) not in taken) for name in names]
+
+
 def joined(spans: Column) -> Column:
     """kind:start:stop of each span, comma-joined in their order."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")

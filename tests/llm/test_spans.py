@@ -196,3 +196,32 @@ def test_texts_are_not_shuffled(spark):
     for op in (pii.with_spans, secrets.with_secrets):
         above, mark, _ = op(df).select("doc_id", "spans")._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftOuter")
         assert mark and "text#" not in above
+
+
+def test_discovery_goes_on_to_the_end(spark):
+    """A chain of fourteen patterns, each known only by the names that the one before it found."""
+    mail = lambda k, j: f"p{k}n{j} [at] example [dot] org"
+    texts = [f"well call me: user{j}@host{j}.org now" for j in range(6)]
+    texts += [f"please call me: {mail(0, j)} yes" for j in range(5)]
+    for k in range(14):
+        texts += [f"then hop w{chr(97 + k)}: {mail(k, j)} {end}" for j in range(5) for end in ("yes", "no")]
+        texts += [f"then hop w{chr(97 + k)}: {mail(k + 1, j)} yes" for j in range(5)]
+    assert discovered(spark, texts) == {mail(k, j) for k in range(15) for j in range(5)}
+
+
+def test_thousands_of_planted_identifiers(spark):
+    """Every planted address is found behind words that known ones stand behind for the greater part; behind other words, or where known ones are few, none is."""
+    seeds = [f"note {k} reach me: user{k}@host{k}.org now" for k in range(3_000)]
+    planted = [f"note {k} reach me: name{k} [at] firm{k} [dot] org yes" for k in range(2_000)]
+    plain = [f"note {k} we met: other{k} [at] place{k} [dot] net yes" for k in range(1_000)]
+    few = [f"see {k} or not: some{k}@thing{k}.org" for k in range(100)] + [f"see {k} or not: any{k} [at] thing{k} [dot] org" for k in range(900)]
+    assert discovered(spark, [*seeds, *planted, *plain, *few]) == {f"name{k} [at] firm{k} [dot] org" for k in range(2_000)}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = documents(spark, [(1, "call a@b.co", "en", "s"), (2, None, "en", "s")])
+    for name in ("_row", "_SUM", "_row2", "_sum2", "_found", "_found_"):
+        df = df.withColumn(name, F.concat(F.lit(name), "doc_id"))
+    out = pii.with_spans(df)
+    assert out.columns == [*df.columns, "base", "spans"]
+    assert {tuple(r)[:-2] for r in out.collect()} == {tuple(r) for r in df.collect()}
