@@ -10,23 +10,24 @@ _PIECE = r"<[^>]*>|[^<]+"
 _TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
-def tagged_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Tokens of nested mark-up with the path of open tags, outermost first, joined by ``!!``.
+#: Tags that tell of the layout and open nothing.
+LAYOUT = ("doc", "page", "line", "phantom", "font", "position")
 
-    A closing tag closes the innermost open tag of its name and those inside it; one that
-    closes nothing is ignored, and so is a tag that ends itself.
-    """
+
+def _runs(texts: DataFrame, text: str, key: str, layout: tuple[str, ...], with_tags: bool) -> DataFrame:
+    """The runs of text between tags, numbered, with the path of open tags; tags in ``layout`` open nothing, and stand among the runs if ``with_tags``."""
     row_type = "array<struct<path: string, body: string>>"
     start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(f"array<{row_type}>").alias("out"))
 
     def step(state: Column, piece: Column) -> Column:
         name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9:_-]*)", 1))
-        closing, opening = F.startswith(piece, F.lit("</")), piece.rlike(r"^<[A-Za-z][^>]*[^/>]?>$") & ~F.endswith(piece, F.lit("/>"))
+        closing, opening = F.startswith(piece, F.lit("</")), piece.rlike(r"^<[A-Za-z][^>]*[^/>]?>$") & ~F.endswith(piece, F.lit("/>")) & ~name.isin(*layout)
         at = F.size(state["open"]) - F.array_position(F.reverse(state["open"]), name).cast("int")
         known = F.array_contains(state["open"], name)
         stack = F.when(closing & known, F.slice(state["open"], 1, at)).when(opening, F.concat(state["open"], F.array(name))).otherwise(state["open"])
         row = F.struct(F.array_join(state["open"], "!!").alias("path"), piece.alias("body"))
-        return F.struct(stack.alias("open"), F.when(F.startswith(piece, F.lit("<")), state["out"]).otherwise(F.concat(state["out"], F.array(row))).alias("out"))
+        out = F.concat(state["out"], F.array(row))
+        return F.struct(stack.alias("open"), (out if with_tags else F.when(F.startswith(piece, F.lit("<")), state["out"]).otherwise(out)).alias("out"))
 
     def block(state: Column, some: Column) -> Column:
         inner = F.aggregate(some, F.struct(state["open"].alias("open"), F.array().cast(row_type).alias("out")), step)
@@ -38,7 +39,57 @@ def tagged_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id") ->
     size = F.ceil(F.sqrt(F.size("_pieces"))).cast("int")
     blocks = F.transform(F.sequence(F.lit(1), F.size("_pieces"), size), lambda k: F.slice("_pieces", k, size))
     each = split.select(key, F.posexplode(F.flatten(F.aggregate(blocks, start, block, lambda s: s["out"]))).alias("run", "p"))
-    return each.select(key, F.col("run").cast("long").alias("run"), F.col("p.path").alias("path"), F.posexplode(F.regexp_extract_all("p.body", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+    return each.select(key, F.col("run").cast("long").alias("run"), F.col("p.path").alias("path"), F.col("p.body").alias("body"))
+
+
+def tagged_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Tokens of nested mark-up with the path of open tags, outermost first, joined by ``!!``.
+
+    A closing tag closes the innermost open tag of its name and those inside it; one that
+    closes nothing is ignored, and so is a tag that ends itself.
+    """
+    runs = _runs(texts, text, key, (), False)
+    return runs.select(key, "run", "path", F.posexplode(F.regexp_extract_all("body", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+
+
+def layout_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id", background: str = "O") -> DataFrame:
+    """Tokens of nested mark-up with their innermost tag, font and place in the line: key, tok_idx, token, label, font, line_start, line_in, line_end.
+
+    ``<position>`` ends a line, ``<font>`` with a quoted value sets the font of what follows; tags of the
+    layout (``LAYOUT``) give no label, tags outside any other have the background's. The first token of a line
+    starts it; none in the text behind the last tag does. Where text, if only a blank, stands right
+    before a position tag or at the very end, the last token so far ends a line. A token that neither
+    starts nor ends a line is inside it. Keys must tell texts apart; a text without tokens has no rows.
+    """
+    order = Window.partitionBy(key).orderBy("run")
+    is_tag = F.startswith("body", F.lit("<"))
+    tag = F.when(is_tag, F.lower(F.regexp_extract("body", r"^<([^\s>/]*)", 1)))
+    font = F.when(tag == "font", F.regexp_extract("body", '"(.*)"', 1))
+    words = F.when(is_tag, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("body", F.lit(_TOKEN), F.lit(0)))
+    runs = _runs(texts, text, key, LAYOUT, True).withColumns({"_tag": tag, "_font": font, "_words": words})
+    runs = runs.withColumns(
+        {
+            "font": F.nullif(F.last("_font", ignorenulls=True).over(order), F.lit("")),
+            "_before": F.coalesce(F.sum(F.size("_words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_line": F.sum((F.col("_tag").eqNullSafe("position")).cast("long")).over(order),
+            # a run with tokens and those without up to the next
+            "_group": F.sum((F.size("_words") > 0).cast("long")).over(order),
+            "_last": F.lead("run").over(order).isNull(),
+            "_ends": ~is_tag & F.coalesce(F.lead("_tag").over(order) == "position", F.lead("run").over(order).isNull()),
+        }
+    )
+    ended = runs.withColumn("_ends", F.max("_ends").over(Window.partitionBy(key, "_group")))
+    first = F.coalesce(F.sum(F.size("_words")).over(Window.partitionBy(key, "_line").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0
+    tokens = ended.withColumn("_first", first & ~F.col("_last")).select("*", F.posexplode("_words").alias("_pos", "token"))
+    starts, ends = F.col("_first") & (F.col("_pos") == 0), F.col("_ends") & (F.col("_pos") == F.size("_words") - 1)
+    label = F.coalesce(F.nullif(F.substring_index("path", "!!", -1), F.lit("")), F.lit(background))
+    return tokens.select(key, (F.col("_before") + F.col("_pos")).alias("tok_idx"), "token", label.alias("label"), "font", starts.alias("line_start"), (~starts & ~ends).alias("line_in"), ends.alias("line_end"))
+
+
+def changed_paths(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Tagged tokens whose path is blank where it is that of the token before."""
+    order = Window.partitionBy(key).orderBy("run", "pos")
+    return tokens.withColumn("path", F.when(F.lag("path").over(order).eqNullSafe(F.col("path")), "").otherwise(F.col("path")))
 
 
 def flat_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id", background: str = "O") -> DataFrame:

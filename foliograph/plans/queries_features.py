@@ -225,3 +225,39 @@ def document_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         [lambda d: d.withColumn("closed", F.lit(True))],
     )
     return found.select("doc_id", "status", F.array_join("messages", "; ").alias("messages"), "branch", "closed")
+
+
+V.SQL["worded"] = r"SELECT item_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark"
+V.SQL["lexicon"] = """
+SELECT 'BENCHMARK' AS name, unnest(ws) AS entry, true AS ignore_case FROM worded UNION SELECT 'START', ws[1], false FROM worded UNION SELECT 'PAIR', array_to_string(ws[1:2], ' '), true FROM worded WHERE len(ws) > 1
+UNION SELECT 'LINESTART', token, false FROM token WHERE pos = 0 AND line_idx = 0 UNION SELECT 'TRIPLE', array_to_string(ws[2:4], ' '), false FROM worded WHERE len(ws) > 3"""
+
+
+@query(
+    "lexicon_names",
+    V.with_sql(
+        "line",
+        "token",
+        "worded",
+        "lexicon",
+        then="""SELECT t.doc_id, t.tok_idx, coalesce(names, '') AS names FROM token t LEFT JOIN (SELECT doc_id, place AS tok_idx, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (
+SELECT doc_id, unnest(range(tok_idx, tok_idx + n)) AS place, name FROM (SELECT doc_id, tok_idx, 1 AS n, token AS text FROM token
+UNION ALL SELECT doc_id, tok_idx, 2, token || ' ' || lead(token) OVER w FROM token WINDOW w AS (PARTITION BY doc_id ORDER BY tok_idx)
+UNION ALL SELECT doc_id, tok_idx, 3, token || ' ' || lead(token) OVER w || ' ' || lead(token, 2) OVER w FROM token WINDOW w AS (PARTITION BY doc_id ORDER BY tok_idx)) r
+JOIN lexicon l ON lower(r.text) = lower(l.entry) AND (ignore_case OR r.text = l.entry)) GROUP BY doc_id, place) f ON t.doc_id = f.doc_id AND t.tok_idx = f.tok_idx""",
+    ),
+)
+def lexicon_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lexicons of words and phrases at once."""
+    tokens = V.token(spark, sf_dir)
+    items = V.table(spark, sf_dir, "benchmark").select(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("ws"))
+    named = lambda rows, name, entry, ignore_case: rows.select(F.lit(name).alias("name"), entry.alias("entry"), F.lit(ignore_case).alias("ignore_case"))
+    some = lambda first, n: F.array_join(F.slice("ws", first, n), " ")
+    lexicons = (
+        named(items, "BENCHMARK", F.explode("ws"), True)
+        .union(named(items, "START", F.get("ws", F.lit(0)), False))
+        .union(named(items.filter(F.size("ws") > 1), "PAIR", some(1, 2), True))
+        .union(named(items.filter(F.size("ws") > 3), "TRIPLE", some(2, 3), False))
+        .union(named(tokens.filter("pos = 0 and line_idx = 0"), "LINESTART", F.col("token"), False))
+    )
+    return TF.lexicon_names(tokens, lexicons, 3).select("doc_id", "tok_idx", F.array_join("lexicons", ",").alias("names"))

@@ -17,6 +17,34 @@ def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.tagged_tokens(pages, key="page_id")
 
 
+V.SQL["word_line"] = "SELECT doc_id, line_idx, font, list_filter(string_split(regexp_replace(text, '[^A-Za-z]', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM line"
+
+
+@query(
+    "layout_tokens",
+    V.with_sql(
+        "line",
+        "word_line",
+        then="""SELECT doc_id, tok_idx, token, CASE WHEN line_idx = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'b' ELSE 'title' END WHEN line_idx % 4 = 1 THEN 'note' ELSE 'O' END AS label, 'F' || font AS font, p = 1 AS line_start, p > 1 AND NOT (p = n AND ends) AS line_in, p = n AND ends AS line_end FROM (
+SELECT doc_id, line_idx, font, before + p - 1 AS tok_idx, ws[p] AS token, p, n, ends FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM (SELECT *, bool_or(line_idx % 5 <> 0) OVER (PARTITION BY doc_id, g) AS ends FROM (
+SELECT *, len(ws) AS n, CAST(coalesce(sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, sum(CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_idx) AS g FROM word_line))))""",
+    ),
+)
+def layout_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents in mark-up with fonts and line ends."""
+    i = F.col("line_idx")
+    words = F.regexp_replace("text", "[^A-Za-z]", " ")
+    bold = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<b>"), words, F.lit("</b>"))).otherwise(words)
+    body = F.when(i == 0, F.concat(F.lit("<title>"), bold, F.lit("</title>"))).when(i % 4 == 1, F.concat(F.lit("<note k='1'>"), words, F.lit("</note>"))).otherwise(words)
+    # no text stands before the position tag in every fifth line
+    end = F.when(i % 5 == 0, "<phantom/><position x='1'/>").otherwise(" <position x='1'/>")
+    piece = F.concat(F.lit('<line><font name="F'), "font", F.lit('"/>'), body, F.lit("</line>"), end)
+    lines = V.line(spark, sf_dir).select("doc_id", F.struct("line_idx", piece.alias("piece")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "")
+    texts = lines.groupBy("doc_id").agg(F.concat(F.lit("<doc source='d'><page>"), joined, F.lit("</page></doc>")).alias("text"))
+    return M.layout_tokens(texts)
+
+
 @query("page_titles", r"SELECT page_id, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS title, regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1) AS heading FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of pages."""

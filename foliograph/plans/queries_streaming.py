@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliograph.plans import views as V
 from foliograph.plans.catalog import query
 from foliograph.streaming import jobs as J
+from foliograph.streaming import queue as Q
 
 
 def _folder(spark: SparkSession) -> str:
@@ -63,3 +64,17 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of a stream by event time, each written once the watermark has passed its end (§2.12)."""
     events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs the type with a zone
     return _drained(spark, J.window_counts(events, "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "append")
+
+
+@query(
+    "worked_sources",
+    "SELECT doc_id, status, CASE WHEN status = 'processed' THEN n_lines END AS n_lines FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'processed' ELSE 'error' END AS status, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents)",
+)
+def worked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents worked off as a queue of files, with results and states written back."""
+    documents, store = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), _folder(spark)
+    documents.repartition(8, "doc_id").write.parquet(f"{store}/sources")
+    work = lambda batch: batch.filter("lang = 'en'").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    Q.run_queue(J.new_files(spark, f"{store}/sources", documents.schema, 3), work, store)
+    states = Q.statuses(spark, store).select("doc_id", "status")
+    return states.join(Q.results(spark, store), "doc_id", "left")

@@ -50,3 +50,60 @@ def test_tag_paths_equal_a_plain_stack(spark):
     for r in M.tagged_tokens(df).collect():
         got.setdefault(r["doc_id"], []).append((r["run"], r["path"], r["pos"], r["token"]))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(plain(t)) for k, t in enumerate(texts) if plain(t)}
+
+
+def plain_layout(text):
+    """Tokens with line and font properties by one pass over the tags."""
+    import re
+
+    tokens, opened, font, starts, at = [], ["O"], None, True, 0
+
+    def add(body, starts, ends):
+        found = re.findall(r"\w+|[^\s\w]", body)
+        for k, token in enumerate(found):
+            tokens.append({"token": token, "label": opened[-1], "font": font, "start": starts and k == 0, "end": False})
+        if body and ends and tokens:
+            tokens[-1]["end"] = True
+        return bool(found)
+
+    for m in re.finditer(r"<(/?)([^\s>/]*)([^>]*)>", text):
+        if add(text[at : m.start()], starts, m[2] == "position"):
+            starts = False
+        at = m.end()
+        if m[2] == "font":
+            font = m[0].split('"')[1]
+        elif m[2] == "position":
+            starts = True
+        elif m[2] in M.LAYOUT or m[0].endswith("/>"):
+            pass
+        elif m[1]:
+            if opened[-1] == m[2]:
+                opened.pop()
+        else:
+            opened.append(m[2])
+    add(text[at:], False, True)
+    return [(k, t["token"], t["label"], t["font"], t["start"], not t["start"] and not t["end"], t["end"]) for k, t in enumerate(tokens)]
+
+
+def test_layout_tokens_equal_one_pass(spark):
+    import random
+
+    rng = random.Random(5)
+    pieces = ["<position x='1'/>", '<font name="a b"/>', '<font name="c"/>', "<line>", "</line>", "<page>", "<phantom/>", "two words", " ", "x", "\n"]
+
+    def nested(depth):
+        some = [rng.choice(pieces) if rng.random() < 0.8 or not depth else f"<t{depth}>{nested(depth - 1)}</t{depth}>" for _ in range(rng.choice([0, 1, 3, 12]))]
+        return "".join(some)
+
+    texts = [nested(3) for _ in range(120)] + ["", "only text", "a<position/>", "a <position/> <position/>b"]
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id long, text string")
+    got = {}
+    for r in M.layout_tokens(df).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain_layout(t) for k, t in enumerate(texts) if plain_layout(t)}
+
+
+def test_changed_paths(spark):
+    df = spark.createDataFrame([(1, "a b <x>c d<y>e</y></x>f")], "doc_id long, text string")
+    got = [r["path"] for r in M.changed_paths(M.tagged_tokens(df)).orderBy("run", "pos").collect()]
+    assert got == ["", "", "x", "", "x!!y", ""]
