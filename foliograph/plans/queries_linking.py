@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import linking as L
 from foliograph.operators import name_matching as N
+from foliograph.plans import queries_streaming
 from foliograph.plans import views as V
 from foliograph.plans.catalog import query
+from foliograph.sources import readers as R
+from foliograph.sources import writers as W
 
 _ADDRESS = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"
 V.SQL["email"] = rf"""
@@ -69,6 +72,22 @@ def author_email_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "author_id", "first", "last", "email", F.round(F.col("score").cast("double"), 4).alias("score"), F.coalesce("inst_id", F.lit(-1)).alias("inst_id"))
 
 
+@query(
+    "linked_header_files",
+    V.with_sql("author", "raw_email", "email", "dictionary", "dict_hit", "institution", "email_inst", "pair", "link", then="""SELECT a.doc_id, a.author_id, a.first, a.last, k.email, CASE WHEN k.email IS NULL THEN NULL WHEN k.score >= 1 THEN 'whole' ELSE 'part' END AS how, i.inst_id, n.name AS institution
+FROM author a LEFT JOIN link k USING (doc_id, author_id) LEFT JOIN email_inst i USING (doc_id, email_id) LEFT JOIN institution n ON n.doc_id = a.doc_id AND n.inst_id = i.inst_id"""),
+)
+def linked_header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers written as XML with links as attributes, and read again."""
+    authors, found, institutions = V.author(spark, sf_dir), _emails(spark, sf_dir), V.institution(spark, sf_dir)
+    links = L.author_emails(authors, found).select("doc_id", "author_id", "email_id", F.when(F.col("score") >= 1, "whole").otherwise("part").alias("how"))
+    places = L.email_institutions(found, V.dictionary(spark, sf_dir), institutions).drop("email")
+    linked = authors.join(links, ["doc_id", "author_id"], "left").join(places, ["doc_id", "email_id"], "left")
+    path = queries_streaming._folder(spark)
+    W.annotated_xml(W.linked_headers(linked, found, institutions), path)
+    return R.linked_authors(spark, path)
+
+
 V.SQL["ref_key"] = r"""
 SELECT doc_id, key, arg_max(ref_id, ref_no) AS ref_id FROM (SELECT doc_id, ref_no, ref_id, regexp_replace(CASE WHEN marker <> '' THEN marker WHEN n_authors = 1 THEN last1 || ' ' || year WHEN n_authors = 2 THEN last1 || ' ' || last2 || ' ' || year ELSE last1 || ' et al ' || year END, '[(),.;\[\]]', '', 'g') AS key FROM reference)
 GROUP BY doc_id, key"""

@@ -176,3 +176,17 @@ def sidecar(spark: SparkSession, path: str) -> DataFrame:
     """``key = value`` lines of info files."""
     at = F.instr("value", "=")
     return spark.read.text(path).withColumn("path", F.input_file_name()).filter(at > 1).select("path", F.trim(F.substring_index("value", "=", 1)).alias("key"), F.trim(F.expr("substring(value, instr(value, '=') + 1)")).alias("value"))
+
+
+#: Shape of a header with its links as attributes.
+HEADER_XML = "_id long, author array<struct<_id: long, _email: string, _institution: long, first: string, last: string>>, email array<struct<_id: long, address: string>>, institution array<struct<_id: long, name: string>>"
+
+
+def linked_authors(spark: SparkSession, path: str) -> DataFrame:
+    """Authors of headers written with link attributes: doc_id, author_id, first, last, email, how, inst_id, institution, the links followed; null where there is none."""
+    headers = spark.read.format("xml").schema(HEADER_XML).option("rowTag", "document").load(path)
+    each = headers.select(F.col("_id").alias("doc_id"), F.explode("author").alias("a"), F.coalesce("email", F.array()).alias("emails"), F.coalesce("institution", F.array()).alias("places"))
+    number = F.substring_index("a._email", "-", 1).cast("long")
+    how = F.when(F.contains("a._email", F.lit("-")), F.regexp_extract("a._email", "^[^-]*-(.*)$", 1))
+    one = lambda rows, key, value: F.get(F.filter(rows, lambda x: x["_id"] == key), F.lit(0))[value]
+    return each.select("doc_id", F.col("a._id").alias("author_id"), "a.first", "a.last", one("emails", number, "address").alias("email"), how.alias("how"), F.col("a._institution").alias("inst_id"), one("places", F.col("a._institution"), "name").alias("institution"))

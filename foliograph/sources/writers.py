@@ -14,6 +14,22 @@ def annotated_xml(documents: DataFrame, path: str, row: str = "document") -> Non
     documents.write.mode("overwrite").format("xml").option("rowTag", row).option("rootTag", "documents").save(path)
 
 
+def linked_headers(authors: DataFrame, emails: DataFrame, institutions: DataFrame) -> DataFrame:
+    """Headers for ``annotated_xml``: each author with the numbers of their e-mail and institution as attributes.
+
+    ``authors`` has doc_id, author_id, first, last, email_id, inst_id (null: no link, no attribute) and how,
+    which stands behind the e-mail's number after a hyphen unless it is null; ``emails`` has doc_id, email_id, email, ``institutions``
+    doc_id, inst_id, name. A document in any of them has a row; elements are in the order of their numbers.
+    """
+    listed = lambda rows, name, *item: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*item))).alias(name))
+    mail = F.when(F.col("email_id").isNotNull(), F.concat_ws("-", "email_id", "how"))
+    author = listed(authors, "author", F.col("author_id").alias("_id"), mail.alias("_email"), F.col("inst_id").alias("_institution"), "first", "last")
+    email = listed(emails, "email", F.col("email_id").alias("_id"), F.col("email").alias("address"))
+    institution = listed(institutions, "institution", F.col("inst_id").alias("_id"), "name")
+    whole = author.join(email, "doc_id", "full").join(institution, "doc_id", "full")
+    return whole.select(F.col("doc_id").alias("_id"), "author", "email", "institution")
+
+
 def segmented_text(lines: DataFrame, path: str) -> None:
     """Section lines as ``prefix: text``, references with their number. ``lines`` has doc_id, kind, ref_no, line_idx and text."""
     prefix = F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair])[F.col("kind")]

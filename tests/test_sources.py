@@ -106,3 +106,21 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_lexer(spark):
     lines = spark.createDataFrame([(1, 0, "Dr. J. Smith's  3rd e-mail: a@b.co (x) Ph.D.")], "doc_id long, line_idx long, text string")
     assert [r["token"] for r in T.lexed(lines).orderBy("pos").collect()] == ["Dr", ".", "J.", "Smith", "'", "s", "3rd", "e", "-", "mail", ":", "a@b.co", "(", "x", ")", "Ph.D."]
+
+
+def test_linked_headers_come_back(spark, tmp_path):
+    authors = spark.createDataFrame([(1, 0, "A", "B & <C>", 1, 0, "whole"), (1, 1, "D", "E", None, None, None), (2, 0, "F", "G", 0, None, None), (3, 0, "H", "I", 7, 9, "part")], "doc_id long, author_id long, first string, last string, email_id long, inst_id long, how string")
+    emails = spark.createDataFrame([(1, 0, "x@y.z"), (1, 1, "b@c.d"), (2, 0, "f@g.h"), (4, 0, "k@l.m")], "doc_id long, email_id long, email string")
+    institutions = spark.createDataFrame([(1, 0, "Uni \"Q\"")], "doc_id long, inst_id long, name string")
+    headers = W.linked_headers(authors, emails, institutions)
+    assert headers.count() == 4
+    path = str(tmp_path / "headers")
+    W.annotated_xml(headers, path)
+    assert 'email="1-whole"' in "".join(p.read_text() for p in (tmp_path / "headers").glob("part*"))
+    got = sorted((tuple(r) for r in R.linked_authors(spark, path).collect()), key=lambda r: r[:2])
+    assert got == [
+        (1, 0, "A", "B & <C>", "b@c.d", "whole", 0, 'Uni "Q"'),
+        (1, 1, "D", "E", None, None, None, None),
+        (2, 0, "F", "G", "f@g.h", None, None, None),
+        (3, 0, "H", "I", None, "part", 9, None),
+    ]
