@@ -83,6 +83,20 @@ def dehyphenated(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select("doc_id", "tok_idx", "lhs", "rhs", is_word.alias("joined"), F.when(is_word, F.concat("lhs", "rhs")).otherwise(F.concat("lhs", F.lit("-"), "rhs")).alias("word"))
 
 
+def withheld_hyphens(tokens: DataFrame) -> DataFrame:
+    """Tokens without the hyphens that end a line on their own, renumbered, with ``split_lhs``: whether such a hyphen came behind, on this page or the next.
+
+    Behind the first token of a document a hyphen goes without a mark. A document of such hyphens alone has no tokens left.
+    """
+    order = Window.partitionBy("doc_id").orderBy("tok_idx")
+    ends = F.coalesce(F.lead("line_idx").over(order) != F.col("line_idx"), F.lit(True))
+    marked = tokens.withColumn("_withheld", F.coalesce(F.trim("token") == "-", F.lit(False)) & ends)
+    # each kept token with the hyphens up to the next
+    numbered = marked.withColumn("_kept", F.sum((~F.col("_withheld")).cast("long")).over(order))
+    split = F.max("_withheld").over(Window.partitionBy("doc_id", "_kept")) & (F.col("_kept") > 1)
+    return numbered.withColumn("split_lhs", split).filter(~F.col("_withheld")).withColumn("tok_idx", F.col("_kept") - 1).drop("_withheld", "_kept")
+
+
 def line_records(tokens: DataFrame) -> DataFrame:
     """Line records from tokens: text, box and token count. Tokens of line 0 belong to none and are left out."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x["token"]), " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.operators import token_features as TF
@@ -176,3 +176,25 @@ def offset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array_compact(F.array(F.when(F.col("token").rlike("^[A-Z]"), "CAP")))
     marked = TF.offset_features(V.token(spark, sf_dir).withColumn("features", own), "features", (-1, 1))
     return marked.select("doc_id", "tok_idx", F.array_join("features", ",").alias("features"))
+
+
+V.SQL["hyphened"] = "SELECT doc_id, tok_idx, line_idx, CASE WHEN (lead(line_idx) OVER w IS NULL OR lead(line_idx) OVER w <> line_idx) AND line_idx % 3 = 1 OR tok_idx % 17 = 5 THEN '-' ELSE token END AS token FROM token WINDOW w AS (PARTITION BY doc_id ORDER BY tok_idx)"
+
+
+@query(
+    "withheld_hyphens",
+    V.with_sql(
+        "line",
+        "token",
+        "hyphened",
+        then="""SELECT doc_id, kept - 1 AS tok_idx, line_idx, token, kept > 1 AND bool_or(gone) OVER (PARTITION BY doc_id, kept) AS split_lhs FROM (SELECT *, CAST(sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS BIGINT) AS kept FROM (
+SELECT *, token = '-' AND tok_idx = max(tok_idx) OVER (PARTITION BY doc_id, line_idx) AS gone FROM hyphened)) QUALIFY NOT gone""",
+    ),
+)
+def withheld_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hyphens at line ends withheld from the tokens, across pages too (T6); every third line and some words are made to end in one."""
+    order = Window.partitionBy("doc_id").orderBy("tok_idx")
+    last = F.coalesce(F.lead("line_idx").over(order) != F.col("line_idx"), F.lit(True))
+    hyphen = last & (F.col("line_idx") % 3 == 1) | (F.col("tok_idx") % 17 == 5)
+    tokens = V.token(spark, sf_dir).select("doc_id", "tok_idx", "line_idx", F.when(hyphen, "-").otherwise(F.col("token")).alias("token"))
+    return T.withheld_hyphens(tokens)
