@@ -74,3 +74,30 @@ def homepage_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit("http://h.example"), F.when(k % 7 == 0, "/~me/").when(k % 7 == 1, "/index.html?x").otherwise("/~me/papers/"))
     pages = V.table(spark, sf_dir, "customer").select(k.alias("page_id"), html.alias("html"), url.alias("url"))
     return pages.select("page_id", F.array_join(M.homepage_features(pages), ",").alias("features"))
+
+
+def _traits_sql() -> str:
+    link = lambda words: rf"regexp_matches(body, '(?s)<a\b[^>]*>[^<]*\b(?:{words})')"
+    heading = lambda words: rf"regexp_matches(body, '(?s)<h[1-3]\b[^>]*>[^<]*\b(?:{words})')"
+    traits = {
+        "contactinfo": r"regexp_matches(body, '\b(?:e-?mail|phone|fax|office|address)\b')",
+        "hometitle": r"regexp_matches(title, '\bhome\s*page\b')",
+        "possibleroot": r"regexp_matches(path, '^/?(?:~[^/]+/?)?(?:index\.[a-z]+)?$')",
+        "publicationheading": heading("publications?|papers?"),
+        "publicationlink": link("publications?|papers?"),
+        "researchheading": heading("research"),
+        "researchlink": link("research"),
+        "resumelink": link("resume|cv|vita"),
+    }
+    names = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in traits.items())
+    return (
+        rf"SELECT page_id, concat_ws(',', {names}) AS features FROM (SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') AS path, lower(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)) AS title, "
+        r"lower(regexp_replace(html, '(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)', ' ', 'g')) AS body FROM pages)"
+    )
+
+
+@query("homepage_pages", _traits_sql())
+def homepage_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Home-page traits of the web pages themselves."""
+    pages = V.table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.array_join(M.homepage_features(pages), ",").alias("features"))
