@@ -80,3 +80,19 @@ def test_rows(spark):
     got = sorted(map(tuple, A.aligned_spans(docs, spans).collect()))
     assert got == [(1, 100, "q", 8, 13), (2, 0, None, None, None), (3, None, None, None, None)]
     assert A.aligned_spans(docs.limit(0), spans).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=1, max_size=30), st.text("abc", min_size=1, max_size=30)), min_size=1, max_size=9), st.integers(1, 12))
+def test_beside_each_other_as_alone(pairs, width):
+    for got, (old, new) in zip(A.places_of(pairs, width), pairs):
+        assert got.tolist() == A.Band(old, new, width).places().tolist()
+
+
+def test_few_changes_need_no_second_table(monkeypatch):
+    monkeypatch.setattr(A, "cost", None)  # each span had a table of its own to count its changes
+    old = "the connection to the station was cut off by the nation " * 8
+    new = "Turn: " + old.replace("ti", "fi").replace("nn", "n").replace("ff", "n")
+    half = len(old) // 2
+    width, spans = A.aligned(old, new, [("a", 0, half), ("b", half, len(old))])
+    assert width == 100 and spans[0][2] == spans[1][1] and spans[1][2] == len(new)
