@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.operators.by_document import passed
+
 #: How much larger a gap between references must be, and how much gaps taken as equal may differ, as shares.
 LARGER, EQUAL = 0.15, 0.09
 #: Lines that are looked at for two kinds of gaps.
@@ -24,14 +26,8 @@ def _distinct(least: Column, most: Column) -> Column:
     return F.when(least == 0, most > 0).otherwise(F.try_divide(most - least, least) >= LARGER)
 
 
-def gap_kinds(lines: DataFrame) -> DataFrame:
-    """The smallest and the largest gap at a document's start, and whether the larger ones part references (``varied``): doc_id, least, most, varied.
-
-    The largest gap must stand out, and come twice or be followed by a still larger one. First lines of columns have no gap.
-    """
-    order = Window.partitionBy("doc_id").orderBy("line_idx")
-    gap = (F.lag("lly").over(order) - F.col("lly")).cast("double")
-    rows = lines.withColumn("gap", gap).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when((F.col("line_idx") < SAMPLE) & (F.col("gap") >= 0), F.struct("line_idx", "gap")))).alias("gaps"))
+def _gap_kinds(gaps: Column) -> Column:
+    """Smallest and largest of the gaps (structs with ``gap``, in order) and whether the larger ones part references, as a struct."""
     none = F.struct(F.lit(None).cast("double").alias("least"), F.lit(0.0).alias("most"), F.lit(False).alias("varied"))
 
     def step(s: Column, x: Column) -> Column:
@@ -44,32 +40,56 @@ def gap_kinds(lines: DataFrame) -> DataFrame:
         varied = F.when(same, _distinct(least, most)).otherwise(larger & stands_out)
         return F.when(s["varied"], s).otherwise(F.struct(least.alias("least"), most.alias("most"), F.coalesce(varied, F.lit(False)).alias("varied")))
 
-    return rows.select("doc_id", F.aggregate("gaps", none, step).alias("k")).select("doc_id", "k.*")
+    return F.aggregate(gaps, none, step)
+
+
+def _first_gap() -> Column:
+    return (F.col("line_idx") < SAMPLE) & (F.col("gap") >= 0)
+
+
+def gap_kinds(lines: DataFrame) -> DataFrame:
+    """The smallest and the largest gap at a document's start, and whether the larger ones part references (``varied``): doc_id, least, most, varied.
+
+    The largest gap must stand out, and come twice or be followed by a still larger one. First lines of columns have no gap.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_idx")
+    gap = (F.lag("lly").over(order) - F.col("lly")).cast("double")
+    rows = lines.withColumn("gap", gap).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(_first_gap(), F.struct("line_idx", "gap")))).alias("gaps"))
+    return rows.select("doc_id", _gap_kinds(F.col("gaps")).alias("k")).select("doc_id", "k.*")
 
 
 def gap_hints(lines: DataFrame) -> DataFrame:
-    """Hints by vertical gaps. There is always an end: at a gap too large, at a column whose first gap fits no other, or behind the last line."""
+    """Hints by vertical gaps. There is always an end: at a gap too large, at a column whose first gap fits no other, or behind the last line.
+
+    A document's gaps are one list, so its lines are read once.
+    """
     order = Window.partitionBy("doc_id").orderBy("line_idx")
     gap, ahead = (F.lag("lly").over(order) - F.col("lly")).cast("double"), (F.col("lly") - F.lead("lly").over(order)).cast("double")
-    spaced = lines.select("doc_id", "line_idx", gap.alias("gap"), ahead.alias("ahead"), F.max("line_idx").over(Window.partitionBy("doc_id")).alias("last"))
-    least, most, varied = (F.col(c) for c in ("least", "most", "varied"))
-    near = lambda kind: F.when(kind == 0, F.abs(F.col("ahead")) < 2).otherwise(F.try_divide(F.abs(F.col("ahead") - kind) - 2, kind) < EQUAL)
-    fits = F.coalesce(near(least), F.lit(False)) | F.coalesce(near(most), F.lit(False)) | F.coalesce(F.col("ahead").between(least, most), F.lit(False))
-    column = F.col("gap") < 0
-    seen = F.when(column & varied, most).otherwise(F.col("gap"))
-    part = F.when(seen > most, F.when(most == 0, seen <= 2).otherwise(F.try_divide(seen - (most + 2), most) <= EQUAL)).otherwise(most - seen < seen - least)
-    large = F.when(varied, seen > most).otherwise(F.when(least == 0, seen > 2).otherwise(F.try_divide(seen - (least + 2), least) >= LARGER))
-    kind = (
-        F.when(F.col("line_idx") == 0, F.when(varied, "begins"))
-        .when(column & ~fits, "ends")
-        .when(column & ~varied, None)
-        .when(varied & F.coalesce(part, F.lit(False)), "begins")
-        .when(F.coalesce(large, F.lit(False)), "ends")
-    )
-    marked = spaced.join(gap_kinds(lines), "doc_id").withColumn("kind", kind)
-    stops = marked.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("kind") == "ends", F.col("line_idx"))), F.max("last") + 1).alias("stop"))
-    begins = marked.filter("kind = 'begins'").join(stops, "doc_id").filter("line_idx < stop")
-    return begins.select("doc_id", "line_idx", F.lit(False).alias("ends")).unionByName(stops.select("doc_id", F.col("stop").alias("line_idx"), F.lit(True).alias("ends")))
+    spaced = lines.filter("doc_id is not null").select("doc_id", "line_idx", gap.alias("gap"), ahead.alias("ahead"))
+    some = F.collect_list(F.when(_first_gap(), F.struct("line_idx", "gap")))
+    each = spaced.groupBy("doc_id").agg(F.array_sort(some).alias("gaps"), F.max("line_idx").alias("last"), F.collect_list(F.struct("line_idx", "gap", "ahead")).alias("lines"))
+    known = each.select("doc_id", "last", "lines", _gap_kinds(F.col("gaps")).alias("k"))
+
+    def kind(x: Column) -> Column:
+        least, most, varied = (F.col(f"k.{c}") for c in ("least", "most", "varied"))
+        near = lambda kind: F.when(kind == 0, F.abs(x["ahead"]) < 2).otherwise(F.try_divide(F.abs(x["ahead"] - kind) - 2, kind) < EQUAL)
+        fits = F.coalesce(near(least), F.lit(False)) | F.coalesce(near(most), F.lit(False)) | F.coalesce(x["ahead"].between(least, most), F.lit(False))
+        column = x["gap"] < 0
+        seen = F.when(column & varied, most).otherwise(x["gap"])
+        part = F.when(seen > most, F.when(most == 0, seen <= 2).otherwise(F.try_divide(seen - (most + 2), most) <= EQUAL)).otherwise(most - seen < seen - least)
+        large = F.when(varied, seen > most).otherwise(F.when(least == 0, seen > 2).otherwise(F.try_divide(seen - (least + 2), least) >= LARGER))
+        return (
+            F.when(x["line_idx"] == 0, F.when(varied, "begins"))
+            .when(column & ~fits, "ends")
+            .when(column & ~varied, None)
+            .when(varied & F.coalesce(part, F.lit(False)), "begins")
+            .when(F.coalesce(large, F.lit(False)), "ends")
+        )
+
+    marked = known.select("doc_id", "last", F.filter(F.transform("lines", lambda x: F.struct(x["line_idx"].alias("line_idx"), kind(x).alias("kind"))), lambda x: x["kind"].isNotNull()).alias("marked"))
+    stopped = marked.withColumn("stop", F.coalesce(F.array_min(F.transform(F.filter("marked", lambda x: x["kind"] == "ends"), lambda x: x["line_idx"])), F.col("last") + 1))
+    begins = F.transform(F.filter("marked", lambda x: (x["kind"] == "begins") & (x["line_idx"] < F.col("stop"))), lambda x: F.struct(x["line_idx"].alias("line_idx"), F.lit(False).alias("ends")))
+    return stopped.select("doc_id", F.inline(F.concat(begins, F.array(F.struct(F.col("stop").alias("line_idx"), F.lit(True).alias("ends"))))))
 
 
 def indented(x: list[int], y: list[int], page: list[int], size: list[int], budget: int, look: int = 10) -> list[tuple[int, bool]]:
@@ -113,16 +133,15 @@ def indented(x: list[int], y: list[int], page: list[int], size: list[int], budge
 
 
 def indent_hints(lines: DataFrame, budget: int = 3200) -> DataFrame:
-    """Hints by indents; ``budget`` characters without a beginning end the search. A document's lines are one group."""
+    """Hints by indents; ``budget`` characters without a beginning end the search. A document's lines are gone through at once."""
 
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_idx")
-        x, y, page, size, line = (frame[c].tolist() for c in ("llx", "lly", "page", "size", "line_idx"))
-        hints = indented(x, y, page, size, budget)
-        return pd.DataFrame([(frame["doc_id"].iloc[0], line[k], ends) for k, ends in hints], columns=["doc_id", "line_idx", "ends"])
+    def found(frame: pd.DataFrame, documents: list[tuple[int, int]]) -> pd.DataFrame:
+        x, y, page, size, line, doc = (frame[c].tolist() for c in ("llx", "lly", "page", "size", "line_idx", "doc_id"))
+        hints = [(doc[a], line[a + k], ends) for a, b in documents for k, ends in indented(x[a:b], y[a:b], page[a:b], size[a:b], budget)]
+        return pd.DataFrame(hints, columns=["doc_id", "line_idx", "ends"])
 
-    sized = lines.filter("doc_id is not null").select("doc_id", "line_idx", "page", "llx", "lly", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
-    return sized.groupBy("doc_id").applyInPandas(found, _HINT)
+    sized = lines.select("doc_id", "line_idx", "page", "llx", "lly", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    return passed(sized, found, _HINT)
 
 
 def name_words(text: Column) -> Column:
@@ -158,17 +177,18 @@ def longest_rise(words: list[str], able: list[bool], back: int = 20) -> list[int
 
 
 def alphabet_hints(lines: DataFrame) -> DataFrame:
-    """Hints by the order of names, in documents whose first line begins with a name. A document's first words are one group."""
-    first = F.min_by("text", "line_idx")
-    named = lines.groupBy("doc_id").agg(first.alias("first")).filter(F.col("first").rlike(r"^\p{Lu}(\p{L}.|.\p{L})")).select("doc_id")
-    words = lines.join(named, "doc_id").select("doc_id", "line_idx", F.coalesce(name_words(F.col("text")), F.lit("")).alias("word"), F.coalesce(may_be_name(F.col("text")), F.lit(False)).alias("able"))
-
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_idx")
-        places = longest_rise(frame["word"].tolist(), frame["able"].tolist())
+    """Hints by the order of names, in documents whose first line begins with a name. A document's first words are gone through at once."""
+    able = F.coalesce(may_be_name(F.col("text")), F.lit(False))
+    named = F.coalesce(F.col("text").rlike(r"^\p{Lu}(\p{L}.|.\p{L})"), F.lit(False))
+    # words that cannot begin a reference count for nothing
+    words = lines.select("doc_id", "line_idx", F.when(able, F.coalesce(name_words(F.col("text")), F.lit(""))).otherwise("").alias("word"), able.alias("able"), named.alias("named"))
+
+    def found(frame: pd.DataFrame, documents: list[tuple[int, int]]) -> pd.DataFrame:
+        word, able, named = (frame[c].tolist() for c in ("word", "able", "named"))
+        places = [a + k for a, b in documents if named[a] for k in longest_rise(word[a:b], able[a:b])]
         return pd.DataFrame({"doc_id": frame["doc_id"].iloc[places], "line_idx": frame["line_idx"].iloc[places], "ends": False})
 
-    return words.groupBy("doc_id").applyInPandas(found, _HINT)
+    return passed(words, found, _HINT)
 
 
 def fused(hints: DataFrame) -> DataFrame:
@@ -182,7 +202,8 @@ def fused(hints: DataFrame) -> DataFrame:
     of = lambda s: F.col("source") == s
     counts = [F.count(F.when(of(s), 1)).alias(f"n_{s}") for s in ("gap", "regex", "indent", "alphabet")]
     lasts = [F.max(F.when(of(s), F.col("line_idx"))).alias(f"last_{s}") for s in ("regex", "alphabet")]
-    facts = hints.groupBy("doc_id").agg(*counts, *lasts, F.max(F.when(of("gap") & F.col("ends"), F.col("line_idx"))).alias("stop"), F.max(F.when(of("regex"), F.col("style"))).alias("style"))
+    listed = F.array_sort(F.collect_list(F.struct("line_idx", "ends", "source"))).alias("hints")
+    facts = hints.groupBy("doc_id").agg(*counts, *lasts, F.max(F.when(of("gap") & F.col("ends"), F.col("line_idx"))).alias("stop"), F.max(F.when(of("regex"), F.col("style"))).alias("style"), listed)
     n = lambda s: F.col(f"n_{s}")
     reliable = (n("regex") > 0) & F.coalesce(F.col("style").isin(1, 6), F.lit(False))
     firm = F.when(reliable, "regex").when(n("alphabet") > 0, "alphabet")
@@ -197,16 +218,15 @@ def fused(hints: DataFrame) -> DataFrame:
         .otherwise("gap")
     )
     error = F.when(F.col("stop").isNull(), "no end by gaps").when((n("gap") == 1) & (n("regex") + n("indent") + n("alphabet") == 0), "no hints")
-    chosen = facts.select("doc_id", source.alias("source"), error.alias("error"), F.when(beyond > F.col("stop"), beyond).otherwise(F.col("stop")).alias("stop"))
-    good = chosen.filter("error is null")
-    before = hints.join(good, ["doc_id", "source"]).filter(F.col("line_idx") < F.col("stop"))
-    order = Window.partitionBy("doc_id").orderBy("line_idx")
-    ended = F.coalesce(F.max("ends").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    kept = before.withColumn("_ended", ended).filter(~F.col("_ended")).select("doc_id", "source", "line_idx", "ends", F.lit(None).cast("string").alias("error"))
-    closed = kept.filter("ends").select("doc_id")
-    stops = good.join(closed, "doc_id", "left_anti").select("doc_id", "source", F.col("stop").alias("line_idx"), F.lit(True).alias("ends"), F.lit(None).cast("string").alias("error"))
-    bad = chosen.filter("error is not null").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("line_idx"), F.lit(None).cast("boolean").alias("ends"), "error")
-    return kept.unionByName(stops).unionByName(bad)
+    chosen = facts.select("doc_id", "hints", source.alias("source"), error.alias("error"), F.when(beyond > F.col("stop"), beyond).otherwise(F.col("stop")).alias("stop"))
+    # a document's hints are one list, which is looked through without joins
+    before = F.filter("hints", lambda x: (x["source"] == F.col("source")) & (x["line_idx"] < F.col("stop")))
+    cut = chosen.withColumn("before", before).withColumn("end", F.array_position(F.transform("before", lambda x: x["ends"]), True).cast("int"))
+    row = lambda line, ends: F.struct(line.cast("long").alias("line_idx"), ends.cast("boolean").alias("ends"))
+    kept = F.transform(F.when(F.col("end") > 0, F.slice("before", F.lit(1), F.col("end"))).otherwise(F.col("before")), lambda x: row(x["line_idx"], x["ends"]))
+    stop = F.when(F.col("end") > 0, F.array().cast("array<struct<line_idx: bigint, ends: boolean>>")).otherwise(F.array(row(F.col("stop"), F.lit(True))))
+    rows = F.when(F.col("error").isNull(), F.concat(kept, stop)).otherwise(F.array(row(F.lit(None), F.lit(None))))
+    return cut.select("doc_id", F.when(F.col("error").isNull(), F.col("source")).alias("source"), F.inline(rows), "error")
 
 
 def all_hints(lines: DataFrame, starts: DataFrame) -> DataFrame:

@@ -178,3 +178,34 @@ def test_parts(spark):
     marks = spark.createDataFrame([(1, "gap", 1, False, None), (1, "gap", 3, False, None), (1, "gap", 5, True, None), (2, None, None, None, "no hints")], "doc_id long, source string, line_idx long, ends boolean, error string")
     got = Counter(map(tuple, H.parted(lines, marks).collect()))
     assert got == Counter([(1, 0, "prologue", None), (1, 1, "reference", 1), (1, 2, "reference", 1), (1, 3, "reference", 2), (1, 4, "reference", 2), (1, 5, "epilogue", None), (1, 6, "epilogue", None), (2, 0, "prologue", None)])
+
+
+def test_documents_share_batches(spark):
+    """Every document was a call of its own; those that go over a batch's end are still whole."""
+    import pandas as pd
+
+    from foliograph.operators.by_document import passed
+
+    sizes = [1, 7, 2, 1, 12, 3] * 20
+    rows = [(d, k) for d, n in enumerate(sizes) for k in range(n)] + [(None, 0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        told = lambda frame, documents: pd.DataFrame([(frame["doc_id"].iloc[a], frame["line_idx"].iloc[a:b].tolist(), len(documents)) for a, b in documents], columns=["doc_id", "lines", "beside"])
+        got = passed(spark.createDataFrame(rows[::-1], "doc_id long, line_idx long"), told, "doc_id long, lines array<long>, beside int").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r["doc_id"]: r["lines"] for r in got} == {d: list(range(n)) for d, n in enumerate(sizes)} and len(got) == len(sizes)
+    assert max(r["beside"] for r in got) > 1
+
+
+def test_fusion_reads_hints_once(spark, capsys):
+    rows = [("gap", 1, 4, True, None), ("regex", 1, 0, False, 1)]
+    H.fused(spark.createDataFrame(rows, "source string, doc_id long, line_idx long, ends boolean, style int")).explain("simple")
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_gap_hints_read_lines_once(spark, capsys):
+    rows = [(1, k, 0, 72, 700 - 12 * k, "x") for k in range(4)]
+    H.gap_hints(spark.createDataFrame(rows, "doc_id long, line_idx long, page long, llx long, lly long, text string")).explain("simple")
+    assert "Join" not in capsys.readouterr().out
