@@ -2,7 +2,7 @@
 
 Margins and all that a line shows by itself are columns. What depends on the lines before, which
 regions are ignored and how far references stand apart so far, is one pass over a document's
-lines, so a document is a group.
+lines; documents share batches.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.operators.by_document import passed
+
 _SIDE = "struct<left: bigint, right: bigint, left2: bigint, right2: bigint>"
 
 
@@ -131,10 +133,10 @@ def with_ignored(lines: DataFrame) -> DataFrame:
         flag(ahead("place").isin("new_page", "new_column") & ahead("same_pattern")).alias("next_fresh"),
     )
 
-    def walked(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_idx")
-        found = list(walk(frame.itertuples(index=False), frame["indentation"].iloc[0] == "indented"))
+    def walked(frame: pd.DataFrame, documents: list[tuple[int, int]]) -> pd.DataFrame:
+        rows = list(frame.itertuples(index=False))
+        found = [x for a, b in documents for x in walk(iter(rows[a:b]), rows[a].indentation == "indented")]
         return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "line_idx": frame["line_idx"].to_numpy(), "ignored": [i for i, _ in found], "possible_init": [p for _, p in found]})
 
-    told = facts.groupBy("doc_id").applyInPandas(walked, "doc_id long, line_idx long, ignored boolean, possible_init boolean")
+    told = passed(facts, walked, "doc_id long, line_idx long, ignored boolean, possible_init boolean")
     return lines.join(told, ["doc_id", "line_idx"])
