@@ -38,27 +38,30 @@ def lexicon_features(tokens: DataFrame, lexicon: DataFrame, name: str, ignore_ca
 
 
 def lexicon_names(tokens: DataFrame, lexicons: DataFrame, longest: int = 1, names: str = "lexicons") -> DataFrame:
-    """Tokens with the names of all lexicons that they are in, ascending, by one join for all lexicons.
+    """Tokens with the names of all lexicons that they are in, ascending, by one table for all lexicons.
 
     ``lexicons`` has name, entry (words joined by single blanks) and ignore_case. An entry of up to
     ``longest`` words gives its name to all tokens of every place where it stands; longer ones are not
     looked for. Null entries match nothing. Tokens have doc_id and tok_idx, which tell them apart.
+    The different entries are broadcast, so tokens stay where they are and become no further rows; windows by document pass names on.
     """
     entry = F.struct(F.when(~F.col("ignore_case"), F.col("entry")).alias("exact"), "name")
-    words = lexicons.filter(F.col("entry").isNotNull()).groupBy(F.lower("entry").alias("_folded")).agg(F.collect_set(entry).alias("_entries"))
-    fitting = lambda text: F.array_sort(F.array_distinct(F.transform(F.filter("_entries", lambda x: x["exact"].isNull() | (x["exact"] == text)), lambda x: x["name"])))
+    words = F.broadcast(lexicons.filter(F.col("entry").isNotNull()).groupBy(F.lower("entry").alias("_folded")).agg(F.collect_set(entry).alias("_entries")))
+    fitting = lambda text: F.array_distinct(F.transform(F.filter("_entries", lambda x: x["exact"].isNull() | (x["exact"] == text)), lambda x: x["name"]))
     none = F.array().cast("array<string>")
-    if longest == 1:
-        joined = tokens.withColumn("_folded", F.lower("token")).join(words, "_folded", "left")
-        return joined.withColumn(names, F.coalesce(fitting(F.col("token")), none)).drop("_folded", "_entries")
     order = Window.partitionBy("doc_id").orderBy("tok_idx")
-    ahead = F.collect_list("token").over(order.rowsBetween(0, longest - 1))
-    runs = tokens.select("doc_id", "tok_idx", ahead.alias("_ahead")).select("doc_id", "tok_idx", "_ahead", F.explode(F.sequence(F.lit(1), F.size("_ahead"))).alias("_n"))
-    phrases = runs.select("doc_id", "tok_idx", "_n", F.array_join(F.slice("_ahead", F.lit(1), F.col("_n")), " ").alias("_text"))
-    hits = phrases.withColumn("_folded", F.lower("_text")).join(words, "_folded").select("doc_id", "tok_idx", "_n", F.explode(fitting(F.col("_text"))).alias("_name"))
-    hits = hits.select("doc_id", F.explode(F.sequence(F.col("tok_idx"), F.col("tok_idx") + F.col("_n") - 1)).alias("tok_idx"), "_name")
-    found = hits.groupBy("doc_id", "tok_idx").agg(F.array_sort(F.collect_set("_name")).alias(names))
-    return tokens.join(found, ["doc_id", "tok_idx"], "left").withColumn(names, F.coalesce(names, none))
+    found = tokens
+    for n in range(1, longest + 1):
+        text = F.col("token") if n == 1 else F.concat(f"_text{n - 1}", F.lit(" "), F.lead("token", n - 1).over(order))
+        found = found.withColumn(f"_text{n}", text)
+    for n in range(1, longest + 1):
+        joined = found.withColumn("_folded", F.lower(f"_text{n}")).join(words, "_folded", "left")
+        found = joined.withColumn(f"_names{n}", fitting(F.col(f"_text{n}"))).drop("_folded", "_entries", f"_text{n}")
+    held = [F.coalesce(f"_names{n}", none) for n in range(1, longest + 1)]
+    for k in range(1, longest):
+        away = F.col("tok_idx") - F.lag("tok_idx", k).over(order)  # more than k where numbers are missing
+        held += [F.when(away < n, F.coalesce(F.lag(f"_names{n}", k).over(order), none)).otherwise(none) for n in range(k + 1, longest + 1)]
+    return found.withColumn(names, F.array_sort(F.array_distinct(F.concat(*held)))).drop(*[f"_names{n}" for n in range(1, longest + 1)])
 
 
 def phrase_matches(tokens: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
