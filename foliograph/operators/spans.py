@@ -29,24 +29,6 @@ def span_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(bounds, ["doc_id", "span_id"], "left")
 
 
-def elements(labelled: DataFrame) -> DataFrame:
-    """Nested elements of label paths: one row for each element with its level, path, tokens, text and box.
-
-    ``labelled`` has doc_id, tok_idx, token, a box and ``label``, a path like ``authors:^name``;
-    a caret marks the token at which an element of that level begins anew. An element goes on
-    while the next token has the same path down to its level and no caret there or above.
-    """
-    levels = F.transform(F.split("label", ":"), lambda x, k: F.struct((k + 1).alias("level"), F.startswith(x, F.lit("^")).alias("begins"), F.regexp_replace(x, r"^\^", "").alias("name")))
-    parts = labelled.withColumn("_levels", levels)
-    path = F.transform("_levels", lambda x: F.struct(x["level"].alias("level"), F.exists(F.slice("_levels", 1, x["level"]), lambda y: y["begins"]).alias("begins"), F.array_join(F.transform(F.slice("_levels", 1, x["level"]), lambda y: y["name"]), ":").alias("path")))
-    each = parts.select("doc_id", "tok_idx", "token", "llx", "lly", "urx", "ury", F.explode(path).alias("p")).select("*", "p.*").drop("p")
-    order = Window.partitionBy("doc_id", "level").orderBy("tok_idx")
-    goes_on = ~F.col("begins") & (F.lag("path").over(order) == F.col("path")) & (F.lag("tok_idx").over(order) == F.col("tok_idx") - 1)
-    numbered = each.withColumn("element", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order))
-    box = [f(c).alias(c) for f, c in ((F.min, "llx"), (F.min, "lly"), (F.max, "urx"), (F.max, "ury"))]
-    return numbered.groupBy("doc_id", "level", "element", "path").agg(F.min("tok_idx").alias("first_token"), F.max("tok_idx").alias("last_token"), _texts().alias("text"), *box)
-
-
 def bio_paths(labels: DataFrame, label: str = "label") -> DataFrame:
     """Labels like ``B-x`` and ``I-x`` as the paths ``^x`` and ``x``."""
     return labels.withColumn(label, F.regexp_replace(F.regexp_replace(label, "^B-", "^"), "^I-", ""))

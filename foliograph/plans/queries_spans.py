@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import alignment as A
 from foliograph.operators import spans as P
+from foliograph.operators.elements import elements
 from foliograph.plans import views as V
 from foliograph.plans.catalog import query
 
@@ -65,7 +66,7 @@ def nested_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label paths as nested elements with their boxes (M4, M5)."""
     t = F.col("tok_idx")
     label = F.concat(F.lit("x"), F.floor(t / 12) % 3, F.lit(":"), F.when(t % 8 == 6, "^").otherwise(""), F.lit("y"), F.floor(t / 4) % 2)
-    return P.elements(V.token(spark, sf_dir).withColumn("label", label)).drop("element")
+    return elements(V.token(spark, sf_dir).withColumn("label", label)).drop("element")
 
 
 V.SQL["bio"] = "SELECT doc_id, tok_idx, CASE tok_idx % 10 WHEN 0 THEN 'B-title' WHEN 1 THEN 'I-title' WHEN 4 THEN 'B-date' WHEN 5 THEN 'I-date' ELSE 'O' END AS label FROM token"
