@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.operators.by_document import dealt
+
 #: Feature names and the patterns that a whole token must match.
 PATTERNS = {
     "INITCAP": r"[A-Z].*",
@@ -165,7 +167,8 @@ def with_predictions(tokens: DataFrame, predictions: DataFrame, k: int) -> DataF
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "label"))), 1, k)
     named = F.transform(best, lambda x, i: F.concat(F.lit("PRED"), (i + 1).cast("string"), F.lit("="), x["label"]))
     each = predictions.groupBy("doc_id", "tok_idx").agg(named.alias("predicted"))
-    return tokens.join(each, ["doc_id", "tok_idx"], "left").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
+    # there are as many as tokens, so neither side is broadcast, whatever Spark makes of their size
+    return dealt(tokens, "doc_id", "tok_idx").join(each.hint("merge"), ["doc_id", "tok_idx"], "left").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
 
 
 def as_features(rows: DataFrame, words: str, features: str = "features") -> DataFrame:
