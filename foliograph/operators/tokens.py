@@ -11,6 +11,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.operators.by_document import dealt
+
 #: What a token is, the alternatives in the order in which they are tried; trailing white space belongs to it.
 LEXER = (
     r"(?:``|''|“|”|\n|&amp;|[0-9]+(?:st|nd|rd|th)\b|[Pp]h\.?[Dd]\.?|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|[A-Z]\.|\+[A-Z]+\+|\p{L}+|[0-9]+|[\p{Punct}\p{S}])\s*"
@@ -127,8 +129,9 @@ def with_phantoms(tokens: DataFrame, joined: DataFrame) -> DataFrame:
 
     ``joined`` is what ``dehyphenated`` returns.
     """
-    words = joined.filter("joined").select("doc_id", "tok_idx", F.col("word").alias("_word"))
-    rests = words.select("doc_id", (F.col("tok_idx") + 1).alias("tok_idx"), F.lit(True).alias("_rest"))
+    # a word stands at its token, and its rest is the token behind: one table, so that tokens are joined once
+    at = F.array(F.struct(F.col("tok_idx").alias("tok_idx"), F.col("word").alias("_word"), F.lit(None).cast("boolean").alias("_rest")), F.struct((F.col("tok_idx") + 1).alias("tok_idx"), F.lit(None).cast("string").alias("_word"), F.lit(True).alias("_rest")))
+    changes = joined.filter("joined").select("doc_id", F.inline(at)).groupBy("doc_id", "tok_idx").agg(F.max("_word").alias("_word"), F.max("_rest").alias("_rest"))
     line = Window.partitionBy("doc_id", "line_idx")
     placed = tokens.withColumn("_alone", F.count("*").over(line) == 1)
     both = placed.join(words, ["doc_id", "tok_idx"], "left").join(rests, ["doc_id", "tok_idx"], "left")
