@@ -74,14 +74,18 @@ def dehyphenated(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("doc_id").orderBy("tok_idx")
     ahead = tokens.select("doc_id", "tok_idx", "line_idx", "token", F.lead("token").over(order).alias("rhs"), F.lead("line_idx").over(order).alias("rhs_line"))
-    broken = ahead.filter(F.col("token").rlike("[A-Za-z]-$") & (F.col("rhs_line") > F.col("line_idx")))
     lhs = F.regexp_replace("token", "-$", "")
-    broken = broken.select("doc_id", "tok_idx", lhs.alias("lhs"), "rhs", F.regexp_replace(F.lower(F.concat(lhs, "rhs")), r"[^A-Za-z0-9_]", "").alias("word"))
-    # of a document's words only those that a broken one may become
-    own = tokens.select("doc_id", F.lower("token").alias("word")).join(broken.select("doc_id", "word").distinct(), ["doc_id", "word"], "left_semi").distinct().withColumn("_own", F.lit(True))
+    word = F.regexp_replace(F.lower(F.concat(lhs, "rhs")), r"[^A-Za-z0-9_]", "")
+    is_broken = F.col("token").rlike("[A-Za-z]-$") & (F.col("rhs_line") > F.col("line_idx"))
+    # every token as a word of its document, and the words that broken ones may become: a window by word tells which the document has
+    row = lambda word, lhs: F.struct(word.alias("word"), lhs.alias("lhs"))
+    both = F.when(is_broken, F.array(row(F.lower("token"), F.lit(None).cast("string")), row(word, lhs))).otherwise(F.array(row(F.lower("token"), F.lit(None).cast("string"))))
+    each = ahead.select("doc_id", "tok_idx", "rhs", F.inline(both)).withColumn("rhs", F.when(F.col("lhs").isNotNull(), F.col("rhs")))
+    own = F.max(F.col("lhs").isNull()).over(Window.partitionBy("doc_id", "word")) & F.col("doc_id").isNotNull()
+    broken = each.withColumn("_own", own).filter("lhs is not null")
     known = dictionary.select("word").distinct().withColumn("_known", F.lit(True))
-    found = broken.join(own, ["doc_id", "word"], "left").join(known, "word", "left")
-    is_word = F.coalesce("_own", "_known", F.lit(False))
+    found = broken.join(known, "word", "left")
+    is_word = F.coalesce(F.nullif("_own", F.lit(False)), "_known", F.lit(False))
     return found.select("doc_id", "tok_idx", "lhs", "rhs", is_word.alias("joined"), F.when(is_word, F.concat("lhs", "rhs")).otherwise(F.concat("lhs", F.lit("-"), "rhs")).alias("word"))
 
 
@@ -134,7 +138,7 @@ def with_phantoms(tokens: DataFrame, joined: DataFrame) -> DataFrame:
     changes = joined.filter("joined").select("doc_id", F.inline(at)).groupBy("doc_id", "tok_idx").agg(F.max("_word").alias("_word"), F.max("_rest").alias("_rest"))
     line = Window.partitionBy("doc_id", "line_idx")
     placed = tokens.withColumn("_alone", F.count("*").over(line) == 1)
-    both = placed.join(words, ["doc_id", "tok_idx"], "left").join(rests, ["doc_id", "tok_idx"], "left")
+    both = dealt(placed, "doc_id", "tok_idx").join(changes, ["doc_id", "tok_idx"], "left")
     is_rest = F.coalesce("_rest", F.lit(False))
     kept = both.withColumn("phantom", is_rest).withColumn("token", F.when(is_rest, "").otherwise(F.coalesce("_word", "token")))
     return kept.filter(~F.col("phantom") | F.col("_alone")).drop("_word", "_rest", "_alone")
