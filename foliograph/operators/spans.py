@@ -15,11 +15,13 @@ def token_labels(tokens: DataFrame, spans: DataFrame, background: str = "O") ->
 
     ``spans`` has doc_id, label, start and stop, the stop being the last place that belongs to
     a span. Of spans that start together the longer is the outer one.
+    Spans come to a document's tokens as one list, outermost first, so tokens stay one row each and are dealt by document alone.
     """
-    inside = tokens.select("doc_id", "tok_idx", F.col("start").alias("_at")).join(spans, "doc_id").filter((F.col("start") <= F.col("_at")) & (F.col("_at") <= F.col("stop")))
-    parts = F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("stop"), "label")))
-    named = inside.groupBy("doc_id", "tok_idx").agg(F.array_join(F.transform(parts, lambda x: x["label"]), ":").alias("label"))
-    return tokens.join(named, ["doc_id", "tok_idx"], "left").withColumn("label", F.coalesce("label", F.lit(background)))
+    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("stop"), "label"))).alias("_spans"))
+    around = F.filter("_spans", lambda x: (x["start"] <= F.col("start")) & (F.col("start") <= -x["stop"]))
+    # a span without a name makes no background, and is left out of the names
+    label = F.when(F.size(around) > 0, F.array_join(F.transform(around, lambda x: x["label"]), ":"))
+    return tokens.join(listed, "doc_id", "left").withColumn("label", F.coalesce(label, F.lit(background))).drop("_spans")
 
 
 def span_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
