@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.operators.by_document import dealt
+
 #: Lexical flags of a body line and their patterns.
 PATTERNS = {
     "starts_table": r"^(Table|TABLE|Tab\.)",
@@ -121,5 +123,7 @@ def token_body_labels(tokens: DataFrame, lines: DataFrame) -> DataFrame:
     """Line labels spread over the lines' tokens: the first token keeps a beginning, the others are inside."""
     first = F.row_number().over(Window.partitionBy("doc_id", "line_idx").orderBy("tok_idx")) == 1
     inside = F.regexp_replace("label", "-begin.*$", "-inside")
-    spread = tokens.join(lines.select("doc_id", "line_idx", "label"), ["doc_id", "line_idx"]).withColumn("_first", first)
+    # dealt and sorted once, for the window and for the join
+    placed = dealt(tokens, "doc_id", "line_idx").withColumn("_first", first)
+    spread = placed.join(lines.select("doc_id", "line_idx", "label").hint("merge"), ["doc_id", "line_idx"])
     return spread.withColumn("label", F.when(F.col("_first"), F.col("label")).otherwise(inside)).drop("_first")
