@@ -125,6 +125,12 @@ def attributes(pairs: DataFrame, key: str, name: str, value: str) -> DataFrame:
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "_values")))).alias("attributes"))
 
 
+def in_all(rows: DataFrame, value: str, *tests: Column) -> DataFrame:
+    """The different values that have rows for each of the tests: one aggregation, so that repeats go before the shuffle."""
+    flags = [F.max(F.coalesce(t, F.lit(False))).alias(f"_{k}") for k, t in enumerate(tests)]
+    return rows.groupBy(value).agg(*flags).filter(" and ".join(f"_{k}" for k in range(len(tests)))).select(value)
+
+
 def normalised(text):
     """Text with runs of white space as one blank, and none at its ends."""
     return F.regexp_replace(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " "), r"^ | $", "")

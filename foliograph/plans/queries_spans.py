@@ -120,8 +120,8 @@ def citation_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("common_words", V.with_sql("line", "token", then="SELECT lower(token) AS word FROM token WHERE doc_id % 2 = 0 INTERSECT SELECT lower(token) FROM token WHERE doc_id % 2 = 1"))
 def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that both halves of the papers have."""
-    words = V.token(spark, sf_dir).select("doc_id", F.lower("token").alias("word"))
-    return words.filter("doc_id % 2 = 0").select("word").intersect(words.filter("doc_id % 2 = 1").select("word"))
+    words = V.word(spark, sf_dir).select("doc_id", F.lower("token").alias("word"))
+    return P.in_all(words, "word", F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1)
 
 
 @query("seeded_split", "SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('1868:' || doc_id), 1, 8) AS BIGINT) < 3221225472 THEN 'train' ELSE 'test' END AS part FROM documents")

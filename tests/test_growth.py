@@ -69,3 +69,48 @@ def test_elements_sort_tokens_once(spark):
     lines = plan_of(elements(tokens))
     words = next(k for k, x in enumerate(lines) if "Generate posexplode" in x)
     assert sum("Sort [" in x for x in lines[:words]) == 1 and not any("Exchange" in x or "Aggregate" in x for x in lines[:words])
+
+
+@tables
+@pytest.mark.parametrize("name, least", [("spread_labels", 1), ("predicted_features", 1), ("phantom_tokens", 1)])
+def test_tokens_that_are_joined_keep_their_partitions(spark, name, least):
+    from foliograph.plans import catalog
+
+    lines = plan_of(catalog.QUERIES[name](spark, SF))
+    words = next(k for k, x in enumerate(lines) if "Generate posexplode" in x)
+    assert sum("REPARTITION_BY_NUM" in x for x in lines[:words]) == least and any("SortMergeJoin" in x or "BroadcastHashJoin" in x for x in lines)
+
+
+def test_spread_labels(spark):
+    from foliograph.operators import body as B
+
+    tokens = spark.createDataFrame([(1, k, k // 3) for k in range(9)] + [(2, 0, 0)], "doc_id long, tok_idx long, line_idx long")
+    lines = spark.createDataFrame([(1, 0, "p-begin--x"), (1, 1, "notext"), (2, 0, "s-begin")], "doc_id long, line_idx long, label string")
+    got = {(r["doc_id"], r["tok_idx"]): r["label"] for r in B.token_body_labels(tokens, lines).collect()}
+    assert got == {(1, 0): "p-begin--x", (1, 1): "p-inside", (1, 2): "p-inside", **{(1, k): "notext" for k in (3, 4, 5)}, (2, 0): "s-begin"}
+
+
+def test_labels_come_to_tokens_by_document(spark):
+    tokens = spark.createDataFrame([(1, 0, 0), (1, 1, 5), (1, 2, 9), (2, 0, 0), (None, 0, 3)], "doc_id long, tok_idx long, start long")
+    spans = spark.createDataFrame([(1, "in", 5, 6), (1, "out", 5, 9), (1, None, 0, 0), (None, "x", 0, 9)], "doc_id long, label string, start long, stop long")
+    found = P.token_labels(tokens, spans)
+    assert {(r["doc_id"], r["tok_idx"]): r["label"] for r in found.collect()} == {(1, 0): "", (1, 1): "out:in", (1, 2): "out", (2, 0): "O", (None, 0): "O"}
+    assert sum("tok_idx" in x and "Exchange" in x for x in plan_of(found)) <= 1
+
+
+def test_broken_words_by_a_window(spark):
+    words = [("re-", 0), ("port", 1), ("Report", 1), ("ab-", 1), ("cd", 2), ("in-", 2), ("put", 3)]
+    rows = [(d, k, line, w) for d in (1, None) for k, (w, line) in enumerate(words)]
+    tokens = spark.createDataFrame(rows, "doc_id long, tok_idx long, line_idx long, token string")
+    found = T.dehyphenated(tokens, spark.createDataFrame([("input",)], "word string"))
+    assert sorted((str(r["doc_id"]), r["tok_idx"], r["lhs"], r["rhs"], r["joined"], r["word"]) for r in found.collect()) == sorted(
+        (str(d), k, a, b, j, w) for d in (1, None) for k, a, b, j, w in [(0, "re", "port", d == 1, "report" if d else "re-port"), (3, "ab", "cd", False, "ab-cd"), (5, "in", "put", True, "input")]
+    )
+    assert not any("LeftSemi" in x for x in plan_of(found))
+
+
+def test_in_all(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, "a"), (0, "b"), (0, "b"), (1, "c"), (None, "b"), (0, None), (1, None)], "k long, w string")
+    found = P.in_all(rows, "w", F.col("k") == 0, F.col("k") == 1)
+    assert sorted(str(r["w"]) for r in found.collect()) == ["None", "a"]
+    assert not any("Join" in x for x in plan_of(found))
