@@ -134,3 +134,13 @@ def test_references_are_read_once_and_equal_xpath(spark):
     assert found.columns == wanted.columns
     assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
     assert not any("xpath" in x for x in plan_of(found))
+
+
+def test_rungs_of_pairs_are_told_once(spark):
+    from foliograph.operators import name_matching as N
+
+    authors = spark.createDataFrame([(1, 0, "Ann", "", "Lee"), (1, 1, "Bo", "C", "Dahl")], "doc_id long, author_no long, first string, middle string, last string")
+    emails = spark.createDataFrame([(1, 0, "alee", "@x.edu"), (1, 1, "bcdahk", "@x.edu")], "doc_id long, email_no long, name string, domain string")
+    found = N.matches(authors, emails)
+    assert {(r["author_no"], r["email_no"], r["kind"]) for r in found.collect()} >= {(0, 0, "EXACT")}
+    assert not any("Join" in x and ("aggregate" in x or "array_contains" in x) for x in plan_of(found))
