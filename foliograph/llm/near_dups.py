@@ -261,7 +261,7 @@ def _least(n: int, threshold: float) -> float:
 
 
 def _likely(pairs: DataFrame, drawn: DataFrame, threshold: float, n: int) -> DataFrame:
-    """The pairs (a, b) whose samples agree often enough."""
+    """The pairs (a, b) whose samples agree often enough. They are written, so that no task holds a Python worker for these beside one for the texts."""
     least = _least(n, threshold)
 
     @F.pandas_udf("boolean")
@@ -270,7 +270,7 @@ def _likely(pairs: DataFrame, drawn: DataFrame, threshold: float, n: int) -> Dat
         return pd.Series((a == b).sum(1) >= least)
 
     a, b = (drawn.select(F.col("node").alias(c), F.col("drawn").alias(f"drawn_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").filter(likely("drawn_a", "drawn_b")).select("a", "b")
+    return written(pairs.join(a, "a").join(b, "b").filter(likely("drawn_a", "drawn_b")).select("a", "b"), "likely")
 
 
 def _across(members: DataFrame, labels: DataFrame, drawn: DataFrame, bodies: DataFrame, weights: Weights, size: int, threshold: float, n: int, block: int = 512) -> DataFrame:

@@ -193,3 +193,16 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
         assert corpus_pipeline.pack(spark, rows, sf).count() >= 0
     sf = save(spark, tmp_path, benchmark=bench.limit(0), labels=labels.limit(0))
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_a_task_holds_one_python_worker(spark, monkeypatch):
+    held = []
+
+    def kept(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        held.append((name, plan.count("ArrowEvalPython") + plan.count("FlatMapGroupsIn") + plan.count("MapInArrow")))
+        return shared.written(df, name)
+
+    monkeypatch.setattr(N, "written", kept)
+    N.classes(documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts()[:30])])).count()
+    assert {"signed", "likely", "links", "across"} <= {name for name, _ in held} and max(n for _, n in held) == 1
