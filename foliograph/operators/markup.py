@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +17,28 @@ _TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 #: Tags that tell of the layout and open nothing.
 LAYOUT = ("doc", "page", "line", "phantom", "font", "position")
 
+# the same for a pass over whole texts; white space is that of ASCII, and a quoted value ends with its line, as for Spark
+_PIECES = re.compile(_PIECE)
+_TOKENS = re.compile(r"\w+|[^\w \t\n\x0b\f\r]")
+_NAME = re.compile(r"<([^ \t\n\x0b\f\r>/]*)")
+_QUOTED = re.compile(r'"([^\n\r\x85\u2028\u2029]*)"')
+_ELEMENT = re.compile("</?([A-Za-z][A-Za-z0-9:_-]*)")
+
 
-def _runs(texts: DataFrame, text: str, key: str, layout: tuple[str, ...], with_tags: bool) -> DataFrame:
-    """The runs of text between tags, numbered, with the path of open tags; tags in ``layout`` open nothing, and stand among the runs if ``with_tags``."""
+def _runs(texts: DataFrame, text: str, key: str) -> DataFrame:
+    """The runs of text between tags, numbered, with the path of open tags."""
     row_type = "array<struct<path: string, body: string>>"
     start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(f"array<{row_type}>").alias("out"))
 
     def step(state: Column, piece: Column) -> Column:
         name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9:_-]*)", 1))
-        closing, opening = F.startswith(piece, F.lit("</")), piece.rlike(r"^<[A-Za-z][^>]*[^/>]?>$") & ~F.endswith(piece, F.lit("/>")) & ~name.isin(*layout)
+        closing, opening = F.startswith(piece, F.lit("</")), piece.rlike(r"^<[A-Za-z][^>]*[^/>]?>$") & ~F.endswith(piece, F.lit("/>"))
         at = F.size(state["open"]) - F.array_position(F.reverse(state["open"]), name).cast("int")
         known = F.array_contains(state["open"], name)
         stack = F.when(closing & known, F.slice(state["open"], 1, at)).when(opening, F.concat(state["open"], F.array(name))).otherwise(state["open"])
         row = F.struct(F.array_join(state["open"], "!!").alias("path"), piece.alias("body"))
         out = F.concat(state["out"], F.array(row))
-        return F.struct(stack.alias("open"), (out if with_tags else F.when(F.startswith(piece, F.lit("<")), state["out"]).otherwise(out)).alias("out"))
+        return F.struct(stack.alias("open"), F.when(F.startswith(piece, F.lit("<")), state["out"]).otherwise(out).alias("out"))
 
     def block(state: Column, some: Column) -> Column:
         inner = F.aggregate(some, F.struct(state["open"].alias("open"), F.array().cast(row_type).alias("out")), step)
@@ -48,10 +59,46 @@ def tagged_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id") ->
     A closing tag closes the innermost open tag of its name and those inside it; one that
     closes nothing is ignored, and so is a tag that ends itself.
     """
-    runs = _runs(texts, text, key, (), False)
+    runs = _runs(texts, text, key)
     return runs.select(key, "run", "path", F.posexplode(F.regexp_extract_all("body", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
 
 
+def _layout_of(text: str, background: str) -> tuple[list[str], list[str], list[str | None], list[bool], list[bool]]:
+    """Tokens of one text with their labels and fonts, and whether they start or end a line."""
+    pieces = _PIECES.findall(text)
+    tokens, labels, fonts, starts, ends = [], [], [], [], []
+    opened: list[str] = []
+    font, fresh, last = None, True, len(pieces) - 1
+    for k, piece in enumerate(pieces):
+        if piece[0] != "<":
+            words = _TOKENS.findall(piece)
+            if words:
+                n = len(words)
+                tokens += words
+                labels += [opened[-1] if opened else background] * n
+                fonts += [font] * n
+                starts += [fresh and k < last] + [False] * (n - 1)
+                ends += [False] * n
+                fresh = False
+            if ends and (k == last or (tag := _NAME.match(pieces[k + 1])) and tag[1].lower() == "position"):
+                ends[-1] = True
+            continue
+        tag = _NAME.match(piece)[1].lower()
+        if tag == "font":
+            quoted = _QUOTED.search(piece)
+            font = quoted and quoted[1] or None
+        elif tag == "position":
+            fresh = True
+        name = _ELEMENT.match(piece)
+        name = name[1].lower() if name else ""
+        if piece[1] == "/":
+            if name in opened:
+                del opened[len(opened) - 1 - opened[::-1].index(name) :]
+        elif name and not piece.endswith("/>") and name not in LAYOUT:
+            opened.append(name)
+    return tokens, labels, fonts, starts, ends
+
+
 def layout_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id", background: str = "O") -> DataFrame:
     """Tokens of nested mark-up with their innermost tag, font and place in the line: key, tok_idx, token, label, font, line_start, line_in, line_end.
 
@@ -59,31 +106,32 @@ def layout_tokens(texts: DataFrame, text: str = "text", key: str = "doc_id", bac
     layout (``LAYOUT``) give no label, tags outside any other have the background's. The first token of a line
     starts it; none in the text behind the last tag does. Where text, if only a blank, stands right
     before a position tag or at the very end, the last token so far ends a line. A token that neither
-    starts nor ends a line is inside it. Keys must tell texts apart; a text without tokens has no rows.
+    starts nor ends a line is inside it. A text without tokens has no rows. Texts are passed one after the
+    other, so that runs and tokens are neither shuffled nor sorted.
     """
-    order = Window.partitionBy(key).orderBy("run")
-    is_tag = F.startswith("body", F.lit("<"))
-    tag = F.when(is_tag, F.lower(F.regexp_extract("body", r"^<([^\s>/]*)", 1)))
-    font = F.when(tag == "font", F.regexp_extract("body", '"(.*)"', 1))
-    words = F.when(is_tag, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("body", F.lit(_TOKEN), F.lit(0)))
-    runs = _runs(texts, text, key, LAYOUT, True).withColumns({"_tag": tag, "_font": font, "_words": words})
-    runs = runs.withColumns(
-        {
-            "font": F.nullif(F.last("_font", ignorenulls=True).over(order), F.lit("")),
-            "_before": F.coalesce(F.sum(F.size("_words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "_line": F.sum((F.col("_tag").eqNullSafe("position")).cast("long")).over(order),
-            # a run with tokens and those without up to the next
-            "_group": F.sum((F.size("_words") > 0).cast("long")).over(order),
-            "_last": F.lead("run").over(order).isNull(),
-            "_ends": ~is_tag & F.coalesce(F.lead("_tag").over(order) == "position", F.lead("run").over(order).isNull()),
-        }
-    )
-    ended = runs.withColumn("_ends", F.max("_ends").over(Window.partitionBy(key, "_group")))
-    first = F.coalesce(F.sum(F.size("_words")).over(Window.partitionBy(key, "_line").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0
-    tokens = ended.withColumn("_first", first & ~F.col("_last")).select("*", F.posexplode("_words").alias("_pos", "token"))
-    starts, ends = F.col("_first") & (F.col("_pos") == 0), F.col("_ends") & (F.col("_pos") == F.size("_words") - 1)
-    label = F.coalesce(F.nullif(F.substring_index("path", "!!", -1), F.lit("")), F.lit(background))
-    return tokens.select(key, (F.col("_before") + F.col("_pos")).alias("tok_idx"), "token", label.alias("label"), "font", starts.alias("line_start"), (~starts & ~ends).alias("line_in"), ends.alias("line_end"))
+    schema = f"`{key}` {texts.schema[key].dataType.simpleString()}, tok_idx long, token string, label string, font string, line_start boolean, line_in boolean, line_end boolean"
+
+    def frame(keys: pa.Array, at: list[int], rows: list[list]) -> pa.RecordBatch:
+        numbers, tokens, labels, fonts, starts, ends = rows
+        inside = [not (a or b) for a, b in zip(starts, ends)]
+        columns = [(numbers, pa.int64()), (tokens, pa.string()), (labels, pa.string()), (fonts, pa.string()), (starts, pa.bool_()), (inside, pa.bool_()), (ends, pa.bool_())]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *[pa.array(x, t) for x, t in columns]], [key, "tok_idx", "token", "label", "font", "line_start", "line_in", "line_end"])
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], [[] for _ in range(6)]
+            for k, x in enumerate(batch.column(1)):
+                found = _layout_of(x.as_py() or "", background)
+                at += [k] * len(found[0])
+                for column, more in zip(rows, [range(len(found[0])), *found]):
+                    column += more
+                if len(at) > 20_000:
+                    yield frame(batch.column(0), at, rows)
+                    at, rows = [], [[] for _ in range(6)]
+            if at:
+                yield frame(batch.column(0), at, rows)
+
+    return texts.select(key, text).mapInArrow(passed, schema)
 
 
 def changed_paths(tokens: DataFrame, key: str = "doc_id") -> DataFrame:

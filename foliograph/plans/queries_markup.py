@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.operators import markup as M
+from foliograph.operators.by_document import dealt
 from foliograph.plans import views as V
 from foliograph.plans.catalog import query
 
@@ -39,7 +40,7 @@ def layout_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     # no text stands before the position tag in every fifth line
     end = F.when(i % 5 == 0, "<phantom/><position x='1'/>").otherwise(" <position x='1'/>")
     piece = F.concat(F.lit('<line><font name="F'), "font", F.lit('"/>'), body, F.lit("</line>"), end)
-    lines = V.line(spark, sf_dir).select("doc_id", F.struct("line_idx", piece.alias("piece")).alias("x"))
+    lines = dealt(V.line(spark, sf_dir), "doc_id").select("doc_id", F.struct("line_idx", piece.alias("piece")).alias("x"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "")
     texts = lines.groupBy("doc_id").agg(F.concat(F.lit("<doc source='d'><page>"), joined, F.lit("</page></doc>")).alias("text"))
     return M.layout_tokens(texts)

@@ -103,6 +103,26 @@ def test_layout_tokens_equal_one_pass(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: plain_layout(t) for k, t in enumerate(texts) if plain_layout(t)}
 
 
+def test_layout_tokens_sort_nothing(spark):
+    """Odd mark-up beside what the windows said of it; no run or token is sorted."""
+    texts = ["a<b", "a<position", "x<<position/>y<", '<font name="A\nB"/>u<FONT k="c" l="d"/>v<font/>w', "<T>Straße</t>é_1<x/>²</u>½<>z", "<b><i>p</b>q</i>r", "a <Position/> \u00a0"]
+    df = spark.createDataFrame([*enumerate(texts)], "`k k` long, text string")
+    found = M.layout_tokens(df, key="k k")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r[0], []).append("".join([r["token"], "/", r["label"], "/", r["font"] or "-", *["SIE"[k] for k in range(3) if r[5 + k]]]))
+    assert got == {
+        0: ["a/O/-S", "b/O/-E"],
+        1: ["a/O/-S", "position/O/-E"],
+        2: ["x/O/-S", "y/O/-E"],
+        3: ["u/O/-S", 'v/O/c" l="dI', "w/O/-E"],
+        4: ["Straße/t/-S", "é_1/O/-I", "²/O/-I", "½/O/-I", "z/O/-E"],
+        5: ["p/i/-S", "q/O/-I", "r/O/-E"],
+        6: ["a/O/-SE", "\u00a0/O/-E"],
+    }
+    assert not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("Sort", "Window", "Exchange"))
+
+
 def test_changed_paths(spark):
     df = spark.createDataFrame([(1, "a b <x>c d<y>e</y></x>f")], "doc_id long, text string")
     got = [r["path"] for r in M.changed_paths(M.tagged_tokens(df)).orderBy("run", "pos").collect()]
