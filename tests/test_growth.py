@@ -144,3 +144,15 @@ def test_rungs_of_pairs_are_told_once(spark):
     found = N.matches(authors, emails)
     assert {(r["author_no"], r["email_no"], r["kind"]) for r in found.collect()} >= {(0, 0, "EXACT")}
     assert not any("Join" in x and ("aggregate" in x or "array_contains" in x) for x in plan_of(found))
+
+
+@tables
+@pytest.mark.parametrize("name", ["line_lexical_v2"])
+def test_patterns_are_looked_for_once_and_behind_the_shuffle(spark, name):
+    import __spark_entry__  # noqa: F401  (fills the registry)
+    from foliograph.plans import catalog
+
+    lines = plan_of(catalog.QUERIES[name](spark, SF))
+    dealt = [k for k, x in enumerate(lines) if "REPARTITION_BY_NUM" in x]
+    assert len(dealt) == 1 and sum("Exchange" in x for x in lines) == 1 and not any("Join" in x for x in lines)
+    assert any("containsYear" in x for x in lines[: dealt[0]]) and not any("containsYear" in x for x in lines[dealt[0] :])
