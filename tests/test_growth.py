@@ -147,7 +147,7 @@ def test_rungs_of_pairs_are_told_once(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["line_lexical_v2"])
+@pytest.mark.parametrize("name", ["line_lexical_v2", "line_layout_v2"])
 def test_patterns_are_looked_for_once_and_behind_the_shuffle(spark, name):
     import __spark_entry__  # noqa: F401  (fills the registry)
     from foliograph.plans import catalog
@@ -156,3 +156,15 @@ def test_patterns_are_looked_for_once_and_behind_the_shuffle(spark, name):
     dealt = [k for k, x in enumerate(lines) if "REPARTITION_BY_NUM" in x]
     assert len(dealt) == 1 and sum("Exchange" in x for x in lines) == 1 and not any("Join" in x for x in lines)
     assert any("containsYear" in x for x in lines[: dealt[0]]) and not any("containsYear" in x for x in lines[dealt[0] :])
+
+
+def test_ranks_of_widths_and_distances(spark):
+    from foliograph.operators import line_features as L
+
+    widths, drops = [50, 40, 40, 50, 9, 60, 9, 9], [10, 12, 12, 10, 10, 15, 0, 10]
+    rows = [(d, k, 0, 0, 900 - sum(drops[:k]), w, 0, 1 + k % 2, ["beginBrackets"] if k < 2 else []) for d in (1, None) for k, w in enumerate(widths)]
+    found = L.with_layout_features_v2(spark.createDataFrame(rows, "doc_id long, line_idx long, page long, llx long, lly long, urx long, ury long, font long, features array<string>"))
+    got = {(r["doc_id"], r["line_idx"]): (r["width_rank"], r["vertical"], r["uses_ref_font"]) for r in found.collect()}
+    # of widths 50 is seen before 40, and 9 is no width; distances are 10, 12, 15, the last line and the one at equal height have none
+    assert [got[1, k] for k in range(8)] == [(1, None, True), (2, "space", False), (2, "space", True), (1, None, False), (None, None, True), (3, "outlier", False), (None, None, True), (None, None, False)]
+    assert {got[None, k] for k in range(8)} == {(None, None, False)}
