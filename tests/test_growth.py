@@ -2,10 +2,12 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliograph.operators import by_document
 from foliograph.operators import spans as P
 from foliograph.operators import tokens as T
 from foliograph.operators.elements import elements
@@ -27,6 +29,29 @@ def test_words_are_not_shuffled_for_their_numbers(spark):
     assert any("Exchange" in x for x in lines[words:]) and not any("Exchange" in x or "Window" in x for x in lines[:words])
 
 
+@tables
+@pytest.mark.parametrize("name", ["line_ends", "page_ranges"])
+def test_partitions_of_words_follow_the_texts(spark, monkeypatch, name):
+    import __spark_entry__  # noqa: F401  (fills the registry)
+    from foliograph.plans import catalog
+
+    def dealt_over():
+        return [int(n) for x in plan_of(catalog.QUERIES[name](spark, SF)) for n in re.findall(r"hashpartitioning\(doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", x)]
+
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt_over() == [session]
+    wanted = sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect()))
+    held = V.table(spark, SF, "documents").agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(by_document, "TEXT_BYTES", held // 10)
+    assert dealt_over() == [-(-held // (held // 10))] and dealt_over()[0] > session
+    assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect())) == wanted
+
+
+def test_partitions_of_no_texts(spark):
+    texts = spark.createDataFrame([(None,), ("",), ("ä",)], "text string")
+    assert [by_document.partitions_of(x) for x in (texts.limit(0), texts.filter("text is null"), texts)] == [0, 0, 1]
+
+
 def plain_elements(rows):
     """One token after the other: (doc, level, element, path, first, last, text, llx, ury)."""
     out, counts, last = [], {}, {}
