@@ -117,14 +117,18 @@ def with_last_format_token(tokens: DataFrame) -> DataFrame:
 def with_page_ranges(tokens: DataFrame) -> DataFrame:
     """Tokens with whether a page range is at them: ``12-34`` ascending, or number, hyphen, number in three tokens."""
     order = Window.partitionBy("doc_id").orderBy("tok_idx")
-    one, two = F.lead("token", 1).over(order), F.lead("token", 2).over(order)
-    number = "^[0-9]+$"
-    bare = lambda c: F.regexp_replace(c, "^0+", "")
-    # numbers of any length: by how many digits they have, then as text
-    less = lambda a, b: F.struct(F.length(bare(a)), bare(a)) < F.struct(F.length(bare(b)), bare(b))
-    inside = F.col("token").rlike("^[0-9]+-[0-9]+$") & less(F.regexp_extract("token", "^([0-9]+)-", 1), F.regexp_extract("token", "-([0-9]+)$", 1))
-    across = F.col("token").rlike(number) & (one == "-") & two.rlike(number) & less(F.col("token"), two)
-    return tokens.withColumn("is_page_range", F.coalesce(inside, F.lit(False)) | F.coalesce(across, F.lit(False)))
+    # columns of their own, as a window has one for each time that an expression names it
+    ahead = tokens.withColumns({"_one": F.lead("token", 1).over(order), "_two": F.lead("token", 2).over(order)})
+    token, two, number = F.col("token"), F.col("_two"), "^[0-9]+$"
+    bare = lambda c: F.regexp_extract(c, "^0*([0-9]*)", 1)
+    # numbers of any length: by how many digits they have, then as text; those that fit are compared as longs, without a pattern
+    longer = lambda a, b: F.struct(F.length(bare(a)), bare(a)) < F.struct(F.length(bare(b)), bare(b))
+    as_longs = lambda a, b: a.try_cast("long") < b.try_cast("long")
+    left, right = F.regexp_extract(token, "^([0-9]+)-", 1), F.regexp_extract(token, "-([0-9]+)$", 1)
+    ascending = F.coalesce(as_longs(F.substring_index(token, "-", 1), F.substring_index(token, "-", -1)), longer(left, right))
+    inside = token.rlike("^[0-9]+-[0-9]+$") & ascending
+    across = (F.col("_one") == "-") & token.rlike(number) & two.rlike(number) & F.coalesce(as_longs(token, two), longer(token, two))
+    return ahead.withColumn("is_page_range", F.coalesce(inside, F.lit(False)) | F.coalesce(across, F.lit(False))).drop("_one", "_two")
 
 
 def offset_features(tokens: DataFrame, features: str, offsets: tuple[int, ...]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import by_document
 from foliograph.operators import spans as P
+from foliograph.operators import token_features as TF
 from foliograph.operators import tokens as T
 from foliograph.operators.elements import elements
 from foliograph.plans import views as V
@@ -52,6 +53,31 @@ def test_partitions_of_no_texts(spark):
     assert [by_document.partitions_of(x) for x in (texts.limit(0), texts.filter("text is null"), texts)] == [0, 0, 1]
 
 
+def test_page_ranges_equal_one_pass(spark):
+    some, big = random.Random(23), "9" * 25
+    words = ["1", "2", "007", "10", "-", "-", "-", "12-34", "34-12", "5-5", "0-0", "00-1", "09-10", "1-2-3", "-4", "4-", "+1", "x-2", "", None, big, f"1-{big}", f"{big}-1", f"{big}-1{big}", f"0{big}-{big}", "9223372036854775807-9223372036854775808"]
+    words += ["1-2\n", "2\n", f"{big}\n", "\u0661-\u0662"]
+    rows = [(d, 2 * k, some.choice(words)) for d in (1, 2, None) for k in range(400)]
+    rows += [(3, 4 * k + n, x) for k, (a, b) in enumerate([(a, b) for a in ("2", "2\n", "10", big, f"{big}\n") for b in ("2", "2\n", "10", big, f"{big}\n")]) for n, x in enumerate((a, "-", b, "|"))]
+    wanted = set()
+    for k, (d, idx, token) in enumerate(rows):
+        one, two = [(rows + [(0, 0, None)] * 2)[k + n] for n in (1, 2)]
+        number = lambda x: x is not None and re.search(r"^[0-9]+$", x)
+        inside = token is not None and re.search(r"^([0-9]+)-([0-9]+)$", token)
+        across = one[0] == two[0] == d and one[2] == "-" and number(token) and number(two[2]) and int(token) < int(two[2])
+        if inside and int(inside[1]) < int(inside[2]) or across:
+            wanted.add((d, idx))
+    found = TF.with_page_ranges(spark.createDataFrame(rows, "doc_id long, tok_idx long, token string"))
+    assert found.columns == ["doc_id", "tok_idx", "token", "is_page_range"]
+    assert {(r["doc_id"], r["tok_idx"]) for r in found.collect() if r["is_page_range"]} == wanted
+    assert {rows[k][2] for k in range(len(rows)) if rows[k][:2] in wanted} >= {"12-34", "00-1", "09-10", "1", f"1-{big}", f"{big}-1{big}", "9223372036854775807-9223372036854775808", "1-2\n"}
+    # one window for each of the two tokens ahead, and longs before patterns
+    plan = next(x for x in plan_of(found) if "Window [" in x)
+    assert plan.count("lead(token") == 2
+    told = next(x for x in plan_of(found) if "regexp_extract" in x)
+    assert told.index("try_cast") < told.index("regexp_extract")
+
+
 def plain_elements(rows):
     """One token after the other: (doc, level, element, path, first, last, text, llx, ury)."""
     out, counts, last = [], {}, {}
