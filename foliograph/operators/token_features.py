@@ -67,13 +67,17 @@ def lexicon_names(tokens: DataFrame, lexicons: DataFrame, longest: int = 1, name
 
 
 def phrase_matches(tokens: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
-    """Runs of up to ``longest`` tokens that are phrases (lower case, words joined by blanks): doc_id, tok_idx, n, phrase."""
+    """Runs of up to ``longest`` tokens that are phrases (lower case, words joined by blanks): doc_id, tok_idx, n, phrase.
+
+    The different phrases are broadcast, so runs stay where they are. Spark left to itself does so only where it has counted
+    the phrases before the tokens are there; else it shuffles every run by its text, ten times the documents.
+    """
     order = Window.partitionBy("doc_id").orderBy("tok_idx")
     words = [F.lower("token") if k == 0 else F.lead(F.lower("token"), k).over(order) for k in range(longest)]
     runs = tokens.select("doc_id", "tok_idx", F.array(*words).alias("_words"))
     each = runs.select("doc_id", "tok_idx", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"), "_words")
     each = each.filter(F.get("_words", F.col("n") - 1).isNotNull()).select("doc_id", "tok_idx", F.col("n").cast("long").alias("n"), F.array_join(F.slice("_words", 1, F.col("n")), " ").alias("phrase"))
-    return each.join(phrases.select("phrase").distinct(), "phrase", "left_semi").select("doc_id", "tok_idx", "n", "phrase")
+    return each.join(F.broadcast(phrases.select("phrase").distinct()), "phrase", "left_semi").select("doc_id", "tok_idx", "n", "phrase")
 
 
 def with_thesis(tokens: DataFrame) -> DataFrame:

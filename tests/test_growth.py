@@ -78,6 +78,42 @@ def test_page_ranges_equal_one_pass(spark):
     assert told.index("try_cast") < told.index("regexp_extract")
 
 
+@tables
+@pytest.mark.parametrize("limit", ["-1", None])
+def test_runs_stay_where_they_are(spark, limit):
+    """How large the phrases are is not known when the query is planned, and every run of tokens went to the partition of its text."""
+    import __spark_entry__  # noqa: F401  (fills the registry)
+    from foliograph.plans import catalog
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit or before)
+    try:
+        lines = plan_of(catalog.QUERIES["phrase_matches"](spark, SF))
+    finally:
+        spark.conf.set(name, before)
+    words = next(k for k, x in enumerate(lines) if "Generate posexplode" in x)
+    assert any("BroadcastHashJoin" in x for x in lines[:words]) and not any("Exchange" in x for x in lines[:words])
+
+
+@pytest.mark.parametrize("longest", [1, 2, 4])
+def test_phrases_equal_one_pass(spark, longest):
+    some = random.Random(longest)
+    rows = [(d, k, some.choice(["Of", "the", "THE", "of", "with", ""])) for d in (1, 2, None) for k in range(300)] + [(3, 0, "with")]
+    phrases = ["of the", "the of", "with", "with", "of the of the", "of", "Of", "the  with", "", None]
+    wanted = []
+    for k, (d, idx, _) in enumerate(rows):
+        for n in range(1, longest + 1):
+            run = rows[k : k + n]
+            text = " ".join(w.lower() for _, _, w in run)
+            if len(run) == n and run[-1][0] == d and text in phrases:
+                wanted.append((d, idx, n, text))
+    tokens = spark.createDataFrame(rows, "doc_id long, tok_idx long, token string")
+    found = TF.phrase_matches(tokens, spark.createDataFrame([(x,) for x in phrases], "phrase string"), longest)
+    assert found.columns == ["doc_id", "tok_idx", "n", "phrase"]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
+
+
 def plain_elements(rows):
     """One token after the other: (doc, level, element, path, first, last, text, llx, ury)."""
     out, counts, last = [], {}, {}
